@@ -33,8 +33,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack, pieces
+
+    return pack(pieces(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
+    "op8_secrets": op8_secrets,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
