@@ -23,6 +23,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -49,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op8_secrets": op8_secrets,
     "op10_packing": op10_packing,
