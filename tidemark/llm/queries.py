@@ -40,6 +40,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality_crf import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secret_scan import find_secrets
 
@@ -58,6 +65,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
     "op10_packing": op10_packing,
 }
