@@ -22,7 +22,9 @@ repeat are packed once each; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +41,36 @@ SEQUENCE_TOKENS = 2048
 #: Tried one after the other: lengths above this share of a sequence are large, and so many groups.
 SCHEMES = ((1 / 4, 16), (0.4, 16), (0.4, 48))
 BUCKETS = 64
-_CACHE_ENTRIES = 300_000
+#: Chunks, and words, in each of the two generations whose ids a process keeps.
+_CACHE_ENTRIES = 350_000
 _BATCH_ROWS = 4096
 
+#: Letters that stand for bytes in a byte-level vocabulary: visible Latin-1 characters stand
+#: for themselves, the other bytes for the characters from 256 on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
+class _Kept(dict):
+    """Values made where a key is missing; those not asked for again for long are let go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= _CACHE_ENTRIES:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizers file, with the ids of words kept.
 
@@ -58,16 +84,15 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
-        self.plain = regex.compile("[!-;=-~À-ÖØ-öø-þ]+")  # no "<": special tokens start with it
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.plain = re.compile("[!-;=-~À-ÖØ-öø-þ]+")  # no "<": special tokens start with it
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = _Kept(self._word)
+        self.chunks = _Kept(self._chunk)
 
     @staticmethod
     def of(name: str) -> ChunkTokenizer:
@@ -78,30 +103,24 @@ class ChunkTokenizer:
         return _tokenizers[name]
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.words) >= _CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if self.plain.fullmatch(chunk):
-            return b"".join(map(self._word, self.pattern.findall(chunk.lower())))
+            low = chunk.lower()
+            if low.isalpha():
+                return self.words[low]
+            if low[-1] in ".,!" and low[:-1].isalpha():
+                return self.words[low[:-1]] + self.words[low[-1]]
+            return b"".join([self.words[w] for w in self.pattern.findall(low)])
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = text.replace("\n", " ").split(" ")
-        known = self.chunks
-        if len(known) >= _CACHE_ENTRIES:
-            known.clear()
-        for new in set(parts).difference(known):
-            known[new] = self._chunk(new)
-        return b"".join([known[p] for p in parts])
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(
