@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import line_rules
 from tidemark.llm.common import table
 
 
@@ -69,6 +70,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack, pieces
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op8_secrets": op8_secrets,
+    "op9_line_rules": op9_line_rules,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_rules": line_rules.ORACLE}
