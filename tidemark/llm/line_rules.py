@@ -21,16 +21,38 @@ MOST_REPEATED = 20
 SYMBOLS = "#*$%&|<>"
 #: Share of the text (characters of lines with words) that may be removed.
 MOST_LOST = 0.5
-#: Words from which a line has to end in punctuation.
+#: Words (blanks plus one) from which a line has to end in punctuation.
 PROSE_WORDS = 6
 BLANK = r"[\x20\x09-\x0D]"
 WORDED = r"[^\x20\x09-\x0D]"
-ENDED = r"""[.!?:;…"'”»)\]][\x20\x09-\x0D]*$"""
+ENDS = tuple(".!?:;…\"'”»)]")
 #: Fixed phrases of boilerplate lines, lower case.
 BOILERPLATE = (
-    "all rights reserved|terms of use|terms of service|privacy policy|cookie policy|"
-    "enable javascript|sign up for|subscribe to our|click here|lorem ipsum"
+    "all rights reserved",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "cookie policy",
+    "enable javascript",
+    "sign up for",
+    "subscribe to our",
+    "click here",
+    "lorem ipsum",
 )
+BOILERPLATE_WORDS = 30
+
+
+def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in phrases:
+        found = found | F.contains(text, F.lit(p))
+    return found
+
+
+def _without(text: Column, *parts: str) -> Column:
+    for p in parts:
+        text = F.replace(text, F.lit(p), F.lit(""))
+    return text
 
 
 def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
@@ -82,19 +104,21 @@ def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
     return F.when(n > window, counted).otherwise(F.lit(0).cast("long"))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word is to be removed."""
-    n = F.size(F.split(F.trim(F.regexp_replace(line, BLANK + "+", " ")), " "))
-    low = F.lower(line)
-    bangs = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+def line_fails(line: Column, boilerplate: Column, bangs: Column, symbols: Column) -> Column:
+    """Whether a line with a word is to be removed.
+
+    The flags say what the whole text has, so most lines are asked only how they end.
+    """
+    n = F.length(line) - F.length(_without(line, " ")) + 1
+    bars = F.length(line) - F.length(_without(line, "|"))
     signs = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    boilerplate = low.rlike(BOILERPLATE) & (n <= 30)
-    navigation = bars * 4 >= n
-    shouting = (bangs >= 3) & (bangs * 4 >= n)
-    symbols = signs * 2 >= n
-    unended = (n >= PROSE_WORDS) & ~line.rlike(ENDED)
-    return boilerplate | (navigation & (bars > 0)) | shouting | (symbols & (signs > 1)) | unended
+    loud = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
+    return (
+        (~F.substring(F.rtrim(line), -1, 1).isin(*ENDS) & (n >= PROSE_WORDS))
+        | (symbols & (((bars > 0) & (bars * 4 >= n)) | ((signs > 1) & (signs * 2 >= n))))
+        | (bangs & (loud >= 3) & (loud * 4 >= n))
+        | (boilerplate & (n <= BOILERPLATE_WORDS) & _any_of(F.lower(line), BOILERPLATE))
+    )
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -105,18 +129,27 @@ def judged(docs: DataFrame) -> DataFrame:
         "t",
         F.array_remove(F.split("t", BLANK + "+"), "").alias("words"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORDED)).alias("lines"),
+        _any_of(F.lower("t"), BOILERPLATE).alias("boilerplate"),
+        F.contains("t", F.lit("!!")).alias("bangs"),
+        F.col("t").rlike("[#*$%&|<>]").alias("symbols"),
     )
     base = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", BLANK + "+", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", "")))
+        F.length(_without(F.col("t"), *" \t\n\x0b\f\r")).cast("long").alias("word_chars"),
+        F.when(
+            F.col("symbols"), F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))
+        )
+        .otherwise(0)
         .cast("long")
         .alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"),
-        F.filter("lines", lambda x: ~line_fails(x)).alias("good"),
+        F.filter(
+            "lines",
+            lambda x: ~line_fails(x, F.col("boilerplate"), F.col("bangs"), F.col("symbols")),
+        ).alias("good"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
@@ -142,7 +175,7 @@ def judged(docs: DataFrame) -> DataFrame:
     )
 
 
-_W, _B = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+_W, _B = WORDED, BLANK
 ORACLE = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -159,16 +192,17 @@ WITH d AS (
   SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid
 ), l AS (
-  SELECT rid, line, length(line) AS size, len(regexp_extract_all(line, '{_W}+')) AS n,
+  SELECT rid, line, length(line) AS size, length(line) - length(replace(line, ' ', '')) + 1 AS n,
          length(line) - length(replace(line, '!!', '!')) AS bangs,
          length(line) - length(replace(line, '|', '')) AS bars,
          length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS signs
   FROM (SELECT rid, unnest(nb) AS line FROM w)
 ), k AS (
   SELECT rid, sum(size) AS chars, sum(CASE WHEN
-      (regexp_matches(lower(line), '{BOILERPLATE}') AND n <= 30) OR (bars * 4 >= n AND bars > 0)
+      (regexp_matches(lower(line), '{"|".join(BOILERPLATE)}') AND n <= {BOILERPLATE_WORDS})
+      OR (bars * 4 >= n AND bars > 0)
       OR (bangs >= 3 AND bangs * 4 >= n) OR (signs * 2 >= n AND signs > 1)
-      OR (n >= {PROSE_WORDS} AND NOT regexp_matches(line, '[.!?:;…"''”»)\]]{_B}*$'))
+      OR (n >= {PROSE_WORDS} AND NOT contains('.!?:;…"''”»)]', right(rtrim(line), 1)))
     THEN size ELSE 0 END) AS lost
   FROM l GROUP BY rid
 ), b AS (
