@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_rules
+from tidemark.llm import licenses, line_rules
 from tidemark.llm.common import table
 
 
@@ -62,6 +62,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secret_scan import find_secrets
 
@@ -88,8 +94,12 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
     "op8_secrets": op8_secrets,
     "op9_line_rules": op9_line_rules,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op9_line_rules": line_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_licenses": licenses.oracle(),
+    "op9_line_rules": line_rules.ORACLE,
+}
