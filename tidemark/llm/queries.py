@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_rules
+from tidemark.llm import licenses, line_rules, url_filter
 from tidemark.llm.common import table
 
 
@@ -68,6 +68,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_filter import judged_urls
+
+    return judged_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secret_scan import find_secrets
 
@@ -95,11 +101,13 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
+    "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op9_line_rules": op9_line_rules,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle(),
+    "op7_url_filter": url_filter.oracle(),
     "op9_line_rules": line_rules.ORACLE,
 }
