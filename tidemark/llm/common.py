@@ -36,15 +36,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one is set only where none is.
 
-    A folder is set here only where the session names none, which is so in tests.
+    On a cluster the session names it; a folder of this machine serves local sessions, as in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = sc._jsc.sc().getCheckpointDir()
+    return named or folder.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -33,6 +33,8 @@ HIT_SHARE = 20
 #: Words of benchmark text in a block, and words of a shard that are indexed together.
 BLOCK_WORDS = 2_000_000
 SHARD_WORDS = 400_000
+#: Documents of a shard at most.
+SHARD_ROWS = 1 << 14
 #: Every so many positions of the indexed text a suffix position is kept.
 SAMPLE_EVERY = 8
 _END = b"\xff"  # no byte of UTF-8: ends a document in a batch's bytes
@@ -232,6 +234,61 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phr
         yield Phrases(items, window)
 
 
+Found = tuple[list[tuple[int, int]], set[str]]
+
+
+def _searched(
+    batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int
+) -> Iterator[tuple[pa.RecordBatch, list[int], list[Found]]]:
+    """Each batch with the number of words of its rows, and their spans and items."""
+    pending: list[tuple[pa.RecordBatch, list[int]]] = []
+    shards = [Shard(b.value) for b in blocks]
+    rows = 0
+
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[int], list[Found]]]:
+        found: dict[int, Found] = {}
+        for shard in shards:
+            for row, (spans, names) in shard.hits().items():
+                old = found.get(row, ([], set()))
+                both = np.array(old[0] + spans, np.int64).reshape(-1, 2)
+                found[row] = (merge_spans(both[:, 0], both[:, 1]), old[1] | names)
+        first = 0
+        for batch, n_words in pending:
+            n = batch.num_rows
+            yield batch, n_words, [found.get(first + i, ([], set())) for i in range(n)]
+            first += n
+
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        parts = [(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts]
+        tokens = (b" " + _END + b" ").join([*parts, b""]).split()
+        ends = None
+        for b, shard in zip(blocks, shards, strict=True):
+            known = b.value.vocabulary | {_END: -1}
+            symbols = np.array(list(map(known.get, tokens, repeat(0))), np.int32)
+            ends = np.flatnonzero(symbols == -1)
+            shard.add(symbols, rows, ends)
+        if ends is None:
+            ends = np.flatnonzero(np.array([t == _END for t in tokens], bool))
+        pending.append((batch, (np.diff(ends, prepend=-1) - 1).tolist()))
+        rows += batch.num_rows
+        if sum(s.size for s in shards) >= shard_words or rows >= SHARD_ROWS:
+            yield from flush()
+            pending, shards, rows = [], [Shard(b.value) for b in blocks], 0
+    yield from flush()
+
+
+def _broadcast_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
+    small_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(b) for b in _blocks(benchmark, window, block_words)]
+
+
+def _contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
+    hit = sum(b - a for a, b in spans)
+    return hit > 0 and HIT_SHARE * hit >= n_words
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -240,72 +297,43 @@ def contamination(
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, items, items_sha256, contaminated, spans (of words)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_words)]
+    blocks = _broadcast_blocks(docs, benchmark, window, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[pa.Array, np.ndarray]] = []
-        shards = [Shard(b.value) for b in blocks]
-        rows = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found: dict[int, tuple[list, set]] = {}
-            for shard in shards:
-                for row, (spans, names) in shard.hits().items():
-                    old = found.get(row, ([], set()))
-                    both = np.array(old[0] + spans, np.int64).reshape(-1, 2)
-                    found[row] = (merge_spans(both[:, 0], both[:, 1]), old[1] | names)
-            first = 0
-            for ids, n_words in pending:
-                here = [found.get(first + i, ([], set())) for i in range(len(ids))]
-                first += len(ids)
-                hit = [sum(b - a for a, b in spans) for spans, _ in here]
-                items = [sorted(names) for _, names in here]
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                bad = [h > 0 and HIT_SHARE * h >= n for h, n in zip(hit, n_words.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(n_words, pa.int64()),
-                        pa.array(hit, pa.int64()),
-                        pa.array(items, pa.list_(pa.string())),
-                        pa.array(sha, pa.string()),
-                        pa.array(bad, pa.bool_()),
-                        pa.array(
-                            [[{"first": a, "end": b} for a, b in s] for s, _ in here], pa.list_(span)
-                        ),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "items", "items_sha256", "contaminated", "spans"],
-                )
-
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            joined = (b" " + _END + b" ").join(
-                [*((t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts), b""]
+        for batch, n_words, found in _searched(batches, blocks, shard_words):
+            items = [sorted(names) for _, names in found]
+            spans = [s for s, _ in found]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+            bad = [_contaminated(n, s) for n, s in zip(n_words, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(n_words, pa.int64()),
+                    pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                    pa.array(items, pa.list_(pa.string())),
+                    pa.array(sha, pa.string()),
+                    pa.array(bad, pa.bool_()),
+                    pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(span)),
+                ],
+                ["doc_id", "n_words", "n_hit", "items", "items_sha256", "contaminated", "spans"],
             )
-            tokens = joined.split()
-            n_words = None
-            for b, shard in zip(blocks, shards, strict=True):
-                known = b.value.vocabulary
-                symbols = np.array(list(map((known | {_END: -1}).get, tokens, repeat(0))), np.int32)
-                ends = np.flatnonzero(symbols == -1)
-                shard.add(symbols, rows, ends)
-                n_words = np.diff(ends, prepend=-1) - 1
-            if n_words is None:
-                ends = np.flatnonzero(np.array([t == _END for t in tokens], bool))
-                n_words = np.diff(ends, prepend=-1) - 1
-            pending.append((ids, n_words))
-            rows += len(ids)
-            if sum(s.size for s in shards) >= shard_words or rows >= 1 << 16:
-                yield from flush()
-                pending, shards, rows = [], [Shard(b.value) for b in blocks], 0
-        yield from flush()
 
     return docs.select("doc_id", "text").mapInArrow(
         run,
         f"doc_id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string, "
         "contaminated boolean, spans array<struct<first: long, end: long>>",
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated."""
+    blocks = _broadcast_blocks(docs, benchmark, window, BLOCK_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, n_words, found in _searched(batches, blocks, SHARD_WORDS):
+            bad = [_contaminated(n, s) for n, (s, _) in zip(n_words, found, strict=True)]
+            yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -226,3 +226,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(by_print, F.col("fp") == F.col("of"), "left").select(
         "doc_id", "fp", "component_id"
     )
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The document with the least doc_id of each group of near duplicates, with all its columns.
+
+    Rows that share a doc_id that stays are kept once for each different text,
+    and so are rows without a doc_id.
+    """
+    near = near_duplicates(docs.select("doc_id", "text"), radius)
+    first = near.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").select(docs.columns)
+    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(nameless)
