@@ -335,7 +335,7 @@ def fold_signals(p: Params, width: str) -> list[str]:
 def fold_metrics(p: Params, width: str) -> list[str]:
     def f1(a: str, hit: str) -> str:
         tp = f"count(*) FILTER (WHERE direction = {a} AND fold_target = {a})"
-        return f"coalesce({hit} * {tp} / nullif({hit} * {tp} + count(*) FILTER (WHERE direction = -{a} AND fold_target = {a}) + count(*) FILTER (WHERE direction = {a} AND fold_target = -{a}), 0), 0)"
+        return f"coalesce({hit} * {tp} / nullif({hit} * {tp} + count(*) FILTER (WHERE direction = -({a}) AND fold_target = {a}) + count(*) FILTER (WHERE direction = {a} AND fold_target = -({a})), 0), 0)"
 
     n = "count(*) FILTER (WHERE direction <> 0 AND fold_target = {})"
     up, down = n.format("1"), n.format("-1")
@@ -358,7 +358,7 @@ def fold_metrics(p: Params, width: str) -> list[str]:
 
 def select(steps: list[str], source: str, columns: list[str], doubles: list[str], where: str = "true") -> str:
     """The query: keys as they are, doubles rounded to six digits."""
-    out = ", ".join([*columns, *[f"round({c}, 6) + 0.0 AS {c}" for c in doubles]])
+    out = ", ".join([*columns, *[f"round({c}::DOUBLE, 6) + 0.0 AS {c}" for c in doubles]])
     return "WITH " + ",\n".join(steps) + f"\nSELECT {out} FROM {source} WHERE {where}"
 
 
