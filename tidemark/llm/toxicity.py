@@ -94,6 +94,7 @@ def compose(*machines: Machine) -> tuple[tuple, Machine]:
     return start, out
 
 
+#: What a clause is read by: forward by all machines, backward for targets that stand later.
 START, GRAMMAR = compose(TARGET, NEGATION, REPORT)
 
 
@@ -160,15 +161,18 @@ class Grammar:
             tape.append(("I" if weight else self.symbols.get(w, "O"), weight or 1.0, w))
         if not any(x in "IH" for x, _, _ in tape):
             return 0.0, set(), 0
-        best = 0.0
-        for way in (tape, tape[::-1]):
-            state, total = START, 0.0
-            for x, weight, _ in way:
-                state, factor = GRAMMAR[state, x]
-                total += weight * factor if x in "IH" else 0.0
-            best = max(best, total)
+        later, seen = [], 0
+        for x, _, _ in reversed(tape):
+            seen, factor = TARGET[seen, x]
+            later.append(factor)
+        state, seen, total = START, 0, 0.0
+        for (x, weight, _), after in zip(tape, reversed(later), strict=True):
+            state, factor = GRAMMAR[state, x]
+            seen, before = TARGET[seen, x]
+            if x in "IH":
+                total += weight * factor * max(1.0, after / before)
         hits = [w for x, _, w in tape if x in "IH"]
-        return best, set(hits), len(hits)
+        return total, set(hits), len(hits)
 
     def features(self, text: str | None) -> list[float]:
         """What the logistic model reads of a whole text."""
