@@ -54,16 +54,15 @@ def bars_from_events(events: DataFrame, width: str = "1 hour", key: str | None =
     """Bars of an events table (event_id, ts, value); one series, or one for each value of a column."""
     first = F.struct("ts", "event_id")
     series = F.lit("ALL") if key is None else F.col(key)
-    return (
-        events.groupBy(series.alias("series_key"), F.window("ts", width).start.alias("ts"))
-        .agg(
-            F.min_by("value", first).alias("open"),
-            F.max("value").alias("high"),
-            F.min("value").alias("low"),
-            F.max_by("value", first).alias("close"),
-            F.count("*").alias("n_events"),
-        )
+    # Grouped by the window itself: its start alone would lose a stream's watermark.
+    made = events.groupBy(series.alias("series_key"), F.window("ts", width).alias("_window")).agg(
+        F.min_by("value", first).alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", first).alias("close"),
+        F.count("*").alias("n_events"),
     )
+    return made.select("series_key", F.col("_window.start").alias("ts"), "open", "high", "low", "close", "n_events")
 
 
 def numbered(bars: DataFrame, bucket: str = "month") -> DataFrame:
