@@ -8,10 +8,10 @@ aggregation, and only those few numbers are solved in a pandas function.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
 from tidemark.operators.validation import brier
 from tidemark.plans.params import EPSILON
 
@@ -42,7 +42,7 @@ def baseline(dealt: DataFrame, horizon: int, columns: tuple[str, ...] = COLUMNS)
     """
     split = F.min(F.when(F.col("validation"), F.col("rn")))
     bounds = dealt.groupBy(*KEY).agg(split.alias("_split"))
-    rows = dealt.join(F.broadcast(bounds), KEY)
+    rows = dealt.join(bounds, KEY)
     train = rows.where("NOT validation AND rn + " + str(int(horizon)) + " < _split AND target IN (-1, 1)")
     medians = train.groupBy(*KEY).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
 
@@ -91,7 +91,7 @@ def baseline(dealt: DataFrame, horizon: int, columns: tuple[str, ...] = COLUMNS)
     for _ in range(STEPS):
         z = _sum([F.get("w", i) * x[i] for i in range(k)])
         p = 1 / (1 + F.exp(-z))
-        step = fitted.join(F.broadcast(models), KEY).withColumns(
+        step = fitted.join(models, KEY).withColumns(
             {"_e": F.col("_w") * (F.col("_y") - p), "_c": F.col("_w") * p * (1 - p)}
         )
         sums = step.groupBy(*KEY).agg(
@@ -99,12 +99,11 @@ def baseline(dealt: DataFrame, horizon: int, columns: tuple[str, ...] = COLUMNS)
             F.array(*[F.sum(F.col("_e") * x[i]) for i in range(k)]).alias("g"),
             F.array(*[F.sum(F.col("_c") * x[i] * x[j]) for i in range(k) for j in range(i, k)]).alias("h"),
         )
-        # One row for each series and fold, collected so that steps do not pile up in the plan.
-        solved = sums.mapInPandas(solve, schema).toPandas()
-        models = _frame(dealt, solved, schema)
+        # One row for each series and fold, written so that steps do not pile up in the plan.
+        models = cut(sums.mapInPandas(solve, schema))
     fitted.unpersist()
     z = _sum([F.get("w", i) * x[i] for i in range(k)])
-    told = scaled(rows.where("validation")).join(F.broadcast(models), KEY, "left")
+    told = scaled(rows.where("validation")).join(models, KEY, "left")
     alone = (F.col("_up") == F.col("_n")).cast("double")
     p = F.when(F.col("w").isNotNull(), 1 / (1 + F.exp(-z))).otherwise(alone)
     return told.select(
@@ -112,11 +111,6 @@ def baseline(dealt: DataFrame, horizon: int, columns: tuple[str, ...] = COLUMNS)
     )
 
 
-def _frame(like: DataFrame, rows: pd.DataFrame, schema) -> DataFrame:
-    data = [(r.origin, int(r.fold), [float(v) for v in r.w]) for r in rows.itertuples()]
-    return like.sparkSession.createDataFrame(data, schema)
-
-
 def aggregate_result(told: DataFrame, prefix: str) -> DataFrame:
     """Coverage, accuracy of answers and Brier score over labelled rows of all folds."""
     active = F.col("direction") != 0

@@ -128,7 +128,7 @@ def instability(features: DataFrame, columns: tuple[str, ...] = INSTABILITY) ->
     # The last rows that are not null: at most `reach` a series and feature are kept in the end.
     some = told.where("v IS NOT NULL")
     ends = some.groupBy("series_key", "metric").agg(F.max("rn").alias("top"))
-    near = some.join(F.broadcast(ends), ["series_key", "metric"]).where(F.col("rn") > F.col("top") - 20 * reach)
+    near = some.join(ends, ["series_key", "metric"]).where(F.col("rn") > F.col("top") - 20 * reach)
     back = W.partitionBy("series_key", "metric").orderBy(F.desc("rn"))
     near = near.withColumn("k", F.row_number().over(back)).where(F.col("k") <= reach)
     frame = W.partitionBy("series_key", "metric").orderBy("rn").rowsBetween(-(REGIME_RECENT - 1), 0)

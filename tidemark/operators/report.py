@@ -23,10 +23,10 @@ def plot_window(bars: DataFrame, days: int, tail: int = 500) -> DataFrame:
     """Bars of the last days of each series; its last `tail` bars if those are too few to show."""
     last = bars.groupBy("series_key").agg(F.max("ts").alias("_last"))
     cut = F.col("_last") - F.expr(f"INTERVAL {int(days)} DAYS")
-    marked = bars.join(F.broadcast(last), "series_key").withColumn("_in", F.col("ts") >= cut)
+    marked = bars.join(last, "series_key").withColumn("_in", F.col("ts") >= cut)
     counts = marked.where("_in").groupBy("series_key").agg(F.count("*").alias("_k"))
     return (
-        marked.join(F.broadcast(counts), "series_key")
+        marked.join(counts, "series_key")
         .where(F.when(F.col("_k") >= 2, F.col("_in")).otherwise(F.col("rn") >= F.col("n") - tail))
         .drop("_last", "_in", "_k")
     )
