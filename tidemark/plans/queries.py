@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def context_of(spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str
     return feat.context_features(bars(spark, sf_dir, width, key))
 
 
-def scored(spark: SparkSession, sf_dir: str, params: Params = PARAMS, anchor: bool = False, **bar) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, params: Params = PARAMS, anchor: bool = True, **bar) -> DataFrame:
     return detector.score_windows(context_of(spark, sf_dir, **bar), params, anchor=anchor)
 
 
@@ -115,8 +116,8 @@ def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.where("rn > 0"), ["series_key", "rn"], ["attention_raw", "periodic_raw"])
 
 
-def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir).where("scored")
+def score_components(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    df = scored(spark, sf_dir, anchor=anchor).where("scored")
     return rounded(df, [*KEYS, "lookback", "divergence_signal"], SCORES)
 
 
@@ -131,8 +132,8 @@ def scored_windows_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, [*KEYS, "lookback", "divergence_signal"], ["scale_raw", "c_scale", *SCORES])
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detector.zones(scored(spark, sf_dir), PARAMS)
+def zones(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    found = detector.zones(scored(spark, sf_dir, anchor=anchor), PARAMS)
     return rounded(found, ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES)
 
 
@@ -141,29 +142,24 @@ def live_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, [*KEYS, "divergence_signal"], ["scale_raw", "score"])
 
 
-def threshold_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detector.threshold_diagnosis(detector.diagnostic_scores(scored(spark, sf_dir)))
+def threshold_diagnosis(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = detector.threshold_diagnosis(detector.diagnostic_scores(scored(spark, sf_dir, anchor=anchor)))
     return rounded(told, ["series_key", "level", "above", "n"], ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
-def auto_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def auto_threshold(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
     return rounded(
-        detector.auto_threshold(detector.diagnostic_scores(scored(spark, sf_dir)), PARAMS), ["series_key"], ["threshold"]
+        detector.auto_threshold(detector.diagnostic_scores(scored(spark, sf_dir, anchor=anchor)), PARAMS), ["series_key"], ["threshold"]
     )
 
 
-def zone_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.zone_bars(scored(spark, sf_dir), PARAMS)
+def zone_bars(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = breakout.zone_bars(scored(spark, sf_dir, anchor=anchor), PARAMS)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
-def breakout_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.signals(scored(spark, sf_dir), PARAMS)
-    return rounded(told, [*KEYS, "direction"], ["probability"])
-
-
-def breakout_signals_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.signals(scored(spark, sf_dir, anchor=True), PARAMS)
+def breakout_signals(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = breakout.signals(scored(spark, sf_dir, anchor=anchor), PARAMS)
     return rounded(told, [*KEYS, "direction"], ["probability"])
 
 
@@ -188,26 +184,26 @@ def direction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, [*KEYS, "target"], ["future_return"])
 
 
-def fold_told(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+def fold_told(spark: SparkSession, sf_dir: str, anchor: bool = True) -> DataFrame:
     made = owned(context_of(spark, sf_dir, FOLD_WIDTH))
     return validation.fold_signals(made, FOLDS, anchor=anchor)
 
 
-def fold_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = fold_told(spark, sf_dir)
+def fold_signals(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = fold_told(spark, sf_dir, anchor)
     return rounded(told, ["origin", "fold", "old_rn", "direction", "target", "fold_target"], ["probability", "up_probability"])
 
 
-def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = validation.fold_metrics(fold_told(spark, sf_dir))
+def fold_metrics(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = validation.fold_metrics(fold_told(spark, sf_dir, anchor))
     return rounded(told, ["origin", "fold", "labelled"], FOLD_METRICS)
 
 
 FOLD_METRICS = ["brier", "coverage", "answered_accuracy", "active_f1", "active_precision", "active_sharpe"]
 
 
-def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = calibration.bins(calibration.usable(fold_told(spark, sf_dir)))
+def calibration_bins(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = calibration.bins(calibration.usable(fold_told(spark, sf_dir, anchor)))
     return rounded(told, ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"])
 
 
@@ -239,17 +235,17 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bootstrap_interval(breakout.signals(scored(spark, sf_dir, anchor=True), PARAMS))
 
 
-def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+def _timed(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    df = scored(spark, sf_dir, anchor=anchor)
     return report.timed_zones(detector.zones(df, PARAMS), df.select("series_key", "rn", "ts"))
 
 
-def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report.heatmap(_timed(spark, sf_dir)), ["series_key", "day", "hour", "zones"], ["mean_score"])
+def heatmap(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    return rounded(report.heatmap(_timed(spark, sf_dir, anchor)), ["series_key", "day", "hour", "zones"], ["mean_score"])
 
 
-def event_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = report.event_frame(_timed(spark, sf_dir))
+def event_frame(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = report.event_frame(_timed(spark, sf_dir, anchor))
     return rounded(told, ["series_key", "timestamp_end"], EVENT)
 
 
@@ -258,8 +254,8 @@ EVENT = [
 ]
 
 
-def latest_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.signals(scored(spark, sf_dir, width=BY_TYPE[0], key=BY_TYPE[1]), PARAMS)
+def latest_signal(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = breakout.signals(scored(spark, sf_dir, anchor=anchor, width=BY_TYPE[0], key=BY_TYPE[1]), PARAMS)
     return rounded(report.latest_signal(told), LATEST, ["probability", "latest_raw_probability"])
 
 
@@ -269,8 +265,8 @@ LATEST = [
 ]
 
 
-def zone_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir, width=BY_TYPE[0], key=BY_TYPE[1])
+def zone_snapshot(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    df = scored(spark, sf_dir, anchor=anchor, width=BY_TYPE[0], key=BY_TYPE[1])
     told = report.zone_snapshot(detector.zones(df, PARAMS), df.select("series_key", "rn"))
     return rounded(told, ["series_key", "available", "duration", "post_bars", "maturity"], ["score"])
 
@@ -281,8 +277,8 @@ def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.brief(report.latest_signal(breakout.signals(df, PARAMS)), snapshot)
 
 
-def component_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = report.component_table(detector.zones(scored(spark, sf_dir), PARAMS), PARAMS)
+def component_table(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
+    told = report.component_table(detector.zones(scored(spark, sf_dir, anchor=anchor), PARAMS), PARAMS)
     return rounded(told, ["series_key", "component", "weight"], ["mean", "contribution"])
 
 
@@ -355,7 +351,6 @@ QUERIES = {
     "auto_threshold": auto_threshold,
     "zone_bars": zone_bars,
     "breakout_signals": breakout_signals,
-    "breakout_signals_anchored": breakout_signals_anchored,
     "latest_breakout": latest_breakout,
     "cv_splits": cv_splits,
     "direction_targets": direction_targets,
@@ -379,6 +374,25 @@ QUERIES = {
     "forecast_payload": forecast_payload,
     "importance": importance,
 }
+#: Queries whose SQL holds the anchor at the neutral 0.5, as SQL has no least-norm least squares.
+NEUTRAL = {
+    "score_components": score_components,
+    "zones": zones,
+    "threshold_diagnosis": threshold_diagnosis,
+    "auto_threshold": auto_threshold,
+    "zone_bars": zone_bars,
+    "breakout_signals": breakout_signals,
+    "fold_signals": fold_signals,
+    "fold_metrics": fold_metrics,
+    "calibration_bins": calibration_bins,
+    "heatmap": heatmap,
+    "event_frame": event_frame,
+    "latest_signal": latest_signal,
+    "zone_snapshot": zone_snapshot,
+    "component_table": component_table,
+}
+#: The same with all eight components; without SQL.
+QUERIES |= {f"{name}_anchored": partial(query, anchor=True) for name, query in NEUTRAL.items()}
 
 
 def _oracles() -> dict[str, str]:
