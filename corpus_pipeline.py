@@ -36,8 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: pieces of token ids with their sequence and offset."""
-    return packing.pack(packing.pieces(docs))
+    """Best-fit packing: pieces of token ids (ids: unsigned 32-bit, little-endian) with their sequence and offset."""
+    return packing.pack(packing.pieces(docs, with_ids=True))
 
 
 STAGES = [

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm.common import cut, shared_folder, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 2048
 #: Tried one after the other: lengths above this share of a sequence are large, and so many groups.
 SCHEMES = ((1 / 4, 16), (0.4, 16), (0.4, 48))
 BUCKETS = 64
+#: Columns of pieces that places are found from.
+NARROW = ["doc_id", "piece", "start", "length", "ids_crc32"]
 #: Chunks, and words, in each of the two generations whose ids a process keeps.
 _CACHE_ENTRIES = 350_000
 _BATCH_ROWS = 4096
@@ -323,13 +326,21 @@ def places(bins: list[Bin]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and any others).
+
+    Other columns, as ids, are not moved while places are found: they are joined back by a row key.
+    """
     spark = cut_pieces.sparkSession
-    held = cut(
-        cut_pieces.withColumn(
-            "bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-        )
-    )
+    more = [c for c in cut_pieces.columns if c not in NARROW]
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
+    key = ["_row"] if more else []
+    if more:
+        path = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+        cut_pieces.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        whole = spark.read.parquet(path)
+        held = whole.select(*NARROW, "_row", bucket.alias("bucket"))
+    else:
+        held = cut(cut_pieces.withColumn("bucket", bucket))
     counts = held.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = cut(counts)  # capacity * BUCKETS rows at most
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -354,12 +365,11 @@ def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
         return pd.Series(out)
 
     inside = W.partitionBy("sequence_id").orderBy(F.desc("length"), "rank")
-    return ranked.withColumn("sequence_id", sequence("length", "rank")).select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+    placed = ranked.withColumn("sequence_id", sequence("length", "rank")).select(
+        *(key or NARROW),
         "sequence_id",
         (F.sum("length").over(inside) - F.col("length")).alias("offset"),
     )
+    if more:
+        placed = whole.join(placed, "_row").select(*NARROW, *more, "sequence_id", "offset")
+    return placed

@@ -89,9 +89,9 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import pack, pieces
+    from tidemark.llm.packing import NARROW, pack, pieces
 
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    return pack(pieces(table(spark, sf_dir, "documents"), with_ids=True)).select(*NARROW, "sequence_id", "offset")
 
 
 QUERIES = {

@@ -1,28 +1,34 @@
 """Reproducible shuffle and sharding by a Feistel permutation, in DataFrame operations only.
 
-Rows are numbered globally: narrow rows (doc_id, size, crc32) are dealt into a
-fixed number of buckets by a hash and numbered within their bucket, and a
-bucket's rows start after those of the buckets before it.  A Feistel network
+Documents get a row key and are written once, compressed, to the shared folder.
+Their narrow rows (key, doc_id, size, crc32) are numbered globally: they are
+dealt into a fixed number of buckets by a hash and numbered within their
+bucket, and a bucket's rows start after those of the buckets before it.  The
+numbers are joined to the documents by the row key.  A Feistel network
 over mixed radices a x b >= n, walked along its cycle until it falls below n,
 permutes the numbers 0 .. n-1.  The place p of a row gives shard p mod k and
 slot p div k, so shards differ by one row at most and slots have no gaps.
 
-Equal rows (same doc_id and text) are counted before they are numbered, so any
-number of copies costs one narrow row until the end.
+Rows with the same doc_id, size and checksum are counted for each writing task
+before they are numbered, so copies cost one narrow row a task.  The places that
+they have together are reproducible; which of them has which follows the order
+in which they are read.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null
-doc_id is numbered like any other; other columns are ignored.
+doc_id is numbered like any other; other columns are kept.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shared_folder
 
 SHARDS = 8
 SEED = 2_024
@@ -30,8 +36,6 @@ ROUNDS = 6
 #: Walks longer than this fail loudly; one is less likely than b ** -WALKS.
 WALKS = 64
 BUCKETS = 1024
-#: Copies of one row that are written out by one row of the last step at most.
-COPIES = 100_000
 _PRIME = 2_147_483_647
 
 
@@ -80,44 +84,48 @@ def permuted(value: Column, n: int, seed: int = SEED) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, place, shard and slot."""
+    """Every row with all its columns, and size, text_crc32, place, shard and slot (replaced where docs has them)."""
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/shard-{uuid.uuid4().hex}"
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    narrow = docs.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("bytes"),
-        F.crc32(data).alias("text_crc32"),
-        F.col("text").isNull().alias("no_text"),
+    docs.withColumns(
+        {
+            "_row": F.monotonically_increasing_id(),
+            "_bytes": F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")),
+            "_crc32": F.crc32(data),
+            "_no_text": F.col("text").isNull(),
+        }
+    ).write.parquet(path)
+    kept = spark.read.parquet(path)
+    key = ["doc_id", "_bytes", "_crc32", "_no_text", "_part"]
+    # The high bits of a row's key are the task that wrote it: no group is larger than a task's rows.
+    narrow = kept.select("_row", *key[:-1], F.shiftright("_row", 33).alias("_part"))
+    groups = cut(
+        narrow.groupBy(*key)
+        .agg(F.count("*").alias("copies"), F.min("_row").alias("_row"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_crc32"), F.lit(BUCKETS)).cast("int"))
     )
-    # Texts of equal length and checksum under one doc_id may differ; their rows are the same here.
-    rows = cut(
-        narrow.groupBy("doc_id", "bytes", "text_crc32", "no_text")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
-    )
-    counts = rows.groupBy("bucket").agg(F.sum("copies").alias("n"))
-    per_bucket = counts.select("bucket", "n").orderBy("bucket").collect()  # BUCKETS rows at most
+    per_bucket = groups.groupBy("bucket").agg(F.sum("copies").alias("n")).orderBy("bucket").collect()  # BUCKETS rows at most
     total = sum(r["n"] for r in per_bucket)
     starts, at = [0] * BUCKETS, 0
     for r in per_bucket:
         starts[r["bucket"]], at = at, at + r["n"]
     base = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("bucket") + 1)
-    order = W.partitionBy("bucket").orderBy("doc_id", "bytes", "text_crc32", "no_text")
-    numbered = rows.withColumn("first", base + F.sum("copies").over(order) - F.col("copies"))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))
-    spread = numbered.select("*", part.alias("from")).select(
-        "*",
-        F.explode(
-            F.sequence(F.col("from"), F.least(F.col("from") + COPIES, F.col("copies")) - 1)
-        ).alias("copy"),
+    before = F.sum("copies").over(W.partitionBy("bucket").orderBy(*key)) - F.col("copies")
+    first = groups.withColumn("first", base + before)
+    several = first.where("copies > 1").select("first", *[F.col(c).alias(f"of{c}") for c in key])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of{c}")) for c in key])
+    copy = F.row_number().over(W.partitionBy("first").orderBy("_row")) - 1
+    numbers = first.where("copies = 1").select("_row", F.col("first").alias("number")).unionByName(
+        narrow.join(several, same).select("_row", (F.col("first") + copy).alias("number"))
     )
-    place = permuted(F.col("first") + F.col("copy"), total, seed)
-    return spread.select(
-        "doc_id", (F.col("bytes") + 1).alias("size"), "text_crc32", place.alias("place")
-    ).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "place",
-        (F.col("place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("place") / shards).cast("long").alias("slot"),
+    places = numbers.select("_row", permuted(F.col("number"), total, seed).alias("_place"))
+    own = [c for c in docs.columns if c not in ("size", "text_crc32", "place", "shard", "slot")]
+    return kept.join(places, "_row").select(
+        *own,
+        (F.col("_bytes") + 1).alias("size"),
+        F.col("_crc32").alias("text_crc32"),
+        F.col("_place").alias("place"),
+        (F.col("_place") % shards).cast("int").alias("shard"),
+        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
     )
