@@ -3,7 +3,9 @@
 Three patterns name secrets by their shape.  The method adds random strings:
 a run of key characters that a public tokenizer's vocabulary splits into very
 short tokens (few characters a token) is no language, unless it is a known
-digest, a UUID, a number or a plain identifier.
+digest, a UUID, a number or an identifier whose letter parts the vocabulary
+reads as words.  A run is tested whole, then its parts; what remains of it
+around a hex string is tested like a run.
 
 Defined results: a null or empty text has no spans; spans count code points
 with the end exclusive; rows that repeat are reported once each; other columns
@@ -39,6 +41,11 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LEAST = 24
 #: Every run of hex digits of HEX_LEAST lies within a run of these.
 KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+KEY_LEAST = 16
+#: Where a run that is not random as a whole is split, one after the other.
+SEPARATORS = ("/=", "_-")
+JOINTS = "/=_-"
+LETTERS = re.compile("[A-Za-z]+")
 #: A string with fewer characters a token than this is random.
 LEAST_CHARS_PER_TOKEN = 2.0
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -65,15 +72,35 @@ def encoder(vocabulary: str = VOCABULARY):
     return _encoders[vocabulary]
 
 
+def _reads_as_words(run: str, vocabulary: str, least: float) -> bool:
+    """Whether each letter part is a single letter or takes few tokens of the vocabulary."""
+    count = encoder(vocabulary).encode_ordinary
+    return all(len(x) == 1 or len(x) >= least * len(count(x)) for x in LETTERS.findall(run))
+
+
+def _is_known(run: str) -> bool:
+    """Whether a run is a digest or a UUID as a whole."""
+    return bool(UUID.fullmatch(run) or (DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS))
+
+
 def is_random(run: str, vocabulary: str = VOCABULARY, least: float = LEAST_CHARS_PER_TOKEN) -> bool:
     """Whether a run of key characters is a random string and no known kind of name."""
-    if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS:
+    if _is_known(run) or not LETTERS.search(run):
         return False
-    if UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    if len(run) >= least * len(encoder(vocabulary).encode_ordinary(run)):
         return False
-    if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-        return False
-    return len(run) < least * len(encoder(vocabulary).encode_ordinary(run))
+    return not (IDENTIFIER.fullmatch(run) and _reads_as_words(run, vocabulary, least))
+
+
+def random_parts(run: str, at: int, vocabulary: str, separators=SEPARATORS) -> Iterator[tuple[int, int]]:
+    """Places of a run that is random as a whole, else of its random parts between separators."""
+    if len(run) < KEY_LEAST or _is_known(run):
+        return
+    if is_random(run, vocabulary):
+        yield at, at + len(run)
+    elif separators:
+        for part in re.finditer(f"[^{separators[0]}]+", run):
+            yield from random_parts(part[0], at + part.start(), vocabulary, separators[1:])
 
 
 def spans(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int]]:
@@ -90,8 +117,16 @@ def spans(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[int, int
         at = run.start()
         hexes = [m.span() for m in HEX.finditer(run[0]) if m.end() - m.start() >= HEX_LEAST]
         found += [(at + a, at + b, 2) for a, b in hexes]
-        if not hexes and is_random(run[0], vocabulary):
-            found.append((*run.span(), 3))
+        # What remains around hex strings is judged without them and what joins it to them.
+        edges = [0, *(x for h in hexes for x in h), len(run[0])]
+        for k in range(0, len(edges), 2):
+            rest = run[0][edges[k] : edges[k + 1]]
+            if k:
+                rest = rest.lstrip(JOINTS)
+            a = edges[k + 1] - len(rest)
+            if k + 2 < len(edges):
+                rest = rest.rstrip(JOINTS)
+            found += [(*x, 3) for x in random_parts(rest, at + a, vocabulary)]
     return sorted((a, k, b) for a, b, k in found)
 
 
