@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import asdict, replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,8 @@ KEYS = ["series_key", "ts", "rn"]
 #: Narrow bars of each event type: many are flat.
 BY_TYPE = ("1 hour", "event_type")
 FOLD_WIDTH = "3 hours"
+#: Trials of the search that importance is told from.
+TRIALS = 12
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,15 +310,14 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance over a fixed list of trials: windows accepted at several settings of two parameters."""
-    df = scored(spark, sf_dir).where("scored")
-    trials = [(0.1 * i, 1.0 + (i * 7 % 5) / 4) for i in range(1, 6)]
-    rows = spark.createDataFrame(trials, "threshold double, range_threshold double")
-    counted = df.select("score", "c_range").join(F.broadcast(rows))  # five trials
-    tried = counted.groupBy("threshold", "range_threshold").agg(
-        F.avg((F.col("score") + 0.01 * F.col("range_threshold") * F.col("c_range") > F.col("threshold")).cast("double")).alias("objective")
-    )
-    return rounded(validation.importance(tried, ["threshold", "range_threshold"]), ["parameter"], ["importance"])
+    """Importance of all parameters over the trials of the search, each valued by its folds."""
+    made = owned(context_of(spark, sf_dir, FOLD_WIDTH)).persist()
+    _, tried = validation.search(made, TRIALS)
+    made.unpersist()
+    names = list(asdict(PARAMS))
+    rows = [(*map(float, asdict(p).values()), float(value)) for p, value in tried]
+    trials = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "objective"]))
+    return rounded(validation.importance(trials, names), ["parameter"], ["importance"])
 
 
 QUERIES = {
