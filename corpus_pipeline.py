@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the document with the least doc_id of each group stays."""
+    """SimHash near-dedup: one document of each group stays, that with the least doc_id (null last)."""
     return simhash.keep_first(docs)
 
 

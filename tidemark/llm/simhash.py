@@ -16,6 +16,7 @@ component has none; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate, product
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_AZ, cut, rows_of, small_batches
+from tidemark.llm.common import LOWER_AZ, cut, rows_of, shared_folder, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -59,18 +60,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text; no shuffle."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keys, fp): the fingerprint of every row's whole text; no shuffle."""
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType
+    kinds = [f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (texts,) = next(rows_of(iter([batch]), "text"))
             fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*kinds, "fp long"]))
 
 
 def _segment_counts(fp: str) -> list:
@@ -212,15 +213,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
+def rooted_prints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Adds root, which names a fingerprint's component, to rows of distinct fp."""
+    roots = components(near_links(distinct.select("fp"), radius))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return cut(rooted.select(*distinct.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = cut(rooted)
+    rooted = rooted_prints(distinct, radius)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(by_print, F.col("fp") == F.col("of"), "left").select(
@@ -229,13 +233,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates, with all its columns.
+    """One document of each group of near duplicates, with all its columns.
 
-    Rows that share a doc_id that stays are kept once for each different text,
-    and so are rows without a doc_id.
+    It is the one with the least doc_id (null last); among rows that share it, the first read.
     """
-    near = near_duplicates(docs.select("doc_id", "text"), radius)
-    first = near.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").select(docs.columns)
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(nameless)
+    spark = docs.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    prints = fingerprints(rows, ("_row", "doc_id"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(place).alias("first")))
+    kept = rooted_prints(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
