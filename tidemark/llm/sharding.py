@@ -2,9 +2,10 @@
 
 Documents get a row key and are written once, compressed, to the shared folder.
 Their narrow rows (key, doc_id, size, crc32) are numbered globally: they are
-dealt into a fixed number of buckets by a hash and numbered within their
-bucket, and a bucket's rows start after those of the buckets before it.  The
-numbers are joined to the documents by the row key.  A Feistel network
+dealt by a hash into as many buckets as a bucket has rows (the square root of
+their number) and numbered within their bucket, and a bucket's rows start after
+those of the buckets before it.  The numbers are joined to the documents by the
+row key.  A Feistel network
 over mixed radices a x b >= n, walked along its cycle until it falls below n,
 permutes the numbers 0 .. n-1.  The place p of a row gives shard p mod k and
 slot p div k, so shards differ by one row at most and slots have no gaps.
@@ -21,21 +22,20 @@ doc_id is numbered like any other; other columns are kept.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_folder
+from tidemark.llm.common import cut, scratch
 
 SHARDS = 8
 SEED = 2_024
 ROUNDS = 6
 #: Walks longer than this fail loudly; one is less likely than b ** -WALKS.
 WALKS = 64
-BUCKETS = 1024
 _PRIME = 2_147_483_647
 
 
@@ -86,7 +86,7 @@ def permuted(value: Column, n: int, seed: int = SEED) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Every row with all its columns, and size, text_crc32, place, shard and slot (replaced where docs has them)."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/shard-{uuid.uuid4().hex}"
+    path = scratch(spark, "shard")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs.withColumns(
         {
@@ -100,19 +100,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     key = ["doc_id", "_bytes", "_crc32", "_no_text", "_part"]
     # The high bits of a row's key are the task that wrote it: no group is larger than a task's rows.
     narrow = kept.select("_row", *key[:-1], F.shiftright("_row", 33).alias("_part"))
-    groups = cut(
-        narrow.groupBy(*key)
-        .agg(F.count("*").alias("copies"), F.min("_row").alias("_row"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_crc32"), F.lit(BUCKETS)).cast("int"))
-    )
-    per_bucket = groups.groupBy("bucket").agg(F.sum("copies").alias("n")).orderBy("bucket").collect()  # BUCKETS rows at most
-    total = sum(r["n"] for r in per_bucket)
-    starts, at = [0] * BUCKETS, 0
-    for r in per_bucket:
-        starts[r["bucket"]], at = at, at + r["n"]
-    base = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("bucket") + 1)
+    groups = cut(narrow.groupBy(*key).agg(F.count("*").alias("copies"), F.min("_row").alias("_row")))
+    total = groups.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    buckets = math.isqrt(total) + 1
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_crc32"), F.lit(buckets)).cast("int"))
+    # The square root of the number of rows comes to the driver and is broadcast.
+    held = groups.groupBy("bucket").agg(F.sum("copies").alias("n")).orderBy("bucket").collect()
+    starts = accumulate((r["n"] for r in held), initial=0)
+    base = spark.createDataFrame([(r["bucket"], at) for r, at in zip(held, starts, strict=False)], "bucket int, base long")
+    groups = groups.join(F.broadcast(base), "bucket")
     before = F.sum("copies").over(W.partitionBy("bucket").orderBy(*key)) - F.col("copies")
-    first = groups.withColumn("first", base + before)
+    first = groups.withColumn("first", F.col("base") + before)
     several = first.where("copies > 1").select("first", *[F.col(c).alias(f"of{c}") for c in key])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"of{c}")) for c in key])
     copy = F.row_number().over(W.partitionBy("first").orderBy("_row")) - 1
