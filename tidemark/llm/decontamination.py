@@ -1,14 +1,15 @@
 """Benchmark decontamination with an FM-index over each shard of training text.
 
-A task gathers its documents into shards of bounded size.  Of a shard it
-indexes every run of benchmark words that is long enough to hold a test phrase
-(a word that no phrase has ends a run, so nothing that could match is left
-out).  Test phrases are searched backward through wavelet-matrix ranks, all at
-once; occurrences are located by walking to sampled suffix positions; their
-spans are merged for each document.  Documents are never shuffled.
+A task gathers its documents into shards of bounded words and bytes and indexes
+all words of a shard (a document that is longer lies in several, which overlap
+by a window).  Test phrases are searched backward through wavelet-matrix ranks,
+all at once; occurrences are located by walking to sampled suffix positions;
+their spans are merged for each document.  Documents are never shuffled.
 
-The benchmark is broadcast in blocks of bounded size, each searched in turn,
-so it may be larger than a task's memory.
+The benchmark is searched in blocks of at most BLOCK_WORDS words (more only if
+one item alone has more), and one block is broadcast at a time: each block
+after the first costs another pass over the documents, which are written in
+between with the spans found so far.
 
 Defined results: a null text or one without words has no words and is clean;
 items without words are ignored, items with a null id are named 'null'; rows
@@ -19,13 +20,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WORD_BYTES, small_batches
+from tidemark.llm.common import WORD_BYTES, cut, small_batches
 
 WINDOW_WORDS = 13
 #: A document is contaminated if it has a hit and 1 word in so many is hit.
@@ -33,8 +33,8 @@ HIT_SHARE = 20
 #: Words of benchmark text in a block, and words of a shard that are indexed together.
 BLOCK_WORDS = 2_000_000
 SHARD_WORDS = 400_000
-#: Documents of a shard at most.
-SHARD_ROWS = 1 << 14
+#: Bytes of texts that wait for their shard, and of texts that are split into words together.
+SHARD_BYTES, SPLIT_BYTES = 1 << 25, 1 << 20
 #: Every so many positions of the indexed text a suffix position is kept.
 SAMPLE_EVERY = 8
 _END = b"\xff"  # no byte of UTF-8: ends a document in a batch's bytes
@@ -61,11 +61,21 @@ class Phrases:
         for row, p in zip(self.symbols, found, strict=True):
             row[longest - len(p) :] = [self.vocabulary[w] for w in p]
         self.items = [tuple(sorted(x)) for x in found.values()]
-        self.shortest = int(self.lengths.min()) if found else 0
+
+
+class _Numbers(dict):
+    """Numbers words from 1 in the order in which they are asked for; the end of a document is 0."""
+
+    def __init__(self):
+        super().__init__({_END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class FMIndex:
-    """An FM-index over word ids; 0 separates runs and no phrase has it."""
+    """An FM-index over word ids; 0 separates documents and no phrase has it."""
 
     def __init__(self, text: np.ndarray, sample_every: int = SAMPLE_EVERY):
         n = len(text)
@@ -94,22 +104,46 @@ class FMIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
-        """The suffix array by prefix doubling; separators count as distinct, in order of place."""
+        """The suffix array by prefix doubling; separators count as distinct, in order of place.
+
+        The first key holds as many symbols as fit in 63 bits; then only suffixes
+        that still tie are sorted again.
+        """
         n, zeros = len(text), text == 0
         m = int(zeros.sum())
-        rank = text.astype(np.int64) + m
-        rank[zeros] = np.arange(m)
-        step = 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            key = rank * (int(after.max(initial=0)) + 1) + after
-            order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank, step = new, step * 2
-            if n == 0 or rank[order[-1]] == n - 1 or step >= n:
-                return order
+        symbol = text.astype(np.int64) + m
+        symbol[zeros] = np.arange(m)
+        symbol += 1
+        bits = int(symbol.max(initial=1)).bit_length()
+        step = 63 // bits
+        key = symbol.copy()
+        for k in range(1, step):
+            key <<= bits
+            key[: max(0, n - k)] |= symbol[k:]
+        order = np.argsort(key)
+        places = np.arange(n)
+
+        def firsts(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The place of the first of those that have the same key, in sorted order."""
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            return at[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+
+        rank = np.empty(n, np.int64)
+        if n:
+            rank[order] = firsts(key[order], places)
+        tied = places
+        while len(tied):
+            group = rank[order[tied]]
+            again = np.concatenate([group[1:] == group[:-1], [False]])
+            tied = tied[again | np.concatenate([[False], again[:-1]])]
+            suffixes = order[tied]
+            key = rank[suffixes] * (n + 1) + rank[np.minimum(suffixes + step, n - 1)]
+            by_key = np.argsort(key)
+            order[tied] = suffixes = suffixes[by_key]
+            if len(tied):
+                rank[suffixes] = firsts(key[by_key], tied)
+            step *= 2
+        return order
 
     def rank(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """How often each symbol stands before the given row of the transform."""
@@ -138,7 +172,7 @@ class FMIndex:
             c = symbols[live, j].astype(np.int64)
             some = (c > 0) & (hi[live] > lo[live])
             live, c = live[some], c[some]
-            known = c <= self.top
+            known = c <= self.top  # a phrase word that the text does not have is above
             lo[live[~known]] = hi[live[~known]] = 0
             live, c = live[known], c[known]
             lo[live] = self.first[c] + self.rank(c, lo[live])
@@ -161,134 +195,174 @@ class FMIndex:
         return out
 
 
-def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """The union of half-open spans, as disjoint spans in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-class Shard:
-    """Runs of one block's words, gathered until the shard is full."""
-
-    def __init__(self, phrases: Phrases):
-        self.phrases, self.runs, self.at, self.size = phrases, [], [], 1
-
-    def add(self, ids: np.ndarray, first_row: int, row_ends: np.ndarray) -> None:
-        """ids: of a batch's words, -1 for the end of a document, 0 for words of no phrase."""
-        inside = np.concatenate([[False], ids > 0, [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edge[::2], edge[1::2]
-        if not self.phrases.shortest:
-            return
-        long = end - begin >= self.phrases.shortest
-        begin, end = begin[long], end[long]
-        row = np.searchsorted(row_ends, begin)
-        word = begin - np.where(row > 0, row_ends[row - 1] + 1, 0)
-        for a, b, r, w in zip(begin, end, row, word, strict=True):
-            self.runs.append(ids[a:b])
-            self.at.append((self.size, first_row + int(r), int(w)))
-            self.size += int(b - a) + 1
-
-    def hits(self) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
-        """For each row with an occurrence its spans of words and the items that occur."""
-        if not self.runs:
-            return {}
-        text = np.zeros(self.size, np.int32)
-        for run, (place, _, _) in zip(self.runs, self.at, strict=True):
-            text[place : place + len(run)] = run
-        index = FMIndex(text)
-        lo, hi = index.search(self.phrases.symbols)
+Found = tuple[list[tuple[int, int]], set[str]]
+
+
+def occurrences(
+    text: np.ndarray, numbers: dict[bytes, int], phrases: Phrases, shard_words: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(place, phrase) of every phrase in a text of word numbers (0 ends a document)."""
+    top = len(numbers)
+    known = np.array([0, *[numbers.get(w, top) for w in phrases.vocabulary]], np.int32)
+    symbols = known[phrases.symbols]
+    some = np.flatnonzero((symbols < top).all(axis=1))
+    overlap = phrases.symbols.shape[1] - 1
+    size = -(-len(text) // max(1, len(text) // shard_words))  # less than two shards' words
+    places, found = [], []
+    for start in range(0, len(text) if len(some) else 0, max(1, size)):
+        index = FMIndex(np.concatenate([[0], text[start : start + size + overlap], [0]]).astype(np.int32))
+        lo, hi = index.search(symbols[some])
         many = np.maximum(hi - lo, 0)
-        phrase = np.repeat(np.arange(len(lo)), many)
         rows = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        places = index.locate(rows)
-        at = np.array(self.at, np.int64)
-        run = np.searchsorted(at[:, 0], places, side="right") - 1
-        row, start = at[run, 1], at[run, 2] + places - at[run, 0]
-        out = {}
-        order = np.argsort(row, kind="stable")
-        bounds = np.flatnonzero(np.diff(row[order])) + 1
-        for part in np.split(order, bounds) if len(order) else []:
-            spans = merge_spans(start[part], start[part] + self.phrases.lengths[phrase[part]])
-            names = {x for p in np.unique(phrase[part]).tolist() for x in self.phrases.items[p]}
-            out[int(row[part[0]])] = (spans, names)
-        return out
+        places.append(index.locate(rows) + start - 1)
+        found.append(np.repeat(some, many))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *places]), np.concatenate([none, *found])
+
+
+def _with_found(
+    text: np.ndarray, numbers: dict[bytes, int], phrases: Phrases, shard_words: int, before: list[Found]
+) -> list[Found]:
+    """For each document of the text its spans of hit words and the items that occur, with those known before."""
+    ends = np.flatnonzero(text == 0)
+    begins = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    place, phrase = occurrences(text, numbers, phrases, shard_words)
+    edges = np.zeros(len(text) + 1, np.int64)
+    np.add.at(edges, place, 1)
+    np.add.at(edges, place + phrases.lengths[phrase], -1)
+    names = [set(items) for _, items in before]
+    for row, (spans, _) in enumerate(before):
+        for a, b in spans:
+            edges[begins[row] + a] += 1
+            edges[begins[row] + b] -= 1
+    row = np.searchsorted(ends, place)
+    for r, p in np.unique(np.column_stack([row, phrase]), axis=0).tolist():
+        names[r].update(phrases.items[p])
+    hit = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+    change = np.flatnonzero(hit[1:] != hit[:-1])
+    out: list[Found] = [([], n) for n in names]
+    for a, b in change.reshape(-1, 2).tolist():
+        r = int(np.searchsorted(ends, a))
+        out[r][0].append((a - int(begins[r]), b - int(begins[r])))
+    return out
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
+    """The benchmark's windows in blocks; only one is made at a time."""
     items, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         item = words(row["text"])
-        name = "null" if row["item_id"] is None else str(row["item_id"])
-        items.append((name, item))
-        size += len(item)
-        if size >= block_words:
+        if items and size + len(item) > block_words:
             yield Phrases(items, window)
             items, size = [], 0
+        items.append(("null" if row["item_id"] is None else str(row["item_id"]), item))
+        size += len(item)
     if items:
         yield Phrases(items, window)
 
 
-Found = tuple[list[tuple[int, int]], set[str]]
-
-
 def _searched(
-    batches: Iterator[pa.RecordBatch], blocks: list, shard_words: int
+    batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int, state: str
 ) -> Iterator[tuple[pa.RecordBatch, list[int], list[Found]]]:
-    """Each batch with the number of words of its rows, and their spans and items."""
+    """Each batch with the number of words of its rows, and their spans and items.
+
+    A column named state holds what earlier blocks found, if there is one.
+    """
     pending: list[tuple[pa.RecordBatch, list[int]]] = []
-    shards = [Shard(b.value) for b in blocks]
-    rows = 0
+    texts: list[np.ndarray] = []
+    numbers, n_words, n_bytes = _Numbers(), 0, 0
 
     def flush() -> Iterator[tuple[pa.RecordBatch, list[int], list[Found]]]:
-        found: dict[int, Found] = {}
-        for shard in shards:
-            for row, (spans, names) in shard.hits().items():
-                old = found.get(row, ([], set()))
-                both = np.array(old[0] + spans, np.int64).reshape(-1, 2)
-                found[row] = (merge_spans(both[:, 0], both[:, 1]), old[1] | names)
+        before: list[Found] = []
+        for batch, _ in pending:
+            at = batch.schema.get_field_index(state)
+            known = [None] * batch.num_rows if at < 0 else batch.column(at).to_pylist()
+            before += [
+                ([(s["first"], s["end"]) for s in k["spans"]], set(k["items"])) if k else ([], set()) for k in known
+            ]
+        text = np.concatenate([np.zeros(0, np.int32), *texts])
+        found = _with_found(text, numbers, phrases, shard_words, before)
         first = 0
-        for batch, n_words in pending:
-            n = batch.num_rows
-            yield batch, n_words, [found.get(first + i, ([], set())) for i in range(n)]
-            first += n
+        for batch, counts in pending:
+            yield batch, counts, found[first : first + batch.num_rows]
+            first += batch.num_rows
 
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        parts = [(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts]
-        tokens = (b" " + _END + b" ").join([*parts, b""]).split()
-        ends = None
-        for b, shard in zip(blocks, shards, strict=True):
-            known = b.value.vocabulary | {_END: -1}
-            symbols = np.array(list(map(known.get, tokens, repeat(0))), np.int32)
-            ends = np.flatnonzero(symbols == -1)
-            shard.add(symbols, rows, ends)
-        if ends is None:
-            ends = np.flatnonzero(np.array([t == _END for t in tokens], bool))
-        pending.append((batch, (np.diff(ends, prepend=-1) - 1).tolist()))
-        rows += batch.num_rows
-        if sum(s.size for s in shards) >= shard_words or rows >= SHARD_ROWS:
+        column = batch.column(batch.schema.get_field_index("text"))
+        counts: list[int] = []
+        part: list[bytes] = []
+
+        def split(part: list[bytes], counts: list[int]) -> int:
+            tokens = (b" " + _END + b" ").join([*part, b""]).split()
+            text = np.array(list(map(numbers.__getitem__, tokens)), np.int32)
+            texts.append(text)
+            counts += (np.diff(np.flatnonzero(text == 0), prepend=-1) - 1).tolist()
+            return len(text)
+
+        waiting = 0
+        for value in column:
+            text = (value.as_py() or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES)
+            part.append(text)
+            waiting += len(text)
+            if waiting >= SPLIT_BYTES:
+                n_words += split(part, counts)
+                part, waiting = [], 0
+        n_words += split(part, counts) if part else 0
+        pending.append((batch, counts))
+        n_bytes += batch.nbytes
+        if n_words >= shard_words or n_bytes >= SHARD_BYTES:
             yield from flush()
-            pending, shards, rows = [], [Shard(b.value) for b in blocks], 0
+            pending, texts, numbers, n_words, n_bytes = [], [], _Numbers(), 0, 0
     yield from flush()
 
 
-def _broadcast_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list:
-    small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(b) for b in _blocks(benchmark, window, block_words)]
-
-
 def _contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
     hit = sum(b - a for a, b in spans)
     return hit > 0 and HIT_SHARE * hit >= n_words
 
 
+_SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+_STATE = pa.struct([("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
+_STATE_DDL = "struct<spans: array<struct<first: long, end: long>>, items: array<string>>"
+
+
+def _spans(found: list[Found]) -> list[list[dict]]:
+    return [[{"first": a, "end": b} for a, b in spans] for spans, _ in found]
+
+
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, shard_words: int, finish):
+    """docs read by finish(batch, n_words, found) -> batch of a schema, after all blocks but the last."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    state = "_found"
+    while state in docs.columns:
+        state += "_"
+
+    def searched(rows: DataFrame, phrases: Phrases, make, schema) -> DataFrame:
+        shared = spark.sparkContext.broadcast(phrases)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, n_words, found in _searched(batches, shared.value, shard_words, state):
+                yield make(batch, n_words, found)
+
+        return rows.mapInArrow(run, schema)
+
+    names = docs.columns
+
+    def carry(batch: pa.RecordBatch, _, found: list[Found]) -> pa.RecordBatch:
+        told = [{"spans": s, "items": sorted(n)} for s, (_, n) in zip(_spans(found), found, strict=True)]
+        arrays = [batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(told, _STATE)], [*names, state])
+
+    blocks = _blocks(benchmark, window, block_words)
+    phrases, rows = next(blocks, None) or Phrases([], window), docs
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for following in blocks:
+        rows, phrases = cut(searched(rows, phrases, carry, f"{kinds}, `{state}` {_STATE_DDL}")), following
+    make, schema = finish
+    return searched(rows, phrases, make, schema)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -297,43 +371,42 @@ def contamination(
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, items, items_sha256, contaminated, spans (of words)."""
-    blocks = _broadcast_blocks(docs, benchmark, window, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n_words, found in _searched(batches, blocks, shard_words):
-            items = [sorted(names) for _, names in found]
-            spans = [s for s, _ in found]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            bad = [_contaminated(n, s) for n, s in zip(n_words, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(sha, pa.string()),
-                    pa.array(bad, pa.bool_()),
-                    pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(span)),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "items_sha256", "contaminated", "spans"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run,
+
+    def told(batch: pa.RecordBatch, n_words: list[int], found: list[Found]) -> pa.RecordBatch:
+        items = [sorted(names) for _, names in found]
+        spans = [s for s, _ in found]
+        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        bad = [_contaminated(n, s) for n, s in zip(n_words, spans, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(n_words, pa.int64()),
+                pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                pa.array(items, pa.list_(pa.string())),
+                pa.array(sha, pa.string()),
+                pa.array(bad, pa.bool_()),
+                pa.array(_spans(found), pa.list_(_SPAN)),
+            ],
+            ["doc_id", "n_words", "n_hit", "items", "items_sha256", "contaminated", "spans"],
+        )
+
+    schema = (
         f"doc_id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string, "
-        "contaminated boolean, spans array<struct<first: long, end: long>>",
+        "contaminated boolean, spans array<struct<first: long, end: long>>"
     )
+    return _through_blocks(docs.select("doc_id", "text"), benchmark, window, block_words, shard_words, (told, schema))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """The rows, with all their columns, that are not contaminated."""
-    blocks = _broadcast_blocks(docs, benchmark, window, BLOCK_WORDS)
+    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, n_words, found in _searched(batches, blocks, SHARD_WORDS):
-            bad = [_contaminated(n, s) for n, (s, _) in zip(n_words, found, strict=True)]
-            yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
+    def clean(batch: pa.RecordBatch, n_words: list[int], found: list[Found]) -> pa.RecordBatch:
+        bad = [_contaminated(n, s) for n, (s, _) in zip(n_words, found, strict=True)]
+        kept = batch.filter(pa.array([not b for b in bad], pa.bool_()))
+        return pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _through_blocks(docs, benchmark, window, block_words, SHARD_WORDS, (clean, docs.schema))
