@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to symbols: insult, threat, target, negation, report or other.
-Small transducers weigh an insult or threat by what stands around it in its
+Words map to symbols: insult, threat, target, negation, report or other, by the
+lists of the language that most of the text's common words belong to (one
+language's target may be another's article).  Small transducers weigh an insult or threat by what stands around it in its
 clause (a target strengthens it, a near negation or reported speech weakens
 it); they are composed into one machine that reads a clause once in each
 direction.  A document's clause scores are summed up by a logistic model.
 
 The insult arcs are whole words and stems (prefixes) learned from a bounded
 sample of labelled rows: those that toxic texts have far more often than clean
-ones, taken greedily until every toxic text of the sample is covered twice.
+ones, taken greedily until every toxic text of the sample is covered twice (so
+there are never more than two thirds as many as rows in the sample).
 The fixed lists below serve where there are no labels.
 
 Defined results: a null, empty or wordless text scores as a text without a
@@ -28,31 +30,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, small_batches
+from tidemark.llm.common import cut, held_out, small_batches
 from tidemark.llm.training import logistic, sigmoid, training_sample
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCUMENTS = 6000
-#: Candidate arcs that are counted, and arcs of the grammar, at most.
-CANDIDATE_ARCS = 60_000
-GRAMMAR_ARCS = 2000
 #: An arc is in so many toxic texts at least, and so much likelier there (natural logarithm).
 LEAST_TEXTS = 3
 LEAST_ODDS = 2.5
+#: How many times likelier in toxic texts of the whole sample an arc is to be looked at.
+TELLING = 8
 STEMS = range(3, 8)
 COVER = 2
 THRESHOLD = 0.3
 
-# Fixed word lists of the grammar.
-INSULTS = "idiot moron stupid scum loser pathetic worthless trash idiota imbécile idiote dummkopf"
-THREATS = "kill hurt destroy beat shoot stab töten umbringen matar matarte tuer frapper"
-TARGETS = "you your they them he she this these du ihr sie dich tú usted ustedes tu vous toi ils"
-NEGATIONS = "not no never isn aren don without nicht kein keine nie sin nunca pas jamais aucun"
-REPORTS = "said says called quoted wrote claimed sagte schrieb dijo escribió dit écrit"
+# Fixed word lists of the grammar, for each language; insults serve where none are learned.
+INSULTS = "idiot moron stupid scum loser pathetic worthless trash idiota imbécil idiote imbécile dummkopf"
+LISTS = {
+    "en": {
+        "common": "the and of to in is it that for with are was on as be this at by from have or not",
+        "threat": "kill hurt destroy beat shoot stab strangle",
+        "target": "you your yours they them their he him she her this these those",
+        "negation": "not no never isn aren don doesn wasn without nobody",
+        "report": "said says told called quoted wrote writes claimed",
+    },
+    "de": {
+        "common": "der die das und ist nicht ein eine mit von zu den im auf für es dem auch sich ich",
+        "threat": "töten töte umbringen schlagen erschießen erstechen vernichten",
+        "target": "du dich dir dein deine ihr euch sie ihnen er ihn",
+        "negation": "nicht kein keine keinen nie niemals ohne niemand",
+        "report": "sagte sagt schrieb schreibt nannte behauptete zitierte",
+    },
+    "es": {
+        "common": "el la los las de que y en un una es por con para se del al lo como más",
+        "threat": "matar matarte mato golpear destruir disparar apuñalar",
+        "target": "tú tu usted ustedes vosotros ellos ellas él ella ese esos",
+        "negation": "no ni sin nunca jamás nadie tampoco",
+        "report": "dijo dice escribió escribe llamó afirmó citó",
+    },
+    "fr": {
+        "common": "le la les de des du et en un une est que dans pour pas sur au avec ce il",
+        "threat": "tuer tue frapper détruire poignarder abattre massacrer",
+        "target": "tu toi vous vos votre ils elles lui elle eux ces",
+        "negation": "pas ne jamais aucun aucune sans personne ni",
+        "report": "dit disait écrit écrivit appela affirma cita",
+    },
+}
+_SYMBOL = {"threat": "H", "target": "T", "negation": "N", "report": "R"}
+SYMBOLS = {
+    lang: {w: x for kind, x in _SYMBOL.items() for w in lists[kind].split()} for lang, lists in LISTS.items()
+}
+#: Every word that could be a threat, whatever the language.
+THREATS = frozenset(w for lists in LISTS.values() for w in lists["threat"].split())
 
 WORD = re.compile(r"[^\W_]+")
 CLAUSE = re.compile(r"[.!?;:|\n]+")
 
+_COMMON = {lang: frozenset(lists["common"].split()) for lang, lists in LISTS.items()}
+
 Machine = dict[tuple, tuple]
 
 
@@ -98,6 +133,12 @@ def compose(*machines: Machine) -> tuple[tuple, Machine]:
 START, GRAMMAR = compose(TARGET, NEGATION, REPORT)
 
 
+def language_of(words: Iterable[str]) -> str:
+    """The language of LISTS to whose common words most of the words belong; the first of equals."""
+    seen = Counter(words)
+    return max(LISTS, key=lambda lang: sum(seen[w] for w in _COMMON[lang]))
+
+
 def features_of(word: str) -> Iterator[str]:
     """The arcs that read a word: itself and its stems, a star at their end."""
     yield word
@@ -114,9 +155,6 @@ class Grammar:
     weights: list[float] = field(default_factory=lambda: [1.0, 0.5, 0.5, 0.5, 0.5, -4.0])
 
     def __post_init__(self):
-        self.symbols = {w: "T" for w in TARGETS.split()}
-        self.symbols |= {w: "N" for w in NEGATIONS.split()} | {w: "R" for w in REPORTS.split()}
-        self.symbols |= {w: "H" for w in THREATS.split() if w not in self.arcs}
         self._finder = None
 
     def __getstate__(self):
@@ -136,7 +174,7 @@ class Grammar:
             import ahocorasick
 
             self._finder = ahocorasick.Automaton()
-            for a in {*self.arcs, *(w for w, s in self.symbols.items() if s == "H")}:
+            for a in {*self.arcs, *THREATS}:
                 stem = a.removesuffix("*")
                 self._finder.add_word(stem, (len(stem), not a.endswith("*")))
             self._finder.make_automaton()
@@ -153,12 +191,12 @@ class Grammar:
                 return True
         return False
 
-    def clause(self, words: list[str]) -> tuple[float, set[str], int]:
+    def clause(self, words: list[str], language: str = "en") -> tuple[float, set[str], int]:
         """Score of a clause, and the matched words and their number."""
-        tape = []
+        tape, symbols = [], SYMBOLS[language]
         for w in words:
             weight = self.weight(w)
-            tape.append(("I" if weight else self.symbols.get(w, "O"), weight or 1.0, w))
+            tape.append(("I" if weight else symbols.get(w, "O"), weight or 1.0, w))
         if not any(x in "IH" for x, _, _ in tape):
             return 0.0, set(), 0
         later, seen = [], 0
@@ -182,8 +220,10 @@ class Grammar:
         total = top = 0.0
         distinct: set[str] = set()
         hits = 0
-        for part in CLAUSE.split(low):
-            score, found, n = self.clause(WORD.findall(part))
+        clauses = [WORD.findall(part) for part in CLAUSE.split(low)]
+        language = language_of(w for words in clauses for w in words)
+        for words in clauses:
+            score, found, n = self.clause(words, language)
             total, top, hits = total + score, max(top, score), hits + n
             distinct |= found
         dense = 6000 * total / (300 + len(low))
@@ -195,18 +235,14 @@ class Grammar:
         return sigmoid(x @ w[:-1] + w[-1])
 
 
-def _counts(sample: DataFrame, kept: set[str] | None) -> DataFrame:
-    """(arc, half, toxic, clean): texts that have each arc; without kept, of toxic texts only."""
-    shared = sample.sparkSession.sparkContext.broadcast(kept)
+def _counts(sample: DataFrame) -> DataFrame:
+    """(arc, half, toxic, clean): how many texts of the sample have each arc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, label, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                arcs = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
-                if shared.value is not None:
-                    arcs &= shared.value
-                seen[2 * half + (label > 0)].update(arcs)
+                seen[2 * half + (label > 0)].update({f for w in set(WORD.findall(text.lower())) for f in features_of(w)})
         rows = [(a, k // 2, n * (k % 2), n * (1 - k % 2)) for k, c in seen.items() for a, n in c.items()]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
@@ -215,9 +251,8 @@ def _counts(sample: DataFrame, kept: set[str] | None) -> DataFrame:
             ["arc", "half", "toxic", "clean"],
         )
 
-    read = sample if kept is not None else sample.where("label > 0")
     return (
-        read.select("text", "label", "half")
+        sample.select("text", "label", "half")
         .mapInArrow(run, "arc string, half long, toxic long, clean long")
         .groupBy("arc", "half")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -246,7 +281,7 @@ def _arcs(
         # A stem of a chosen arc, or a word of a chosen stem, must tell more than that one.
         stem = a.removesuffix("*")
         related = (o for b, o in out.items() if stem.startswith(s := b.removesuffix("*")) or s.startswith(stem))
-        if gain >= LEAST_TEXTS and len(out) < GRAMMAR_ARCS and odds[a] > max(related, default=0.0):
+        if gain >= LEAST_TEXTS and odds[a] > max(related, default=0.0):
             out[a] = min(8.0, odds[a])
             for i in holders[a]:
                 need[i] -= 1
@@ -260,37 +295,34 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> G
     sizes = {(r["half"], r["label"] > 0): r["n"] for r in sample.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     if sum(n for (_, bad), n in sizes.items() if bad) < LEAST_TEXTS:
         return plain
-    frequent = (
-        _counts(sample, None)
-        .groupBy("arc")
-        .agg(F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= LEAST_TEXTS)
-        .orderBy(F.desc("toxic"), "arc")
-        .limit(CANDIDATE_ARCS)
+    size = {bad: sizes.get((0, bad), 0) + sizes.get((1, bad), 0) for bad in (True, False)}
+    counted = cut(_counts(sample))
+    # Arcs of several toxic texts that tell them from clean ones: the others cannot become part of the grammar.
+    strong = (
+        counted.groupBy("arc")
+        .agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        .where(F.col("t") >= LEAST_TEXTS)
+        .where((F.col("t") + 0.5) * (size[False] + 1) > TELLING * (F.col("c") + 0.5) * (size[True] + 1))
+        .select("arc")
     )
-    kept = {r["arc"] for r in frequent.collect()}
-    counted = _counts(sample, kept).collect()
     count: dict[tuple, Counter] = defaultdict(Counter)
-    for r in counted:
+    for r in counted.join(strong, "arc").collect():
         count[r["half"], True][r["arc"]] = r["toxic"]
         count[r["half"], False][r["arc"]] = r["clean"]
-    both = {bad: count[0, bad] + count[1, bad] for bad in (True, False)}
-    size = {bad: sizes.get((0, bad), 0) + sizes.get((1, bad), 0) for bad in (True, False)}
-    telling = {
-        a
-        for a, t in both[True].items()
-        if (t + 0.5) * (size[False] + 1) > 8 * (both[False][a] + 0.5) * (size[True] + 1)
-    }
+    telling = set(count[0, True]) | set(count[1, True])
     shared = sample.sparkSession.sparkContext.broadcast(telling)
 
-    @F.udf("array<string>")
-    def arcs_of(text):
-        words = set(WORD.findall(text.lower()))
-        return sorted({f for w in words for f in features_of(w)} & shared.value)
+    def arcs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arcs = [
+                sorted({f for w in set(WORD.findall(t.lower())) for f in features_of(w)} & shared.value)
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(arcs, pa.list_(pa.string()))], ["half", "arcs"])
 
     toxic_texts = [
         (r["half"], set(r["arcs"]))
-        for r in sample.where("label > 0").select("half", arcs_of("text").alias("arcs")).collect()
+        for r in sample.where("label > 0").select("half", "text").mapInArrow(arcs_of, "half long, arcs array<string>").collect()
     ]
 
     def learned(halves: tuple[int, ...]) -> dict[str, float]:
@@ -303,11 +335,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> G
     first = Grammar({**plain.arcs, **learned((0,))})
     carried = sample.sparkSession.sparkContext.broadcast(first)
 
-    @F.udf("array<double>")
-    def read(text):
-        return carried.value.features(text)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [carried.value.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
-    rows = sample.where("half = 1").select(read("text").alias("x"), "label").collect()
+    other = sample.where("half = 1").select("text", "label")
+    rows = other.mapInArrow(read, "x array<double>, label int").collect()
+    rows = sorted(rows, key=lambda r: (r["label"], r["x"]))
     grammar = Grammar({**plain.arcs, **learned((0, 1))})
     y = np.array([r["label"] > 0 for r in rows], float)
     if 0 < y.sum() < len(y):
