@@ -8,6 +8,9 @@ difference needs a differing bit), and the other pairs are compared whole with
 numpy exclusive-or and bit counts.  A pair of tiles gives a spanning forest of
 its links rather than every link, so a group of n near copies costs n rows.
 Groups are connected components of those links, found by star contraction.
+Both the comparison and what is shuffled for it grow with the square of the
+number of distinct fingerprints once tiles have several parts; the shuffle less
+by the size of a tile.
 
 Defined results: null or blank text has fingerprint zero; rows with equal text
 share a fingerprint; a null doc_id never names a component unless the whole
@@ -16,7 +19,6 @@ component has none; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import accumulate, product
 
@@ -26,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_AZ, cut, rows_of, shared_folder, small_batches
+from tidemark.llm.common import LOWER_AZ, cut, joined_evenly, rows_of, scratch, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 #: Fingerprints in one tile at most; a larger tile is dealt into several.
-TILE_ROWS = 4096
+TILE_ROWS = 32_768
 SEGMENTS = 4
 SEGMENT_BITS = 64 // SEGMENTS
 _PART = 1 << 18
@@ -179,8 +181,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the links.
 
     Large-star and small-star steps alternate until the links no longer change.
-    Each step aggregates before it joins, so a node with very many links is
-    never gathered in one task.
+    A node with very many links, as the root of a large component, is dealt out
+    over several tasks.
     """
     edges = cut(
         links.where("a <> b")
@@ -190,13 +192,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("links"))
         large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            joined_evenly(both, cut(low), ["u"], "links", F.col("v"))
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = cut(large.where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")))
+        joined = joined_evenly(large, least, ["u"], "links", F.col("v"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
@@ -223,13 +227,13 @@ def rooted_prints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
     rooted = rooted_prints(distinct, radius)
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(by_print, F.col("fp") == F.col("of"), "left").select(
-        "doc_id", "fp", "component_id"
-    )
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("prints"))
+    by_print = joined_evenly(rooted, cut(named), ["root"], "prints", F.col("fp")).select("fp", "copies", "component_id")
+    # Rows that share a fingerprint are told apart by their place in what was checkpointed.
+    rows = prints.withColumn("_at", F.monotonically_increasing_id())
+    return joined_evenly(rows, cut(by_print), ["fp"], "copies", F.col("_at")).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -238,7 +242,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     It is the one with the least doc_id (null last); among rows that share it, the first read.
     """
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    path = scratch(spark, "rows")
     docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
