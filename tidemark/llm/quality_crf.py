@@ -3,9 +3,12 @@
 Every line that has a word is a node with two labels, good and bad.  Its
 features are its own and those of the lines before and after it.  The chain is
 fitted by conditional likelihood on a bounded sample of labelled documents,
-whose lines carry their document's label.  A document's quality is the mean of
-its lines' forward-backward marginals weighted by their length, put on the
-scale of probabilities by a logistic step.
+whose lines carry their document's label.  All their lines are cut into runs of
+CHAIN_LINES; where there are more runs than TRAIN_CHAINS a seeded hash of their
+content picks which are used, wherever in a text they stand.  A document's
+quality is the mean of its lines' forward-backward marginals weighted by their
+length, put on the scale of probabilities by a logistic step, which is fitted
+on the means of the sample's whole texts.
 
 Defined results: a text without a word (null, empty, blank) scores 0; rows
 that repeat are scored once each; only the text is scored; without labels of
@@ -25,10 +28,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import held_out, small_batches
 from tidemark.llm.training import logistic, sigmoid, training_sample
 
-#: Labelled documents that the model is fitted on, at most, and lines of one in a training chain.
+#: Labelled documents that the model is fitted on, at most; lines of a training chain; chains, at most.
 TRAIN_DOCUMENTS = 2000
 CHAIN_LINES = 48
-CHAINS_PER_DOCUMENT = 8
+TRAIN_CHAINS = 6000
+SEED = 7
 ROUNDS = 80
 THRESHOLD = 0.5
 
@@ -128,17 +132,21 @@ class Chain:
         """P(good) of each line; chains lie one after the other, with these lengths."""
         return forward_backward(score, lengths, self.moves)[0]
 
-    def document_scores(self, texts: list[str | None]) -> np.ndarray:
+    def document_means(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean P(good) of each text's lines by their length, and which texts have a line."""
         owner, size, x = line_features(texts)
-        out = np.zeros(len(texts))
+        mean, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
         if len(owner):
             lengths = np.bincount(owner, minlength=len(texts))
             good = self.marginals(self.emission(x), lengths[lengths > 0])
             weight = np.bincount(owner, size, len(texts))
             some = weight > 0
-            mean = np.bincount(owner, size * good, len(texts))[some] / weight[some]
-            out[some] = sigmoid(self.scale[0] * mean + self.scale[1])
-        return out
+            mean[some] = np.bincount(owner, size * good, len(texts))[some] / weight[some]
+        return mean, some
+
+    def document_scores(self, texts: list[str | None]) -> np.ndarray:
+        mean, some = self.document_means(texts)
+        return np.where(some, sigmoid(self.scale[0] * mean + self.scale[1]), 0.0)
 
 
 def forward_backward(
@@ -216,43 +224,42 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> C
     )
     empty.scale = (0.0, 0.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(0).to_pylist()
-            owner, size, x = line_features(batch.column(1).to_pylist())
-            rows = []
-            for i in range(batch.num_rows):
-                at = np.flatnonzero(owner == i)[: CHAIN_LINES * CHAINS_PER_DOCUMENT]
-                rows.append((x[at].tobytes(), size[at].tobytes()))
+            owner, _, x = line_features(batch.column(1).to_pylist())
+            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            rows = [
+                (label[i], x[k : min(k + CHAIN_LINES, end)].tobytes())
+                for i, (first, end) in enumerate(zip(starts, starts[1:], strict=False))
+                for k in range(first, end, CHAIN_LINES)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(label, pa.int32()),
-                    pa.array([r[0] for r in rows], pa.binary()),
-                    pa.array([r[1] for r in rows], pa.binary()),
-                ],
-                ["label", "x", "size"],
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "x"]
             )
 
-    rows = [
-        (r["label"], np.frombuffer(r["x"], np.float32).reshape(-1, 3 * OWN_FEATURES), np.frombuffer(r["size"]))
-        for r in sample.select("label", "text")
-        .mapInArrow(run, "label int, x binary, size binary")
-        .collect()
-    ]
-    rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[0], r[1].tobytes()))
-    if len({r[0] > 0 for r in rows}) < 2:
+    picked = (
+        sample.select("label", "text")
+        .mapInArrow(chains, "label int, x binary")
+        .orderBy(F.xxhash64("x", "label", F.lit(SEED)), "label", "x")
+        .limit(TRAIN_CHAINS)
+    )
+    rows = [(int(r["label"] > 0), np.frombuffer(r["x"], np.float32).reshape(-1, 3 * OWN_FEATURES)) for r in picked.collect()]
+    if len({y for y, _ in rows}) < 2:
         return empty
-    x = np.vstack([r[1] for r in rows]).astype(float)
-    whole = np.array([len(r[1]) for r in rows])
-    y = np.repeat([int(r[0] > 0) for r in rows], whole)
-    parts = np.concatenate([np.diff(np.append(np.arange(0, n, CHAIN_LINES), n)) for n in whole])
-    chain = fit(x, y, parts)
-    owner = np.repeat(np.arange(len(rows)), whole)
-    size = np.concatenate([r[2] for r in rows])
-    good = chain.marginals(chain.emission(x), whole)
-    means = np.bincount(owner, size * good) / np.bincount(owner, size)
-    labels_of = np.array([r[0] > 0 for r in rows], float)
-    a, b = logistic(means[:, None], labels_of, ridge=1e-3)
+    lengths = np.array([len(x) for _, x in rows])
+    chain = fit(np.vstack([x for _, x in rows]).astype(float), np.repeat([y for y, _ in rows], lengths), lengths)
+    shared = sample.sparkSession.sparkContext.broadcast(chain)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mean, some = shared.value.document_means(batch.column(1).to_pylist())
+            told = pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean)], ["label", "mean"])
+            yield told.filter(pa.array(some))
+
+    told = sample.select("label", "text").mapInArrow(means, "label int, mean double").collect()
+    told = sorted((int(r["label"] > 0), r["mean"]) for r in told)
+    a, b = logistic(np.array([[m] for _, m in told]), np.array([y for y, _ in told], float), ridge=1e-3)
     chain.scale = (float(a), float(b))
     return chain
 
