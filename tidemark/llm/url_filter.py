@@ -1,15 +1,17 @@
 """URL filtering by rules and a path-template tree, in DataFrame operations only.
 
 Rules of host and path prefix decide first, the longest that fits.  The other
-URLs are judged by a tree of path templates for each host.  Level by level, a
+URLs are judged by a tree of path templates for each host, which counts all
+pages, also those that a rule fits.  Level by level, as deep as paths go, a
 segment becomes a wildcard where it varies too much under its branch (numbers
 and hashes always do), and a fixed segment is merged into the wildcard where
 its rate of bad pages differs from its siblings' by no more than chance.  A
 template is rejected if enough labelled pages fall under it and its purity,
 smoothed towards its host's and the overall rate, is high.
 
-Every count is made by grouping (combined before the shuffle), never by a
-window over a host, so a host with a third of all pages is no hot group.
+Pages are counted by host, path shape and number before anything is joined, and
+a join whose key many rows share (a host with a third of all pages, the page
+number 1) deals that key out over several tasks.
 
 Defined results: a null URL or one without '://' has an empty host and path,
 fits no rule and is allowed; rows that repeat are judged once each; without
@@ -18,12 +20,10 @@ labels every URL that fits no rule is allowed; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, joined_evenly
 
 #: The base rules (verdict, host, path).
 RULES = (
@@ -33,8 +33,6 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Levels of the tree; deeper segments count together as one.
-DEPTH = 3
 #: A branch with so many children, and so many for each page, has variable segments.
 LEAST_CHILDREN = 12
 VARIABLE_SHARE = 0.5
@@ -66,29 +64,44 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds bad (1, 0 or null): a page is labelled as the document whose number ends its path."""
+def _counted(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, raw, n, n_labelled, n_bad): a page is labelled as the document whose number ends its path."""
     number = F.expr("try_cast(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS bigint)")
+    shapes = cut(pages.groupBy("host", "raw", number.alias("number")).agg(F.count("*").alias("n")))
     known = (
         labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
         .groupBy(F.col("doc_id").alias("number"))
         .agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+        .where("bad IS NOT NULL")
     )
-    return pages.withColumn("number", number).join(known, "number", "left").drop("number")
+    often = shapes.where("number IS NOT NULL").groupBy("number").agg(F.count("*").alias("shapes"))
+    told = cut(known.join(often, "number"))  # only labels that a page has
+    labelled = joined_evenly(
+        shapes.where("number IS NOT NULL"), told, ["number"], "shapes", F.struct("host", "raw")
+    ).select("host", "raw", F.lit(0).cast("long").alias("n"), F.col("n").alias("n_labelled"), (F.col("n") * F.col("bad")).alias("n_bad"))
+    none = F.lit(0).cast("long")
+    counts = shapes.select("host", "raw", "n", none.alias("n_labelled"), none.alias("n_bad")).unionByName(labelled)
+    return counts.groupBy("host", "raw").agg(*[F.sum(c).alias(c) for c in ("n", "n_labelled", "n_bad")])
+
 
+def _level(tree: DataFrame, total: int) -> DataFrame:
+    """Settles the next segment of every branch: kept, or '*'.  A path without one stays as it is.
 
-def _level(tree: DataFrame, k: int) -> DataFrame:
-    """Settles segment k of every branch: kept, or '*'."""
-    seg = f"s{k}"
+    A path that has its branch to itself has no siblings to differ from: the rest of it is settled at once.
+    """
     branch = ["host", "t"]
-    child = tree.groupBy(*branch, seg).agg(
-        F.sum("n").alias("c_n"), F.sum("n_labelled").alias("c_l"), F.sum("n_bad").alias("c_b")
+    told = tree.withColumn("seg", F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
+    child = cut(
+        told.groupBy(*branch, "seg").agg(
+            F.sum("n").alias("c_n"), F.sum("n_labelled").alias("c_l"), F.sum("n_bad").alias("c_b"), F.count("*").alias("paths")
+        )
     )
     parent = child.groupBy(*branch).agg(
         F.count("*").alias("children"),
         F.sum("c_n").alias("p_n"),
         F.sum("c_l").alias("p_l"),
         F.sum("c_b").alias("p_b"),
+        F.sum("paths").alias("all_paths"),
     )
     others = F.col("p_l") - F.col("c_l")
     rate = F.try_divide("p_b", "p_l")
@@ -99,69 +112,77 @@ def _level(tree: DataFrame, k: int) -> DataFrame:
         F.col("children") > VARIABLE_SHARE * F.col("p_n")
     )
     settled = (
-        F.when(F.col(seg) == "", "")
-        .when((F.col(seg) == "*") | variable, "*")
-        .when(F.coalesce(apart, F.lit(False)), F.col(seg))
+        F.when(F.col("seg") == "", "")
+        .when((F.col("seg") == "*") | variable, "*")
+        .when(F.coalesce(apart, F.lit(False)), F.col("seg"))
         .otherwise("*")
     )
-    said = child.join(parent, branch).select(*branch, seg, settled.alias("new"))
-    rest = [f"s{i}" for i in range(k + 1, DEPTH + 2)]
-    return tree.join(said, [*branch, seg]).select(
+    known = joined_evenly(child, parent.withColumn("kids", F.col("children")), branch, "kids", F.col("seg"), total)
+    said = known.select(*branch, "seg", settled.alias("new"), (F.col("all_paths") == 1).alias("alone"), "paths")
+    rest = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
+    whole = F.concat("t", F.array_join(F.transform("parts", lambda _: F.lit("/*")), ""))
+    return joined_evenly(told, said, [*branch, "seg"], "paths", F.col("raw"), total).select(
         "host",
         "raw",
-        F.concat("t", F.when(F.col("new") == "", "").otherwise(F.concat(F.lit("/"), "new"))).alias("t"),
-        *rest,
+        F.when(F.col("alone"), whole)
+        .otherwise(F.concat("t", F.when(F.col("new") == "", "").otherwise(F.concat(F.lit("/"), "new"))))
+        .alias("t"),
+        F.when(F.col("alone"), F.lit(None)).when(F.col("seg") != "", rest).alias("parts"),
         "n",
         "n_labelled",
         "n_bad",
     )
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, raw, template, n_labelled, n_bad, purity, reject) of every raw template.
+def templates(counts: DataFrame) -> DataFrame:
+    """(host, raw, template, n, n_labelled, n_bad, purity, reject) of every raw path.
 
-    pages has host, raw (the path with '*' for numbers and hashes) and bad.
+    counts has host, raw (the path with '*' for numbers and hashes), n, n_labelled and n_bad.
+    The loop ends after the longest stretch of segments that several paths go along together.
     """
-    tree = cut(
-        pages.groupBy("host", "raw").agg(
-            F.count("*").alias("n"), F.count("bad").alias("n_labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")
+    columns = ["host", "raw", "t", "n", "n_labelled", "n_bad"]
+    level = cut(
+        counts.select(
+            "host",
+            "raw",
+            F.lit("").alias("t"),
+            F.filter(F.split("raw", "/"), lambda x: x != "").alias("parts"),
+            "n",
+            "n_labelled",
+            "n_bad",
         )
     )
-    parts = F.filter(F.split("raw", "/"), lambda x: x != "")
-    level = tree.withColumn("parts", parts).select(
-        "host",
-        "raw",
-        F.lit("").alias("t"),
-        *[F.coalesce(F.get("parts", i), F.lit("")).alias(f"s{i}") for i in range(DEPTH)],
-        F.when(F.size("parts") > DEPTH, "*").otherwise("").alias(f"s{DEPTH}"),
-        "n",
-        "n_labelled",
-        "n_bad",
-    )
-    level = level.withColumn(f"s{DEPTH + 1}", F.lit(""))
-    for k in range(DEPTH + 1):
-        level = cut(_level(level, k))  # else each level would read those before it thrice
-    total = level.agg(F.sum("n_bad").alias("b"), F.sum("n_labelled").alias("l")).first()
+    paths = level.count()
+    settled = level.where("parts IS NULL").select(columns)
+    while not level.isEmpty():
+        level = cut(_level(level, paths))  # else each level would read those before it several times
+        settled = settled.unionByName(level.where("parts IS NULL").select(columns))
+        level = level.where("parts IS NOT NULL")
+    total = settled.agg(F.sum("n_bad").alias("b"), F.sum("n_labelled").alias("l")).first()
     overall = (total["b"] or 0) / max(1, total["l"] or 0)
 
     def smoothed(bad: str, labelled: str, prior: Column) -> Column:
         return (F.col(bad) + SMOOTHING * prior) / (F.col(labelled) + SMOOTHING)
 
+    per_template = cut(
+        settled.groupBy("host", F.col("t").alias("template")).agg(
+            F.sum("n_bad").alias("b"), F.sum("n_labelled").alias("l"), F.count("*").alias("paths")
+        )
+    )
     hosts = (
-        level.groupBy("host")
-        .agg(F.sum("n_bad").alias("h_b"), F.sum("n_labelled").alias("h_l"))
-        .select("host", smoothed("h_b", "h_l", F.lit(overall)).alias("prior"))
+        per_template.groupBy("host")
+        .agg(F.sum("b").alias("h_b"), F.sum("l").alias("h_l"), F.count("*").alias("templates"))
+        .select("host", smoothed("h_b", "h_l", F.lit(overall)).alias("prior"), "templates")
     )
     judged = (
-        level.groupBy("host", F.col("t").alias("template"))
-        .agg(F.sum("n_bad").alias("b"), F.sum("n_labelled").alias("l"))
-        .join(hosts, "host")
+        joined_evenly(per_template, hosts, ["host"], "templates", F.col("template"), paths)
         .withColumn("purity", smoothed("b", "l", F.col("prior")))
         .withColumn("reject", (F.col("l") >= LEAST_LABELLED) & (F.col("purity") >= PURITY))
     )
-    return level.select("host", "raw", F.col("t").alias("template")).join(
-        judged, ["host", "template"]
-    ).select("host", "raw", "template", F.col("l").alias("n_labelled"), F.col("b").alias("n_bad"), "purity", "reject")
+    rows = settled.select("host", "raw", F.col("t").alias("template"), "n")
+    return joined_evenly(rows, judged, ["host", "template"], "paths", F.col("raw"), paths).select(
+        "host", "raw", "template", "n", F.col("l").alias("n_labelled"), F.col("b").alias("n_bad"), "purity", "reject"
+    )
 
 
 def judged_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -177,12 +198,21 @@ def judged_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         "/",
     )
     ruled = base.withColumns({"rule": rule, "said": said, "raw": raw})
-    free = _labelled(ruled.where("rule IS NULL AND host <> ''"), labels)
-    found = templates(free.select("host", "raw", "bad")).select(
-        F.col("host").alias("h"), F.col("raw").alias("r"), "template", "purity", "reject"
-    )
-    joined = ruled.join(
-        found, (F.col("host") == F.col("h")) & (F.col("raw") == F.col("r")) & F.col("rule").isNull(), "left"
+    hosted = ruled.where("host <> ''")
+    found = cut(templates(_counted(hosted.select("host", "raw", "path"), labels)).select("host", "raw", "template", "purity", "reject", "n"))
+    # Rows in the order of the table's files: the same in every run, and different for rows that repeat.
+    placed = hosted.withColumn("_at", F.monotonically_increasing_id())
+    columns = ["page_id", "host", "path", "rule", "said"]
+    free = F.col("rule").isNull()
+    joined = (
+        joined_evenly(placed, found, ["host", "raw"], "n", F.col("_at"))
+        .select(
+            *columns,
+            F.when(free, F.col("reject")).alias("reject"),
+            F.when(free, F.col("template")).alias("template"),
+            F.when(free, F.col("purity")).alias("purity"),
+        )
+        .unionByName(ruled.where("host = ''").select(columns), allowMissingColumns=True)
     )
     return joined.select(
         "page_id",
@@ -204,28 +234,8 @@ def oracle() -> str:
     rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
     said = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, ordered, strict=True))
 
-    def level(k: int) -> str:
-        rest = "".join(f", s{i}" for i in range(k + 1, DEPTH + 1))
-        return f"""
-), c{k} AS (
-  SELECT host, t, s{k}, sum(n) AS cn, sum(l) AS cl, sum(b) AS cb FROM l{k} GROUP BY ALL
-), p{k} AS (
-  SELECT host, t, count(*) AS children, sum(cn) AS pn, sum(cl) AS pl, sum(cb) AS pb FROM c{k} GROUP BY ALL
-), d{k} AS (
-  SELECT host, t, s{k}, CASE WHEN s{k} = '' THEN ''
-    WHEN s{k} = '*' OR (children >= {LEAST_CHILDREN} AND children > {VARIABLE_SHARE} * pn) THEN '*'
-    WHEN coalesce(abs(cb / nullif(cl, 0) - (pb - cb) / nullif(pl - cl, 0)) > {APART} * sqrt(
-      (pb / nullif(pl, 0)) * (1 - pb / nullif(pl, 0)) * (1.0 / nullif(cl, 0) + 1.0 / nullif(pl - cl, 0))), false)
-    THEN s{k} ELSE '*' END AS new
-  FROM c{k} JOIN p{k} USING (host, t)
-), l{k + 1} AS (
-  SELECT host, raw, t || CASE WHEN new = '' THEN '' ELSE '/' || new END AS t{rest}, n, l, b
-  FROM l{k} JOIN d{k} USING (host, t, s{k})"""
-
-    parts = ", ".join(f"coalesce(parts[{i + 1}], '') AS s{i}" for i in range(DEPTH))
-    last = DEPTH + 1
     return rf"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
   FROM pages
 ), v AS (
@@ -241,28 +251,33 @@ WITH u AS (
   SELECT doc_id AS number, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1
     WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1
-), f AS (
-  SELECT host, raw, bad FROM (
-    SELECT *, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS number
-    FROM r WHERE rule IS NULL AND host <> '') LEFT JOIN k USING (number)
 ), e AS (
-  SELECT host, raw, count(*) AS n, count(bad) AS l, coalesce(sum(bad), 0) AS b,
-         list_filter(string_split(raw, '/'), lambda x: x <> '') AS parts
-  FROM f GROUP BY host, raw
-), l0 AS (
-  SELECT host, raw, '' AS t, {parts}, CASE WHEN len(parts) > {DEPTH} THEN '*' ELSE '' END AS s{DEPTH}, n, l, b
-  FROM e{"".join(map(level, range(DEPTH + 1)))}
+  SELECT host, raw, count(*) AS n, count(bad) AS l, coalesce(sum(bad), 0)::BIGINT AS b
+  FROM (SELECT *, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS number FROM r WHERE host <> '')
+  LEFT JOIN k USING (number) GROUP BY host, raw
+), v0(host, raw, t, parts, n, l, b) AS (
+  SELECT host, raw, '', list_filter(string_split(raw, '/'), lambda x: x <> ''), n, l, b FROM e
+  UNION ALL
+  SELECT host, raw, t || CASE WHEN seg = '' THEN '' WHEN seg <> '*' AND NOT (kids >= {LEAST_CHILDREN} AND kids > {VARIABLE_SHARE} * pn)
+      AND coalesce(abs(cb / nullif(cl, 0) - (pb - cb) / nullif(pl - cl, 0)) > {APART} * sqrt(
+        (pb / nullif(pl, 0)) * (1 - pb / nullif(pl, 0)) * (1.0 / nullif(cl, 0) + 1.0 / nullif(pl - cl, 0))), false)
+    THEN '/' || seg ELSE '/*' END, CASE WHEN seg <> '' THEN parts[2:] END, n, l, b
+  FROM (SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, t) AS kids, sum(n) OVER (PARTITION BY host, t) AS pn,
+          sum(l) OVER (PARTITION BY host, t) AS pl, sum(b) OVER (PARTITION BY host, t) AS pb,
+          sum(l) OVER (PARTITION BY host, t, seg) AS cl, sum(b) OVER (PARTITION BY host, t, seg) AS cb
+        FROM (SELECT *, coalesce(parts[1], '') AS seg FROM v0 WHERE parts IS NOT NULL))
+), z0 AS (SELECT * FROM v0 WHERE parts IS NULL
 ), o AS (
-  SELECT coalesce(sum(b), 0) / greatest(1, coalesce(sum(l), 0)) AS overall FROM l{last}
+  SELECT coalesce(sum(b), 0) / greatest(1, coalesce(sum(l), 0)) AS overall FROM z0
 ), h AS (
   SELECT host, (sum(b) + {SMOOTHING} * any_value(overall)) / (sum(l) + {SMOOTHING}) AS prior
-  FROM l{last}, o GROUP BY host
+  FROM z0, o GROUP BY host
 ), j AS (
   SELECT host, t, sum(l) AS n_l, (sum(b) + {SMOOTHING} * any_value(prior)) / (sum(l) + {SMOOTHING}) AS purity
-  FROM l{last} JOIN h USING (host) GROUP BY host, t
+  FROM z0 JOIN h USING (host) GROUP BY host, t
 ), z AS (
   SELECT host, raw, t AS template, purity, n_l >= {LEAST_LABELLED} AND purity >= {PURITY} AS reject
-  FROM l{last} JOIN j USING (host, t)
+  FROM z0 JOIN j USING (host, t)
 )
 SELECT page_id, r.host, path, rule,
        coalesce(said, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict,
