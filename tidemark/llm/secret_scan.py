@@ -52,8 +52,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-IDENTIFIER = re.compile(r"[A-Za-z]*[_/=-]*(?:[A-Za-z]+[_/=-]+)*[A-Za-z]*[0-9]{0,4}|[0-9_+/=-]+")
-CAMEL = re.compile(r"[A-Z]?[a-z]+")
+IDENTIFIER = re.compile("[A-Za-z_/=-]*[0-9]{0,4}|[0-9_+/=-]+")
+#: Characters of a run that are encoded at once, so that time grows with its length alone.
+ENCODED = 2_048
 
 _encoders: dict[str, object] = {}
 
@@ -72,10 +73,15 @@ def encoder(vocabulary: str = VOCABULARY):
     return _encoders[vocabulary]
 
 
+def _tokens(run: str, vocabulary: str) -> int:
+    """How many tokens a run takes; a longer one is encoded in parts."""
+    count = encoder(vocabulary).encode_ordinary
+    return sum(len(count(run[i : i + ENCODED])) for i in range(0, len(run), ENCODED))
+
+
 def _reads_as_words(run: str, vocabulary: str, least: float) -> bool:
     """Whether each letter part is a single letter or takes few tokens of the vocabulary."""
-    count = encoder(vocabulary).encode_ordinary
-    return all(len(x) == 1 or len(x) >= least * len(count(x)) for x in LETTERS.findall(run))
+    return all(len(x) == 1 or len(x) >= least * _tokens(x, vocabulary) for x in LETTERS.findall(run))
 
 
 def _is_known(run: str) -> bool:
@@ -87,7 +93,7 @@ def is_random(run: str, vocabulary: str = VOCABULARY, least: float = LEAST_CHARS
     """Whether a run of key characters is a random string and no known kind of name."""
     if _is_known(run) or not LETTERS.search(run):
         return False
-    if len(run) >= least * len(encoder(vocabulary).encode_ordinary(run)):
+    if len(run) >= least * _tokens(run, vocabulary):
         return False
     return not (IDENTIFIER.fullmatch(run) and _reads_as_words(run, vocabulary, least))
 
