@@ -26,7 +26,9 @@ PROSE_WORDS = 6
 BLANK = r"[\x20\x09-\x0D]"
 WORDED = r"[^\x20\x09-\x0D]"
 ENDS = tuple(".!?:;…\"'”»)]")
-#: Fixed phrases of boilerplate lines, lower case.
+#: Characters between the entries of a navigation line.
+SEPARATORS = "|•·→›"
+#: Fixed phrases of boilerplate lines, lower case: English, German, Spanish, French.
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -38,6 +40,29 @@ BOILERPLATE = (
     "subscribe to our",
     "click here",
     "lorem ipsum",
+    "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookie-richtlinie",
+    "hier klicken",
+    "newsletter abonnieren",
+    "javascript aktivieren",
+    "zum inhalt springen",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "condiciones de uso",
+    "política de cookies",
+    "haga clic aquí",
+    "suscríbete a",
+    "saltar al contenido",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "mentions légales",
+    "politique de cookies",
+    "cliquez ici",
+    "abonnez-vous",
+    "aller au contenu",
 )
 BOILERPLATE_WORDS = 30
 
@@ -104,18 +129,19 @@ def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
     return F.when(n > window, counted).otherwise(F.lit(0).cast("long"))
 
 
-def line_fails(line: Column, boilerplate: Column, bangs: Column, symbols: Column) -> Column:
+def line_fails(line: Column, boilerplate: Column, bangs: Column, symbols: Column, separators: Column) -> Column:
     """Whether a line with a word is to be removed.
 
     The flags say what the whole text has, so most lines are asked only how they end.
     """
     n = F.length(line) - F.length(_without(line, " ")) + 1
-    bars = F.length(line) - F.length(_without(line, "|"))
+    bars = F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
     signs = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     loud = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     return (
         (~F.substring(F.rtrim(line), -1, 1).isin(*ENDS) & (n >= PROSE_WORDS))
-        | (symbols & (((bars > 0) & (bars * 4 >= n)) | ((signs > 1) & (signs * 2 >= n))))
+        | (separators & (bars > 0) & (bars * 4 >= n))
+        | (symbols & (signs > 1) & (signs * 2 >= n))
         | (bangs & (loud >= 3) & (loud * 4 >= n))
         | (boilerplate & (n <= BOILERPLATE_WORDS) & _any_of(F.lower(line), BOILERPLATE))
     )
@@ -132,6 +158,7 @@ def judged(docs: DataFrame) -> DataFrame:
         _any_of(F.lower("t"), BOILERPLATE).alias("boilerplate"),
         F.contains("t", F.lit("!!")).alias("bangs"),
         F.col("t").rlike("[#*$%&|<>]").alias("symbols"),
+        F.col("t").rlike(f"[{SEPARATORS}]").alias("separators"),
     )
     base = split.select(
         "doc_id",
@@ -148,7 +175,7 @@ def judged(docs: DataFrame) -> DataFrame:
         F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"),
         F.filter(
             "lines",
-            lambda x: ~line_fails(x, F.col("boilerplate"), F.col("bangs"), F.col("symbols")),
+            lambda x: ~line_fails(x, *map(F.col, ("boilerplate", "bangs", "symbols", "separators"))),
         ).alias("good"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (
@@ -194,7 +221,7 @@ WITH d AS (
 ), l AS (
   SELECT rid, line, length(line) AS size, length(line) - length(replace(line, ' ', '')) + 1 AS n,
          length(line) - length(replace(line, '!!', '!')) AS bangs,
-         length(line) - length(replace(line, '|', '')) AS bars,
+         length(line) - length(regexp_replace(line, '[{SEPARATORS}]', '', 'g')) AS bars,
          length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS signs
   FROM (SELECT rid, unnest(nb) AS line FROM w)
 ), k AS (
