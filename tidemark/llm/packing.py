@@ -11,9 +11,11 @@ which has no more entries than a sequence has tokens, whatever the input:
 4. the rest, largest first, then the small pieces go where they fit best.
 
 The programme is solved for a few bounds of large lengths and numbers of groups and the plan with the
-fewest sequences is kept.  Pieces get their rank within their length through
-bucket counts, so a length that very many pieces share is never gathered in
-one task, and a rank names its sequence by arithmetic.
+fewest sequences is kept; with large lengths above half a sequence it is never
+worse than best-fit-decreasing.  Pieces get their rank within their length
+through bucket counts (a length has as many buckets as it has pieces for), so a
+length that very many pieces share is never gathered in one task, and a rank
+names its sequence and its place there by arithmetic.
 
 Defined results: a null or empty text is the closing id alone; rows that
 repeat are packed once each; other columns are ignored.
@@ -22,8 +24,8 @@ repeat are packed once each; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_folder, small_batches
+from tidemark.llm.common import cut, scratch, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 2048
 #: Tried one after the other: lengths above this share of a sequence are large, and so many groups.
-SCHEMES = ((1 / 4, 16), (0.4, 16), (0.4, 48))
-BUCKETS = 64
+SCHEMES = ((1 / 4, 16), (0.4, 16), (0.4, 48), (0.5, 48))
 #: Columns of pieces that places are found from.
 NARROW = ["doc_id", "piece", "start", "length", "ids_crc32"]
 #: Chunks, and words, in each of the two generations whose ids a process keeps.
@@ -311,16 +312,18 @@ def best_plan(histogram: dict[int, int], capacity: int = SEQUENCE_TOKENS) -> lis
     return min(plans, key=lambda bins: sum(b[0] for b in bins))
 
 
-def places(bins: list[Bin]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: where each run of ranks starts, its first sequence, its pieces a sequence."""
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+def places(bins: list[Bin]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length, of each run of ranks: where it starts, its first sequence, pieces in each, their offset."""
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}
     first = 0
     for times, _, held in bins:
+        offset = 0
         for length, each in held:
             at = ranks.get(length, 0)
-            runs.setdefault(length, []).append((at, first, each))
+            runs.setdefault(length, []).append((at, first, each, offset))
             ranks[length] = at + times * each
+            offset += length * each
         first += times
     return {n: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for n, r in runs.items()}
 
@@ -332,44 +335,46 @@ def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     """
     spark = cut_pieces.sparkSession
     more = [c for c in cut_pieces.columns if c not in NARROW]
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-    key = ["_row"] if more else []
+    keyed = cut_pieces.withColumn("_row", F.monotonically_increasing_id())
     if more:
-        path = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
-        cut_pieces.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        path = scratch(spark, "pieces")
+        keyed.write.parquet(path)
         whole = spark.read.parquet(path)
-        held = whole.select(*NARROW, "_row", bucket.alias("bucket"))
+        held = whole.select(*NARROW, "_row")
     else:
-        held = cut(cut_pieces.withColumn("bucket", bucket))
-    counts = held.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    counts = cut(counts)  # capacity * BUCKETS rows at most
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+        held = whole = cut(keyed)
+    # A row for each length, so capacity rows at most.
+    histogram = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at = spark.sparkContext.broadcast(places(best_plan(histogram, capacity)))
+    size = math.isqrt(sum(histogram.values())) + 1  # of a bucket: as many buckets as pieces in one
+    parts = spark.createDataFrame([(n, -(-k // size)) for n, k in histogram.items()], "length long, parts int")
+    dealt = held.join(F.broadcast(parts), "length").withColumn(
+        "bucket", F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int")
+    )
+    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("bucket")
     starts = counts.select(
         "length", "bucket", (F.sum("n").over(before) - F.col("n")).alias("before")
     )
-    order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = held.join(starts, ["length", "bucket"]).withColumn(
+    order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "_row")
+    ranked = dealt.join(starts, ["length", "bucket"]).withColumn(
         "rank", F.col("before") + F.row_number().over(order) - 1
     )
 
-    @F.pandas_udf("long")
-    def sequence(lengths: pd.Series, ranks: pd.Series) -> pd.Series:
-        out = np.zeros(len(ranks), np.int64)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(ranks), 2), np.int64)
         values, known = ranks.to_numpy(), at.value
         for length, rows in lengths.groupby(lengths).indices.items():
-            starts, first, each = known[int(length)]
+            starts, first, each, offset = known[int(length)]
             run = np.searchsorted(starts, values[rows], side="right") - 1
-            out[rows] = first[run] + (values[rows] - starts[run]) // each[run]
-        return pd.Series(out)
-
-    inside = W.partitionBy("sequence_id").orderBy(F.desc("length"), "rank")
-    placed = ranked.withColumn("sequence_id", sequence("length", "rank")).select(
-        *(key or NARROW),
-        "sequence_id",
-        (F.sum("length").over(inside) - F.col("length")).alias("offset"),
-    )
-    if more:
-        placed = whole.join(placed, "_row").select(*NARROW, *more, "sequence_id", "offset")
-    return placed
+            whole, inside = np.divmod(values[rows] - starts[run], each[run])
+            out[rows, 0] = first[run] + whole
+            out[rows, 1] = offset[run] + inside * length
+        return pd.DataFrame(out, columns=["sequence_id", "offset"])
+
+    placed = ranked.select("_row", *NARROW, place("length", "rank").alias("place"))
+    if not more:
+        return placed.select(*NARROW, "place.sequence_id", "place.offset")
+    placed = placed.select("_row", "place.sequence_id", "place.offset")
+    return whole.join(placed, "_row").select(*NARROW, *more, "sequence_id", "offset")
