@@ -50,3 +50,37 @@ def test_odd_documents_pass_through_every_stage(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(folder)).count() == 0
     got = corpus_pipeline.run(spark, str(folder)).select("doc_id").distinct().collect()
     assert multiset(r["doc_id"] for r in got) == multiset([1, 2, 5, 6, 7, 8, 9, None])
+
+
+def test_only_the_last_result_is_left(spark):
+    from pathlib import Path
+
+    from tidemark.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    had = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SMOKE_DIR).count() > 0
+    new = [p for p in set(folder.iterdir()) - had if p.name.split("-")[0] in ("pipeline", "rows", "pieces", "shard")]
+    assert [[q.name for q in p.iterdir()] for p in new] == [["4-best_fit_packing"]]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from tidemark.llm import common
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Folder:
+        def isEmpty(self):
+            return True
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Folder)}))})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_folder(type("Session", (), {"sparkContext": Context}))
