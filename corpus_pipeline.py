@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet and reads it again as the next stage's docs.  All but
-the last return the columns of documents.
+the last return the columns of documents.  What a stage wrote for itself, and
+its own result once the next stage has read it, are removed.
+
+Defined results: a null text counts as an empty one in every stage and stays a
+null (all null, empty and blank texts are near copies of each other, so one
+row of them is left); rows with a null doc_id are documents like any other; of
+rows that repeat one is left; an empty table gives no pieces; columns of docs
+whose names the operators use are kept as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, packing, secret_scan, simhash, toxicity
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import remove, scratch_removed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +65,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, before)
+        before = path
     return docs
