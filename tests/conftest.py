@@ -1,7 +1,8 @@
-"""One local Spark session for all tests."""
+"""One local Spark session for all tests; TEST_CPUS: its threads (default 8)."""
 
 from __future__ import annotations
 
+import os
 import sys
 import tempfile
 from pathlib import Path
@@ -16,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
         .appName("tests")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")

@@ -18,7 +18,7 @@ TRIALS = 3
 
 @pytest.fixture(scope="module")
 def made(spark):
-    return owned(queries.context_of(spark, SMOKE_DIR, queries.FOLD_WIDTH)).persist()
+    return owned(queries.context_of(spark, SMOKE_DIR, queries.FOLD_WIDTH, None, queries.WIDEST)).persist()
 
 
 @pytest.fixture(scope="module")

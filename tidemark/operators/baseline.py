@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators.validation import brier
 from tidemark.plans.params import EPSILON
 
@@ -44,18 +45,25 @@ def baseline(dealt: DataFrame, horizon: int, columns: tuple[str, ...] = COLUMNS)
     bounds = dealt.groupBy(*KEY).agg(split.alias("_split"))
     rows = dealt.join(bounds, KEY)
     train = rows.where("NOT validation AND rn + " + str(int(horizon)) + " < _split AND target IN (-1, 1)")
-    medians = train.groupBy(*KEY).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
+    long = train.select(*KEY, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(KEY, list(columns), "column", "value")
+    medians = cut(
+        quantiles(long, [*KEY, "column"], "value", (0.5,))
+        .groupBy(*KEY)
+        .pivot("column", list(columns))
+        .agg(F.first(F.get("quantiles", F.lit(0))))
+        .withColumnsRenamed({c: f"_m_{c}" for c in columns})
+    )
 
     def filled(df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.coalesce(c, f"_m_{c}", F.lit(0.0)) for c in columns})
 
-    stats = filled(train.join(medians, KEY)).groupBy(*KEY).agg(
+    stats = filled(train.join(medians, KEY, "left")).groupBy(*KEY).agg(
         *[F.avg(c).alias(f"_a_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns],
         F.count("*").alias("_n"),
         F.count_if(F.col("target") == 1).alias("_up"),
     )
-    known = medians.join(stats, KEY)
+    known = stats.join(medians, KEY, "left")
 
     def scaled(df: DataFrame) -> DataFrame:
         df = filled(df.join(known, KEY))

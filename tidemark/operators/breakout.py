@@ -21,6 +21,10 @@ from tidemark.plans.params import (
     SUTTE_PENALTY,
     Params,
 )
+from tidemark.sources.bars import chunked
+
+#: Rows whose mean range is a bar's recent volatility.
+RECENT_ROWS = 10
 
 
 def hold_period(duration: Column, params: Params) -> Column:
@@ -79,7 +83,7 @@ def zone_column(params: Params) -> Column:
 
 def zone_bars(scored: DataFrame, params: Params) -> DataFrame:
     """(series_key, rn, zone_end, probability, direction) of each zone and row that it acts on."""
-    bars = _bars(scored)
+    bars = _bars(scored, params)
     acting = bars.withColumn("_z", _acting(params)).withColumn("z", F.explode("_z"))
     p, d = probability(_bar(), F.col("z"), params)
     return acting.select(
@@ -87,14 +91,10 @@ def zone_bars(scored: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _bars(scored: DataFrame) -> DataFrame:
-    # Later frames reach a few rows back, so chunks without their halo are dealt anew.
-    from tidemark.sources.bars import chunked
-
-    plain = scored.drop("chunk", "owned")
-    return chunked(plain, before=64, after=0).withColumns(
-        {"recent_vol": F.avg("hl_range_pct").over(rows(-10, -1))}
-    )
+def _bars(scored: DataFrame, params: Params) -> DataFrame:
+    # Later frames reach a few rows back, so rows without their halo are dealt anew.
+    dealt = chunked(scored, before=max(params.max_hold, MIN_HOLD, RECENT_ROWS))
+    return dealt.withColumn("recent_vol", F.avg("hl_range_pct").over(rows(-RECENT_ROWS, -1)))
 
 
 def _acting(params: Params) -> Column:
@@ -123,7 +123,7 @@ def signals(scored: DataFrame, params: Params) -> DataFrame:
         p, d = probability(_bar(), z, params)
         return F.struct(p.alias("p"), d.alias("d"))
 
-    df = _bars(scored).withColumn("_z", _acting(params)).where("owned")
+    df = _bars(scored, params).withColumn("_z", _acting(params)).where("owned")
     df = df.withColumn("_z", F.transform("_z", fold))
     start = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("d"))
     told = F.aggregate(
@@ -154,7 +154,7 @@ def current_breakout(scored: DataFrame, params: Params) -> DataFrame:
     last_zone = accepted.groupBy("series_key").agg(
         F.max_by(zone_column(params), "rn").alias("z")
     )
-    bars = _bars(scored).where("owned AND rn = n - 1")
+    bars = _bars(scored, params).where("owned AND rn = n - 1")
     df = bars.join(last_zone, "series_key")
     vol = F.when(F.col("z.vol") > 0, F.col("z.vol")).otherwise(EPSILON)
     bar = _bar() | {"recent_vol": F.when(F.col("recent_vol") > 0, F.col("recent_vol")).otherwise(vol)}

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles
 from tidemark.plans.params import (
     CALIBRATION_BINS,
     CALIBRATION_BLEND,
@@ -24,8 +25,8 @@ def usable(told: DataFrame) -> DataFrame:
 
 def bins(samples: DataFrame, count: int = CALIBRATION_BINS) -> DataFrame:
     """Quantile bins of p: (bin, low, high, n, mean_p, hit_rate, blended); the last is closed above."""
-    at = F.array(*[F.lit(i / count) for i in range(count + 1)])
-    edges = samples.agg(F.array_sort(F.array_distinct(F.percentile("p", at))).alias("edges"))
+    at = tuple(i / count for i in range(count + 1))
+    edges = quantiles(samples.select("p"), [], "p", at).select(F.array_sort(F.array_distinct("quantiles")).alias("edges"))
     placed = samples.join(F.broadcast(edges)).select(  # one row of edges
         "p",
         "hit",

@@ -1,19 +1,19 @@
 """Matching a window's last bar with its history, and the autoregressive anchor.
 
-Medians, quartiles and median deviations of 16 columns over a sliding history
-are numpy work: each chunk of a series (a bounded number of rows) is one group
-of applyInPandas, and the history is read in blocks of reference rows.
+Medians, quartiles and median deviations of 16 columns over a sliding history,
+and least squares of least norm, are numpy work: each chunk of a series (a
+bounded number of rows) is one group of applyInArrow, which adds its scores to
+the rows themselves, so nothing is joined afterwards.  The history is read in
+blocks of reference rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.frames import clip
 from tidemark.plans.params import (
@@ -34,6 +34,7 @@ from tidemark.plans.params import (
     PERIODIC_WEIGHTS,
     Params,
 )
+from tidemark.sources.bars import reaching
 
 _BLOCK = 256  # reference rows whose histories are in memory together
 
@@ -121,8 +122,8 @@ def match_score(
     return np.where(total > EPSILON, (w * s).sum(axis=1) / np.where(total > EPSILON, total, 1), 0.5)
 
 
-def context_scores(df: DataFrame, params: Params) -> DataFrame:
-    """(series_key, rn, attention_raw, periodic_raw) of the owned rows of each chunk.
+def context_scores(df: DataFrame, params: Params, anchor: bool = True) -> DataFrame:
+    """The owned rows of each chunk with attention_raw, periodic_raw and, unless it is left out, scale_raw.
 
     The window of row rn ends at rn - 1, which is the reference; its history are
     the rows before the window, params.history at most.
@@ -132,16 +133,21 @@ def context_scores(df: DataFrame, params: Params) -> DataFrame:
     w_attention = np.array(list(ATTENTION_WEIGHTS.values()))
     w_periodic = np.array(list(PERIODIC_WEIGHTS.values()))
     lookback, span, least = params.lookback, params.history, params.min_bars
+    kept = [f for f in df.schema if f.name not in ("chunk", "owned", "signature")]
+    names = [f.name for f in kept]
+    added = ["attention_raw", "periodic_raw", *(["scale_raw"] if anchor else [])]
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rn")
+    def score(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rn")
+        owned = group["owned"].to_numpy()
         rn = group["rn"].to_numpy()
-        values = group[columns].to_numpy(np.float64)
-        signature = group["signature"].to_numpy(np.float64)
+        numbers = [group[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+        values = np.column_stack([np.where(np.isnan(x), np.nan, x) for x in numbers])
+        signature = group["signature"].to_numpy(zero_copy_only=False).astype(float)
         pad = lookback + span
         values = np.vstack([np.full((pad, values.shape[1]), np.nan), values])
         signature = np.concatenate([np.full(pad, np.nan), signature])
-        wanted = np.flatnonzero(group["owned"].to_numpy())
+        wanted = np.flatnonzero(owned)
         out = np.full((len(wanted), 2), 0.5)
         for lo in range(0, len(wanted), _BLOCK):
             at = wanted[lo : lo + _BLOCK]
@@ -163,44 +169,44 @@ def context_scores(df: DataFrame, params: Params) -> DataFrame:
                 PERIODIC_TOP_K,
                 PERIODIC_TEMPERATURE,
             )
-        return pd.DataFrame(
-            {
-                "series_key": group["series_key"].to_numpy()[wanted],
-                "rn": rn[wanted],
-                "attention_raw": out[:, 0],
-                "periodic_raw": out[:, 1],
-            }
-        )
-
-    read = df.select("series_key", "chunk", "rn", "owned", "signature", *columns)
-    return read.groupBy("series_key", "chunk").applyInPandas(
-        score, "series_key string, rn long, attention_raw double, periodic_raw double"
-    )
-
-
-def autoregressive_forecast(prices: np.ndarray) -> float:
-    """The next price by least squares (of least norm) on up to three lags and a constant."""
-    if prices.size < AR_MIN_SAMPLES:
-        return float(prices[-1]) if prices.size else 0.0
-    k = min(AR_LAGS, prices.size - 1)
-    n = prices.size - k
-    design = np.column_stack([prices[k - j - 1 : k - j - 1 + n] for j in range(k)] + [np.ones(n)])
-    fitted = np.linalg.lstsq(design, prices[k:], rcond=None)[0]
-    forecast = float(np.append(prices[: -k - 1 : -1], 1.0) @ fitted)
-    return forecast if np.isfinite(forecast) else float(prices[-1])
-
-
-def anchor_score(prices: np.ndarray) -> float:
-    """How near the last price of a window is to the forecast from those before it."""
-    if prices.size < 2:
-        return 0.5
-    error = abs(prices[-1] - autoregressive_forecast(prices[:-1]))
-    span = max(float(prices.max() - prices.min()), EPSILON)
-    return max(0.0, 1.0 - min(error / span / AR_TOLERANCE, 1.0))
-
-
-@F.pandas_udf(DoubleType())
-def anchor_scores(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """anchor_score of each array of closes."""
-    for part in windows:
-        yield part.map(lambda x: anchor_score(np.asarray(x, np.float64)))
+        scores = [out[:, 0], out[:, 1]]
+        if anchor:
+            closes = group["close"].to_numpy(zero_copy_only=False).astype(float)
+            scores.append(anchor_scores(closes, wanted, np.minimum(rn[wanted], lookback)))
+        told = group.select(names).filter(pa.array(owned))
+        return pa.table([*told.columns, *map(pa.array, scores)], names=[*names, *added])
+
+    schema = StructType([*kept, *[StructField(c, DoubleType()) for c in added]])
+    need = ["series_key", "chunk", *[n for n in ("owned", "signature") if n not in names]]
+    read = reaching(df, params.reach).select(*dict.fromkeys([*names, *need]))
+    return read.groupBy("series_key", "chunk").applyInArrow(score, schema)
+
+
+def autoregressive_forecasts(prices: np.ndarray) -> np.ndarray:
+    """The next price of each row of prices by least squares (of least norm) on up to three lags and a constant."""
+    windows, size = prices.shape
+    if size < AR_MIN_SAMPLES:
+        return prices[:, -1] if size else np.zeros(windows)
+    k = min(AR_LAGS, size - 1)
+    n = size - k
+    lags = [prices[:, k - j - 1 : k - j - 1 + n] for j in range(k)]
+    design = np.stack([*lags, np.ones((windows, n))], axis=2)
+    cutoff = np.finfo(float).eps * max(n, k + 1)
+    fitted = (np.linalg.pinv(design, rcond=cutoff) @ prices[:, k:, None])[:, :, 0]
+    last = np.column_stack([prices[:, : -k - 1 : -1], np.ones(windows)])
+    forecast = (last * fitted).sum(axis=1)
+    return np.where(np.isfinite(forecast), forecast, prices[:, -1])
+
+
+def anchor_scores(closes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each place the score of the window of that many closes before it: how near its last is to the forecast."""
+    out = np.full(len(at), 0.5)
+    for size in np.unique(sizes[sizes >= 2]).tolist():
+        slots = np.flatnonzero(sizes == size)
+        for lo in range(0, len(slots), 4 * _BLOCK):
+            part = slots[lo : lo + 4 * _BLOCK]
+            prices = closes[at[part][:, None] + np.arange(-size, 0)[None, :]]
+            error = np.abs(prices[:, -1] - autoregressive_forecasts(prices[:, :-1]))
+            span = np.maximum(prices.max(axis=1) - prices.min(axis=1), EPSILON)
+            out[part] = np.maximum(0.0, 1.0 - np.minimum(error / span / AR_TOLERANCE, 1.0))
+    return out

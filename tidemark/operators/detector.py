@@ -10,12 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import clip, lag, ratio, rows
-from tidemark.operators.context import (
-    anchor_scores,
-    compression_signature,
-    context_scores,
-    hurst_score,
-)
+from tidemark.operators.context import compression_signature, context_scores, hurst_score
 from tidemark.plans.params import (
     AUTO_PERCENTILE,
     COMPONENTS,
@@ -184,36 +179,22 @@ def structure(df: DataFrame, params: Params, gate: bool = True) -> DataFrame:
     )
 
 
-def score_windows(
-    features: DataFrame,
-    params: Params,
-    gate: bool = True,
-    labels: str = "trust_fade",
-    anchor: bool = True,
-) -> DataFrame:
+def score_windows(features: DataFrame, params: Params, gate: bool = True, labels: str = "trust_fade") -> DataFrame:
     """Every allowed window with its components, score and divergence, one row for each bar.
 
     features: context features of chunked bars. The result has a row for each
     owned bar, scored or not, so that later steps keep the series whole.
-    Without the anchor its raw score is the neutral 0.5.
     """
-    features = compression_signature(features)
-    matched = context_scores(features, params)
-    df = divergence_frames(structure(features, params, gate), params)
-    # Once frames are done the halo goes, before the model and the join.
-    if anchor:
-        df = df.withColumn("_closes", F.collect_list("close").over(rows(-params.lookback, -1))).where("owned")
-        df = df.withColumn("scale_raw", F.when(F.col("scored"), anchor_scores("_closes"))).drop("_closes")
-    else:
-        df = df.where("owned").withColumn("scale_raw", F.lit(0.5))
-    df = df.join(matched, ["series_key", "rn"], "left")
+    framed = divergence_frames(structure(compression_signature(features), params, gate), params)
+    df = context_scores(framed, params)
     df = df.withColumns(
         {
+            "scale_raw": F.when(F.col("scored"), F.col("scale_raw")),
             "c_attention": normalised(F.col("attention_raw")),
             "c_periodic": normalised(F.col("periodic_raw")),
-            "c_scale": normalised(F.col("scale_raw")),
         }
     )
+    df = df.withColumn("c_scale", normalised(F.col("scale_raw")))
     total = sum((params.weight(c) * F.col(f"c_{c}") for c in COMPONENTS), F.lit(0.0))
     return divergence(df.withColumn("score", total), labels)
 
@@ -247,7 +228,10 @@ def zones(scored: DataFrame, params: Params) -> DataFrame:
 
 
 def live_window(features: DataFrame, params: Params) -> DataFrame:
-    """The score of each series' last bar, without the gate on bars ahead."""
+    """The score of each series' last bar, without the gate on bars ahead.
+
+    features need the last rows only: those of latest(bars, 1 + the rows before that halo() names).
+    """
     return score_windows(features, params, gate=False).where("scored AND rn = n - 1")
 
 
@@ -257,9 +241,15 @@ def diagnostic_scores(scored: DataFrame, samples: int = DIAGNOSTIC_SAMPLES) -> D
     return scored.where(F.col("scored") & (F.col("rn") % step == 0)).select("series_key", "rn", "score")
 
 
-def threshold_diagnosis(scores: DataFrame, levels: tuple[float, ...] = DIAGNOSTIC_LEVELS) -> DataFrame:
-    """How many sampled windows each threshold would accept, with a summary of the scores."""
-    summary = [
+def threshold_diagnosis(
+    scores: DataFrame, params: Params, levels: tuple[float, ...] = DIAGNOSTIC_LEVELS
+) -> DataFrame:
+    """How many sampled windows each threshold would accept, with a summary of the scores.
+
+    The thresholds are the levels and the setting's own, each once and in order.
+    """
+    levels = tuple(sorted({params.threshold, *levels}))
+    summary = [  # of diagnostic_scores(), which are few: percentiles may hold them all
         F.count("score").alias("n"),
         F.avg("score").alias("mean"),
         F.stddev_samp("score").alias("std"),

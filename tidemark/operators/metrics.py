@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import ratio
+from tidemark.functions.lineage import cut
 from tidemark.operators.validation import future_return
 from tidemark.plans.params import (
     BOOTSTRAP_PERCENTILES,
@@ -23,7 +24,7 @@ from tidemark.plans.params import (
     REGIME_RECENT,
     SEED,
 )
-from tidemark.sources.bars import chunked
+from tidemark.sources.bars import CHUNK, chunked
 
 HORIZON = 10
 INSTABILITY = ("hurst_20", "vol_ratio_20", "rsi_20", "price_position_20")
@@ -60,7 +61,7 @@ def zone_metrics(zones: DataFrame) -> DataFrame:
 def signal_metrics(told: DataFrame) -> DataFrame:
     """Counts of signals, their bias and probabilities, and returns of following them."""
     gain = F.col("direction") * F.col("gain")
-    with_gain = chunked(told, before=0, after=HORIZON).withColumn("gain", future_return(HORIZON)).where("owned")
+    with_gain = chunked(told, 0, HORIZON).withColumn("gain", future_return(HORIZON)).where("owned")
     up, down = F.count_if(F.col("direction") == 1), F.count_if(F.col("direction") == -1)
     some = F.when(F.col("probability") > 0, F.col("probability"))
     mean, std = F.avg(gain), F.stddev_samp(gain)
@@ -84,8 +85,12 @@ def signal_metrics(told: DataFrame) -> DataFrame:
 
 
 def regime_metrics(bars: DataFrame) -> DataFrame:
-    """Volatility of the last 20 returns against that of the last 80, plain and fading with age."""
+    """Volatility of the last 20 returns against that of the last 80, plain and fading with age.
+
+    A series without a return has volatilities of 0 and ratios of 1.
+    """
     span = REGIME_BASELINE
+    every = bars.groupBy("series_key").agg(F.max("n").alias("_n")).select("series_key")
     last = bars.where(F.col("rn") >= F.col("n") - span - 1)
     step = W.partitionBy("series_key").orderBy("rn")  # 81 rows of a series at most
     last = last.withColumn("r", ratio(F.col("close"), F.lag("close").over(step)) - 1).where("r IS NOT NULL")
@@ -107,13 +112,15 @@ def regime_metrics(bars: DataFrame) -> DataFrame:
     a = F.col("regime_recent_vol") / (F.col("regime_baseline_vol") + EPSILON)
     b = F.col("regime_recent_ewm_vol") / (F.col("regime_baseline_ewm_vol") + EPSILON)
     shift = (a >= REGIME_HIGH) | (a <= REGIME_LOW) | (b >= REGIME_HIGH) | (b <= REGIME_LOW)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "regime_vol_ratio": a,
             "regime_ewm_vol_ratio": b,
             "regime_shift_flag": shift.cast("double"),
         }
     )
+    none = {c: 1.0 if c.endswith("ratio") else 0.0 for c in out.columns if c != "series_key"}
+    return every.join(out, "series_key", "left").na.fill(none)
 
 
 def instability(features: DataFrame, columns: tuple[str, ...] = INSTABILITY) -> DataFrame:
@@ -125,52 +132,64 @@ def instability(features: DataFrame, columns: tuple[str, ...] = INSTABILITY) ->
     told = features.select("series_key", "rn", "n", F.explode(one).alias("f")).select(
         "series_key", "rn", "n", "f.metric", "f.v"
     )
-    # The last rows that are not null: at most `reach` a series and feature are kept in the end.
-    some = told.where("v IS NOT NULL")
-    ends = some.groupBy("series_key", "metric").agg(F.max("rn").alias("top"))
-    near = some.join(ends, ["series_key", "metric"]).where(F.col("rn") > F.col("top") - 20 * reach)
+    # The last rows that are not null, however far apart.  Spark limits a ranked group before it is
+    # shuffled, so a task sends `reach` rows of a series and feature at most.
     back = W.partitionBy("series_key", "metric").orderBy(F.desc("rn"))
-    near = near.withColumn("k", F.row_number().over(back)).where(F.col("k") <= reach)
+    near = told.where("v IS NOT NULL").withColumn("k", F.row_number().over(back)).where(F.col("k") <= reach)
     frame = W.partitionBy("series_key", "metric").orderBy("rn").rowsBetween(-(REGIME_RECENT - 1), 0)
     dev = F.when(F.count("v").over(frame) >= 5, F.stddev_samp("v").over(frame))
     tail = near.withColumn("d", dev).where(F.col("d").isNotNull() & (F.col("k") <= REGIME_RECENT))
-    return tail.groupBy("series_key", F.concat("metric", F.lit("_instability")).alias("metric")).agg(
-        F.avg("d").alias("value")
+    found = tail.groupBy("series_key", "metric").agg(F.avg("d").alias("value"))
+    every = told.select("series_key", "metric").distinct()
+    return every.join(found, ["series_key", "metric"], "left").select(
+        "series_key", F.concat("metric", F.lit("_instability")).alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value")
     )
 
 
 def run_metrics(zones: DataFrame, told: DataFrame, bars: DataFrame, features: DataFrame) -> DataFrame:
-    """All metrics of a run, without the bootstrap interval."""
-    wide = [zone_metrics(zones), signal_metrics(told), regime_metrics(bars)]
+    """All metrics of a run, without the bootstrap interval; zone metrics are 0 where there is no zone."""
+    every = bars.groupBy("series_key").agg(F.max("n").alias("_n")).select("series_key")
+    wide = [every.join(zone_metrics(zones), "series_key", "left").na.fill(0), signal_metrics(told), regime_metrics(bars)]
     return reduce(DataFrame.unionByName, [*map(long_form, wide), instability(features)])
 
 
 def bootstrap_interval(told: DataFrame) -> DataFrame:
     """Percentiles of resampled mean probabilities (500 resamples, fixed seed) of each series.
 
-    The histogram of a series' probabilities stands for its rows: a resampled
-    mean is a multinomial draw over the distinct values, so a group holds the
-    distinct probabilities (rounded to 6 digits, so a million at most), not the rows.
+    How many of a resample's draws fall on each chunk of a series is a multinomial
+    draw over the chunks' sizes, and which of its rows they fall on one within the
+    chunk: together that is a draw over all rows, and no group holds more than a
+    chunk's rows or a series' chunks.
     """
-    counts = (
-        told.where("probability > 0")
-        .groupBy("series_key", F.round("probability", 6).alias("p"))
-        .agg(F.count("*").alias("n"))
+    some = told.where("probability > 0").select(
+        "series_key", F.floor(F.col("rn") / CHUNK).alias("chunk"), "rn", F.col("probability").alias("p")
     )
+    sizes = some.groupBy("series_key", "chunk").agg(F.count("*").alias("n"))
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        n = group["n"].to_numpy()
+        draws = np.random.default_rng(SEED).multinomial(n.sum(), n / n.sum(), BOOTSTRAP_SAMPLES)
+        return group[["series_key", "chunk"]].assign(draws=list(draws.T))
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("p")
-        p, n = group["p"].to_numpy(), group["n"].to_numpy()
-        rng = np.random.default_rng(SEED)
-        total = int(n.sum())
-        means = np.array([rng.multinomial(total, n / total) @ p / total for _ in range(BOOTSTRAP_SAMPLES)])
-        low, mid, high = np.percentile(means, BOOTSTRAP_PERCENTILES)
-        return pd.DataFrame(
-            {"series_key": [group["series_key"].iloc[0]], "p05": [low], "p50": [mid], "p95": [high]}
-        )
-
-    return counts.groupBy("series_key").applyInPandas(
-        draw, "series_key string, p05 double, p50 double, p95 double"
+        group = group.sort_values("rn")
+        p, chunk = group["p"].to_numpy(), int(group["chunk"].iloc[0])
+        rng = np.random.default_rng([SEED, chunk])
+        even = np.full(len(p), 1 / len(p))
+        sums = [float(rng.multinomial(k, even) @ p) for k in group["draws"].iloc[0]]
+        return pd.DataFrame({"series_key": [group["series_key"].iloc[0]], "n": [len(p)], "sums": [sums]})
+
+    drawn = cut(sizes.groupBy("series_key").applyInPandas(share, "series_key string, chunk long, draws array<long>"))
+    sums = (
+        some.join(drawn, ["series_key", "chunk"])
+        .groupBy("series_key", "chunk")
+        .applyInPandas(draw, "series_key string, n long, sums array<double>")
     )
-
-
+    means = (
+        sums.select("series_key", "n", F.posexplode("sums").alias("sample", "sum"))
+        .groupBy("series_key", "sample")
+        .agg((F.sum("sum") / F.sum("n")).alias("mean"))
+    )
+    low, mid, high = (F.percentile("mean", F.lit(q / 100)) for q in BOOTSTRAP_PERCENTILES)  # of the resamples
+    return means.groupBy("series_key").agg(low.alias("p05"), mid.alias("p50"), high.alias("p95"))

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import html
+import logging
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import lag
+from tidemark.functions.quantiles import quantiles
 from tidemark.plans.params import COMPONENTS, DISPLAY_THRESHOLD, Params
+from tidemark.sources.bars import chunked, owned
+
+FOLLOW_BARS = 60
+logger = logging.getLogger("tidemark")
 
 
 def timed_zones(zones: DataFrame, bars: DataFrame) -> DataFrame:
@@ -186,10 +193,10 @@ def component_table(zones: DataFrame, params: Params) -> DataFrame:
 
 def bar_spacing(bars: DataFrame) -> DataFrame:
     """Width of a drawn bar in milliseconds: four fifths of the median spacing."""
-    order = W.partitionBy("series_key", F.floor(F.col("rn") / 100_000)).orderBy("rn")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
-    return bars.withColumn("gap", gap / 1000).groupBy("series_key").agg(
-        (F.percentile("gap", 0.5) * 0.8).alias("bar_width_ms")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lag("ts").cast("timestamp"))
+    gaps = owned(chunked(bars, before=1).withColumn("gap", gap / 1000))
+    return quantiles(gaps, ["series_key"], "gap", (0.5,)).select(
+        "series_key", (F.get("quantiles", F.lit(0)) * 0.8).alias("bar_width_ms")
     )
 
 
@@ -236,6 +243,54 @@ def forecast_payload(live: DataFrame, breakout: DataFrame, regime: DataFrame, pa
     return rows.select("series_key", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def follow_through(zones: DataFrame, bars: DataFrame, told: DataFrame, ahead: int | None = FOLLOW_BARS) -> DataFrame:
+    """The bars around the last zone of each series that a chart of what followed it shows.
+
+    They begin one length of the zone before it and end `ahead` bars after it (None: at the end
+    of the series); bars without a positive close are left out.  part is history or after; a
+    marker (1 or -1) stands on later bars whose signal is shown.
+    """
+    last = zones.groupBy("series_key").agg(F.max_by(F.struct("start_idx", "end_idx", "duration"), "end_idx").alias("z"))
+    near = bars.join(last, "series_key").where(
+        (F.col("rn") >= F.col("z.start_idx") - F.col("z.duration")) & (F.col("close") > 0)
+    )
+    if ahead is not None:
+        near = near.where(F.col("rn") <= F.col("z.end_idx") + max(1, ahead))
+    # Few rows of a series are near its last zone, unless all bars after it are asked for.
+    inside = F.col("rn").between(F.col("z.start_idx"), F.col("z.end_idx"))
+    levels = near.groupBy("series_key").agg(
+        F.max(F.when(inside, F.col("high"))).alias("resistance"), F.min(F.when(inside, F.col("low"))).alias("support")
+    )
+    later = F.col("rn") > F.col("z.end_idx")
+    shown = later & (F.col("probability") >= DISPLAY_THRESHOLD) & (F.col("direction") != 0)
+    signals = told.select("series_key", "rn", "probability", "direction")
+    return (
+        near.join(levels, "series_key")
+        .join(signals, ["series_key", "rn"], "left")
+        .select(
+            "series_key",
+            "ts",
+            "rn",
+            F.when(later, "after").otherwise("history").alias("part"),
+            "close",
+            "resistance",
+            "support",
+            ((F.col("resistance") + F.col("support")) / 2).alias("midline"),
+            F.when(shown, F.col("direction")).alias("marker"),
+            F.when(shown, F.col("probability")).alias("marker_probability"),
+        )
+    )
+
+
+def log_metrics(told: DataFrame, level: int = logging.INFO) -> int:
+    """Writes metrics (series_key, metric, value) to the log, in order; how many there were."""
+    n = 0
+    for r in told.orderBy("series_key", "metric").toLocalIterator():
+        logger.log(level, "%s %s %s", r["series_key"], r["metric"], "none" if r["value"] is None else f"{r['value']:.4f}")
+        n += 1
+    return n
+
+
 def write_page(path: str | Path, title: str, tables: dict[str, DataFrame], rows: int = 200) -> Path:
     """A static page of small tables, `rows` rows of each at most."""
     parts = [f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

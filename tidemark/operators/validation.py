@@ -21,7 +21,7 @@ from tidemark.plans.params import (
     SEED,
     Params,
 )
-from tidemark.sources.bars import chunked, owned
+from tidemark.sources.bars import chunked, halo, owned, reaching
 
 
 def fold_bounds(n: int, splits: int = CV_SPLITS, multiplier: int = CV_TRAIN_MULTIPLIER) -> list[tuple]:
@@ -74,7 +74,7 @@ def future_return(k: int) -> Column:
 
 def direction_targets(bars: DataFrame, horizon: int) -> DataFrame:
     """Adds future_return and target (its sign) to chunked bars."""
-    df = bars.withColumn("future_return", future_return(horizon))
+    df = reaching(bars, after=horizon).withColumn("future_return", future_return(horizon))
     return df.withColumn("target", F.signum("future_return").cast("int"))
 
 
@@ -84,18 +84,16 @@ def up_probability(p: Column, direction: Column) -> Column:
     return F.when(direction > 0, clipped).when(direction < 0, 1 - clipped).otherwise(0.5)
 
 
-def fold_signals(
-    features: DataFrame, params: Params, splits: int = CV_SPLITS, anchor: bool = True
-) -> DataFrame:
+def fold_signals(features: DataFrame, params: Params, splits: int = CV_SPLITS) -> DataFrame:
     """Out-of-fold signals of numbered features: detector and predictor run anew in every fold.
 
     Features are not made anew; the target is that of the whole series, and
     fold_target that of the fold alone (null near its end).
     """
-    whole = owned(direction_targets(chunked(features), params.max_hold))
+    whole = owned(direction_targets(chunked(features, 0, params.max_hold), params.max_hold))
     dealt = folds(whole, splits)
     extra = ["series_key", "rn", "origin", "fold", "old_rn", "validation", "future_return", "target"]
-    told = signals(score_windows(chunked(dealt.drop(*extra[2:])), params, anchor=anchor), params)
+    told = signals(score_windows(chunked(dealt.drop(*extra[2:]), *halo(params)), params), params)
     return (
         told.join(dealt.select(*extra), ["series_key", "rn"])
         .where("validation")

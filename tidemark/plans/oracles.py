@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 from tidemark.plans.params import (
+    AR_MIN_SAMPLES,
+    AR_TOLERANCE,
     ATTENTION_TEMPERATURE,
     ATTENTION_TOP_K,
     ATTENTION_WEIGHTS,
@@ -211,15 +213,15 @@ def both_contexts(p: Params) -> list[str]:
     ]
 
 
-def core(p: Params, source: str = "feat") -> list[str]:
+def core(p: Params, source: str = "feat", gate: bool = True) -> list[str]:
     w, long = over(-p.lookback, -1), over(-4 * p.lookback, -1)
+    ahead = f"AND least({p.lookforward}, n - rn) >= {p.min_bars}" if gate else ""
     return [
         f"""cor0 AS (SELECT *, least(rn, {p.lookback}) AS lookback, max(high) {w} AS zone_high, min(low) {w} AS zone_low,
   avg(close) {w} AS close_mean, avg(hl_range_pct) {w} AS past_vol, avg(hl_range_pct) {long} AS hist_vol FROM {source})""",
         f"""cor1 AS (SELECT *, zone_high - zone_low AS past_range, (zone_high - zone_low) / (close_mean + {E}) * 100 AS past_range_pct,
   CASE WHEN hist_vol > 0 THEN past_vol / hist_vol ELSE 1 END AS vol_contraction FROM cor0)""",
-        f"""cor AS (SELECT *, coalesce(lookback >= {p.min_bars} AND close_mean > 0
-    AND least({p.lookforward}, n - rn) >= {p.min_bars}, false) AS scored,
+        f"""cor AS (SELECT *, coalesce(lookback >= {p.min_bars} AND close_mean > 0 {ahead}, false) AS scored,
   1 - least(vol_contraction, 1) AS c_contraction,
   1 - least(past_range_pct / ((past_vol + {E}) * {p.range_threshold}), 1) AS c_range FROM cor1)""",
     ]
@@ -247,27 +249,61 @@ def sutte_score(p: Params, source: str = "feat") -> list[str]:
     ]
 
 
-def scored(p: Params) -> list[str]:
-    """All of the score with the neutral anchor, and the divergence; needs feat."""
+def anchor(p: Params, source: str = "feat") -> list[str]:
+    """(series_key, rn, scale) of the autoregressive anchor of every window, from the normal equations.
+
+    Lags are centred, so the constant drops out and three equations are left; windows whose lags
+    are collinear have no unique solution and are tested elsewhere.
+    """
+    lags = ("l1", "l2", "l3")
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    cov = ", ".join(f"covar_pop(h.{lags[i]}, h.{lags[j]}) AS s{i}{j}" for i, j in pairs)
+    right = ", ".join(f"covar_pop(h.{x}, h.close) AS c{i}, avg(h.{x}) AS m{i}" for i, x in enumerate(lags))
+
+    def det(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    whole = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    parts = [det([[f"c{i}" if j == k else whole[i][j] for j in range(3)] for i in range(3)]) for k in range(3)]
+    # The last prices before the window's last one.
+    latest = ("p1", "p2", "p3")
+    forecast = " + ".join(["my", *[f"{d} / {det(whole)} * ({z} - m{i})" for i, (d, z) in enumerate(zip(parts, latest, strict=True))]])
+    w = over(-p.lookback, -1)
+    return [
+        f"""anc0 AS (SELECT series_key, rn, close, least(rn, {p.lookback}) AS size, lag(close, 1) {ROW} AS l1, lag(close, 2) {ROW} AS l2,
+  lag(close, 3) {ROW} AS l3, lag(close, 4) {ROW} AS l4, max(close) {w} - min(close) {w} AS span FROM {source})""",
+        f"""anc1 AS (SELECT r.series_key, r.rn, avg(h.close) AS my, {right}, {cov} FROM anc0 r JOIN anc0 h
+  ON h.series_key = r.series_key AND h.rn BETWEEN r.rn - r.size + 3 AND r.rn - 2 WHERE r.size > {AR_MIN_SAMPLES} GROUP BY ALL)""",
+        f"""anc2 AS (SELECT series_key, rn, size, l1 AS last, span, CASE WHEN size > {AR_MIN_SAMPLES} THEN {forecast} ELSE p1 END AS forecast
+  FROM (SELECT *, l2 AS p1, l3 AS p2, l4 AS p3 FROM anc0) LEFT JOIN anc1 USING (series_key, rn))""",
+        f"""anc AS (SELECT series_key, rn, CASE WHEN size < 2 THEN 0.5 ELSE
+  greatest(0, 1 - least(abs(last - forecast) / greatest(span, {E}) / {AR_TOLERANCE}, 1)) END AS scale FROM anc2)""",
+    ]
+
+
+def scored(p: Params, gate: bool = True) -> list[str]:
+    """All of the score and the divergence; needs feat."""
     w, recent = over(-p.lookback, -1), over(-min(20, p.lookback), -1)
     total = " + ".join(f"{p.weight(c)!r} * c_{c}" for c in COMPONENTS)
     active = "(lookback >= 10 AND abs(recent_signal) > 0.10 AND price_trend <> 0)"
     agrees = "sign(recent_signal) = price_trend"
     return [
         *both_contexts(p),
-        *core(p),
+        *core(p, gate=gate),
         *position(p),
         *sutte_score(p),
+        *anchor(p),
         f"""com0 AS (SELECT cor.*, coalesce(pos.dev, 1) AS pos_std, sutte_raw,
-  coalesce(att.score, 0.5) AS attention_raw, coalesce(per.score, 0.5) AS periodic_raw,
+  coalesce(att.score, 0.5) AS attention_raw, coalesce(per.score, 0.5) AS periodic_raw, CASE WHEN scored THEN scale END AS scale_raw,
   (1 - least(greatest(avg(body_to_range_ratio) {w}, 0), 1) + least(greatest(avg(wick_balance) {w}, 0), 1)) / 2 AS interaction_score,
   lag(hurst_20) {ROW} AS hurst_exponent, avg(sutte_signal) {recent} AS recent_signal,
   sign((lag(close) {ROW} - first(close) {recent}) / (first(close) {recent} + {E})) AS price_trend
   FROM cor LEFT JOIN pos USING (series_key, rn) LEFT JOIN att USING (series_key, rn)
-  LEFT JOIN per USING (series_key, rn) JOIN sco USING (series_key, rn))""",
+  LEFT JOIN per USING (series_key, rn) JOIN sco USING (series_key, rn) JOIN anc USING (series_key, rn))""",
         f"""com1 AS (SELECT *, 0.5 * (1 - least(greatest(pos_std * {p.position_sensitivity}, 0), 1)) + 0.5 * interaction_score AS c_position,
   {hurst_score("hurst_exponent")} AS c_hurst, {norm("attention_raw")} AS c_attention, {norm("periodic_raw")} AS c_periodic,
-  {norm("0.5")} AS c_scale, {norm("sutte_raw")} AS c_sutte FROM com0)""",
+  CASE WHEN scored THEN {norm("scale_raw")} END AS c_scale, {norm("sutte_raw")} AS c_sutte FROM com0)""",
         f"com2 AS (SELECT *, {total} AS score FROM com1)",
         f"""com AS (SELECT *, CASE WHEN {active} THEN CASE WHEN {agrees} THEN price_trend ELSE -price_trend END ELSE 0 END AS divergence,
   CASE WHEN {active} THEN CASE WHEN {agrees} THEN 'TRUST' ELSE 'FADE' END ELSE 'NEUTRAL' END AS divergence_signal,
@@ -302,6 +338,28 @@ def breakouts(p: Params) -> list[str]:
     ]
 
 
+def latest_breakout(p: Params) -> str:
+    """out: the last bar of each series against the last zone before it; needs com and feat."""
+    z = f"{p.steepness} * (strength - {p.min_expansion} - {p.logistic_threshold})"
+    return f"""lbr0 AS (SELECT series_key, max(rn) AS zone_row FROM com WHERE scored AND score > {p.threshold} GROUP BY 1),
+lbr1 AS (SELECT b.series_key, b.rn, b.close, b.sutte_direction, b.sutte_conviction, z.rn - 1 AS zone_end, z.zone_high AS hi, z.zone_low AS lo,
+  z.past_vol AS vol, z.divergence_signal, z.divergence, z.divergence_confidence, z.score, z.c_attention, z.c_periodic, z.c_scale, b.recent
+  FROM (SELECT *, avg(hl_range_pct) {over(-10, -1)} AS recent FROM feat) b JOIN lbr0 USING (series_key)
+  JOIN com z ON z.series_key = b.series_key AND z.rn = zone_row WHERE b.rn = b.n - 1),
+lbr2 AS (SELECT *, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 END AS side,
+  (1 + CASE WHEN close > hi THEN close - hi ELSE lo - close END / nullif(hi - lo, 0))
+    * greatest(CASE WHEN recent > 0 THEN recent WHEN vol > 0 THEN vol ELSE {E} END / (vol + {E}), 0)
+    * (1 + 0.35 * (score + c_attention + c_periodic + c_scale) / 4) AS strength FROM lbr1),
+lbr3 AS (SELECT series_key, rn, zone_end, side, CASE WHEN coalesce(hi > lo AND side IS NOT NULL AND strength >= {p.min_expansion} AND rn > zone_end, false) THEN
+  least(greatest(1 / (1 + exp(-({z})))
+    * CASE WHEN rn + 1 < 10 OR sutte_direction = 0 OR sutte_conviction IS NULL THEN 1
+        WHEN sutte_direction = side THEN 1 + sutte_conviction * 0.3 ELSE 1 - sutte_conviction * 0.5 END
+    * CASE WHEN divergence_signal = 'NEUTRAL' OR divergence_confidence <= 0 THEN 1
+        WHEN sign(divergence) = side THEN 1 + divergence_confidence * 0.15 ELSE 1 - divergence_confidence * 0.25 END, 0), 1) ELSE 0 END AS probability
+  FROM lbr2),
+out AS (SELECT series_key, rn, zone_end, probability, CASE WHEN probability > 0.5 THEN side ELSE 0 END AS direction FROM lbr3)"""
+
+
 def folds(p: Params) -> list[str]:
     """Renames feat to whole, deals it into folds as feat; signals follow as for whole series."""
     k, m = CV_SPLITS, CV_TRAIN_MULTIPLIER
@@ -317,8 +375,8 @@ def folds(p: Params) -> list[str]:
     ]
 
 
-def fold_signals(p: Params, width: str) -> list[str]:
-    chain = features(width, everything=False)
+def fold_signals(p: Params, width: str, key: str | None = None) -> list[str]:
+    chain = features(width, key, everything=False)
     chain[-1] = chain[-1].replace("feat AS", "whole AS", 1)
     return [
         *chain,
@@ -332,7 +390,7 @@ def fold_signals(p: Params, width: str) -> list[str]:
     ]
 
 
-def fold_metrics(p: Params, width: str) -> list[str]:
+def fold_metrics(p: Params, width: str, key: str | None = None) -> list[str]:
     def f1(a: str, hit: str) -> str:
         tp = f"count(*) FILTER (WHERE direction = {a} AND fold_target = {a})"
         return f"coalesce({hit} * {tp} / nullif({hit} * {tp} + count(*) FILTER (WHERE direction = -({a}) AND fold_target = {a}) + count(*) FILTER (WHERE direction = {a} AND fold_target = -({a})), 0), 0)"
@@ -345,7 +403,7 @@ def fold_metrics(p: Params, width: str) -> list[str]:
 
     gain = "direction * future_return"
     return [
-        *fold_signals(p, width),
+        *fold_signals(p, width, key),
         f"""fom AS (SELECT origin, fold, count(*) AS labelled, avg((up_probability - (fold_target = 1)::INT) ** 2) AS brier,
   avg((direction <> 0)::INT) AS coverage,
   coalesce(avg((direction = fold_target)::INT) FILTER (WHERE direction <> 0), 0) AS answered_accuracy,

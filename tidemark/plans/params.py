@@ -103,6 +103,11 @@ class Params:
         """Rows that a full window is compared with."""
         return max(ATTENTION_MIN_HISTORY, ATTENTION_MULTIPLIER * self.lookback)
 
+    @property
+    def reach(self) -> int:
+        """Rows before a row that its score and the zones that act on it read."""
+        return max(self.lookback + self.history + 1, self.max_hold + self.lookback, MIN_HOLD, 10)
+
     def weight(self, component: str) -> float:
         return getattr(self, f"weight_{component}")
 

@@ -12,28 +12,38 @@ from tidemark.operators import baseline as base
 from tidemark.operators import breakout, calibration, context, detector, metrics, report, validation
 from tidemark.operators import features as feat
 from tidemark.plans import oracles as sql
-from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SHORT, Params
-from tidemark.sources.bars import bars_from_events, chunked, numbered, owned
+from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SEARCH, SHORT, Params
+from tidemark.functions.lineage import cut, scratch
+from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars
 
 PARAMS = Params()
-#: Looser acceptance, so that folds of few bars have signals.
-FOLDS = replace(PARAMS, max_hold=10, min_expansion=1.1, threshold=0.20)
+#: Short windows and a threshold that rejects a third of them: bars of events break out both ways.
+ACTIVE = replace(PARAMS, lookback=6, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.55)
 ALL = SHORT + MEDIUM + LONG
 MAIN = SHORT + MEDIUM
 KEYS = ["series_key", "ts", "rn"]
-#: Narrow bars of each event type: many are flat.
+#: Width and key of bars: one series of all events, and one for each type, whose bars are narrow and often flat.
+HOURLY = ("1 hour", None)
 BY_TYPE = ("1 hour", "event_type")
 FOLD_WIDTH = "3 hours"
-#: Trials of the search that importance is told from.
-TRIALS = 12
+#: Trials of the search that importance is told from, and of the search that is a query of its own.
+TRIALS, SHORT_SEARCH = 12, 2
+#: Zones that end from then on, and how many of each series, are recent.
+SINCE, RECENT = "2024-01-15 00:00:00", 40
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None) -> DataFrame:
-    return chunked(numbered(bars_from_events(events(spark, sf_dir), width, key)))
+def numbered_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None) -> DataFrame:
+    return numbered(bars_from_events(events(spark, sf_dir), width, key))
+
+
+def bars(
+    spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None, params: Params = PARAMS
+) -> DataFrame:
+    return chunked(numbered_bars(spark, sf_dir, width, key), *halo(params))
 
 
 def rounded(df: DataFrame, columns: list[str], doubles: list[str]) -> DataFrame:
@@ -49,11 +59,11 @@ PHASE = [
 ]
 SUTTE = ["sutte_low_ratio", "sutte_high_ratio", "sutte_low_ma", "sutte_high_ma", "sutte_signal", "sutte_conviction"]
 ADAPTIVE = ["sutte_adaptive_low", "sutte_adaptive_high", "sutte_adaptive_signal"]
-SCORES = [*[f"c_{c}" for c in COMPONENTS if c != "scale"], "interaction_score", "score", "divergence_confidence"]
+SCORES = [*[f"c_{c}" for c in COMPONENTS], "interaction_score", "scale_raw", "score", "divergence_confidence"]
 ZONES = [
     "range_width", "range_width_pct", "volatility_ratio", "mean_reversion_strength", "hurst_exponent",
-    "consolidation_score", "attention_context_score_raw", "periodic_context_score_raw", "attention_context_score",
-    "periodic_context_score", "scale_anchor_score", "sutte_score_raw", "sutte_score", "sutte_divergence",
+    "consolidation_score", "attention_context_score_raw", "periodic_context_score_raw", "scale_anchor_score_raw",
+    "attention_context_score", "periodic_context_score", "scale_anchor_score", "sutte_score_raw", "sutte_score", "sutte_divergence",
     "sutte_divergence_confidence", "interaction_score",
 ]
 
@@ -77,18 +87,46 @@ def _each(names: list[str], periods=ALL) -> list[str]:
     return [f"{x}_{p}" for x in names for p in periods]
 
 
-def context_of(spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None) -> DataFrame:
-    return feat.context_features(bars(spark, sf_dir, width, key))
+def context_of(
+    spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None, params: Params = PARAMS
+) -> DataFrame:
+    return feat.context_features(bars(spark, sf_dir, width, key, params))
 
 
-def scored(spark: SparkSession, sf_dir: str, params: Params = PARAMS, anchor: bool = True, **bar) -> DataFrame:
-    return detector.score_windows(context_of(spark, sf_dir, **bar), params, anchor=anchor)
+def scored(spark: SparkSession, sf_dir: str, params: Params = PARAMS, bar: tuple = HOURLY) -> DataFrame:
+    return detector.score_windows(context_of(spark, sf_dir, *bar, params), params)
 
 
 def ohlc_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(events(spark, sf_dir), *BY_TYPE)
 
 
+def csv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as CSV files, with rows that cannot be read among them, and read again."""
+    path = scratch(spark, "csv")
+    made = bars_from_events(events(spark, sf_dir)).select(
+        *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")],
+        F.date_format("ts", CSV_TIME).alias("snapshotTime"),
+    )
+    broken = made.limit(3).withColumn("close", F.lit("none")).unionByName(made.limit(2).withColumn("snapshotTime", F.lit(None)))
+    made.unionByName(broken).write.csv(path, header=True)
+    return read_bars(spark, path)
+
+
+def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of complete bars."""
+    made = feat.complete(owned(feat.all_features(bars(spark, sf_dir, *BY_TYPE))))
+    return rounded(made, KEYS, FEATURES)
+
+
+FEATURES = [
+    *GEOMETRY, *PHASE, "log_return",
+    *_each(["high", "low", "range_width", "range_width_pct", "vol_ratio", "price_position", "realized_vol"]),
+    *_each(["roc", "momentum", "rsi", "trend_strength"], MAIN), *_each(["zscore", "hurst"], MEDIUM),
+    *SUTTE, "sutte_direction", *ADAPTIVE,
+]
+
+
 def window_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = owned(detector.window_core(feat.price_geometry(bars(spark, sf_dir)), PARAMS)).where("scored")
     return rounded(df, [*KEYS, "lookback"], ["past_range", "past_range_pct", "past_vol", "vol_contraction", "c_contraction", "c_range"])
@@ -114,64 +152,65 @@ def compression_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = context.context_scores(context.compression_signature(context_of(spark, sf_dir)), PARAMS)
+    df = context.context_scores(context.compression_signature(context_of(spark, sf_dir)), PARAMS, anchor=False)
     return rounded(df.where("rn > 0"), ["series_key", "rn"], ["attention_raw", "periodic_raw"])
 
 
-def score_components(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    df = scored(spark, sf_dir, anchor=anchor).where("scored")
+def score_components(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    df = scored(spark, sf_dir, params, bar).where("scored")
     return rounded(df, [*KEYS, "lookback", "divergence_signal"], SCORES)
 
 
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the autoregressive anchor: SQL has no least-norm least squares."""
-    df = scored(spark, sf_dir, anchor=True).where("scored")
-    return rounded(df, [*KEYS, "lookback", "divergence_signal"], ["scale_raw", "c_scale", *SCORES])
+    return score_components(spark, sf_dir, PARAMS, HOURLY)
 
 
 def scored_windows_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir, anchor=True, width="15 minutes", key="event_type").where("scored")
-    return rounded(df, [*KEYS, "lookback", "divergence_signal"], ["scale_raw", "c_scale", *SCORES])
+    return score_components(spark, sf_dir, PARAMS, ("15 minutes", "event_type"))
 
 
-def zones(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    found = detector.zones(scored(spark, sf_dir, anchor=anchor), PARAMS)
+def zones(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    found = detector.zones(scored(spark, sf_dir, params, bar), params)
     return rounded(found, ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES)
 
 
 def live_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = detector.live_window(context_of(spark, sf_dir, *BY_TYPE), PARAMS)
-    return rounded(df, [*KEYS, "divergence_signal"], ["scale_raw", "score"])
+    """Only the rows that the last window reaches are made into features."""
+    before, after = halo(PARAMS)
+    near = chunked(latest(numbered_bars(spark, sf_dir, *BY_TYPE), before + 1), before, after)
+    return rounded(detector.live_window(feat.context_features(near), PARAMS), [*KEYS, "divergence_signal"], ["scale_raw", "score"])
 
 
-def threshold_diagnosis(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = detector.threshold_diagnosis(detector.diagnostic_scores(scored(spark, sf_dir, anchor=anchor)))
+def threshold_diagnosis(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    told = detector.threshold_diagnosis(detector.diagnostic_scores(scored(spark, sf_dir, params, bar)), params)
     return rounded(told, ["series_key", "level", "above", "n"], ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
-def auto_threshold(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    return rounded(
-        detector.auto_threshold(detector.diagnostic_scores(scored(spark, sf_dir, anchor=anchor)), PARAMS), ["series_key"], ["threshold"]
-    )
+def auto_threshold(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    told = detector.auto_threshold(detector.diagnostic_scores(scored(spark, sf_dir, params, bar)), params)
+    return rounded(told, ["series_key"], ["threshold"])
 
 
-def zone_bars(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = breakout.zone_bars(scored(spark, sf_dir, anchor=anchor), PARAMS)
+def zone_bars(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    told = breakout.zone_bars(scored(spark, sf_dir, params, bar), params)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
-def breakout_signals(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = breakout.signals(scored(spark, sf_dir, anchor=anchor), PARAMS)
-    return rounded(told, [*KEYS, "direction"], ["probability"])
+def told_of(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    return breakout.signals(scored(spark, sf_dir, params, bar), params)
+
+
+def breakout_signals(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    return rounded(told_of(spark, sf_dir, params, bar), [*KEYS, "direction"], ["probability"])
 
 
 def latest_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.current_breakout(scored(spark, sf_dir, width=BY_TYPE[0], key=BY_TYPE[1]), PARAMS)
+    told = breakout.current_breakout(scored(spark, sf_dir, ACTIVE, BY_TYPE), ACTIVE)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
 def cv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = validation.folds(numbered(bars_from_events(events(spark, sf_dir), *BY_TYPE)))
+    dealt = validation.folds(numbered_bars(spark, sf_dir, *BY_TYPE))
     return dealt.groupBy(F.col("origin").alias("series_key"), "fold").agg(
         F.min("old_rn").alias("train_start"),
         F.min(F.when(F.col("validation"), F.col("old_rn"))).alias("validation_start"),
@@ -186,45 +225,45 @@ def direction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, [*KEYS, "target"], ["future_return"])
 
 
-def fold_told(spark: SparkSession, sf_dir: str, anchor: bool = True) -> DataFrame:
-    made = owned(context_of(spark, sf_dir, FOLD_WIDTH))
-    return validation.fold_signals(made, FOLDS, anchor=anchor)
+def fold_told(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+    return validation.fold_signals(owned(context_of(spark, sf_dir, *bar, ACTIVE)), ACTIVE)
 
 
-def fold_signals(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = fold_told(spark, sf_dir, anchor)
+def fold_signals(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+    told = fold_told(spark, sf_dir, bar)
     return rounded(told, ["origin", "fold", "old_rn", "direction", "target", "fold_target"], ["probability", "up_probability"])
 
 
-def fold_metrics(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = validation.fold_metrics(fold_told(spark, sf_dir, anchor))
+def fold_metrics(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+    told = validation.fold_metrics(fold_told(spark, sf_dir, bar))
     return rounded(told, ["origin", "fold", "labelled"], FOLD_METRICS)
 
 
 FOLD_METRICS = ["brier", "coverage", "answered_accuracy", "active_f1", "active_precision", "active_sharpe"]
 
 
-def calibration_bins(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = calibration.bins(calibration.usable(fold_told(spark, sf_dir, anchor)))
+def calibration_bins(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+    told = calibration.bins(calibration.usable(fold_told(spark, sf_dir, bar)))
     return rounded(told, ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"])
 
 
 def calibrated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = calibration.fit(calibration.usable(fold_told(spark, sf_dir, anchor=True)))
-    told = breakout.signals(scored(spark, sf_dir, FOLDS, anchor=True), FOLDS)
+    model = calibration.fit(cut(calibration.usable(fold_told(spark, sf_dir))))
+    told = told_of(spark, sf_dir)
     return rounded(model.apply(told) if model else told, [*KEYS, "direction"], ["probability"])
 
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir).persist()
-    plain = numbered(bars_from_events(events(spark, sf_dir)))
-    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir), (20,)), (20,)), (20,)))
-    told = metrics.run_metrics(detector.zones(df, PARAMS), breakout.signals(df, PARAMS), plain, made)
+    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
+    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir, *BY_TYPE), (20,)), (20,)), (20,)))
+    told = metrics.run_metrics(
+        detector.zones(df, ACTIVE), breakout.signals(df, ACTIVE), numbered_bars(spark, sf_dir, *BY_TYPE), made
+    )
     return rounded(told, ["series_key", "metric"], ["value"])
 
 
 def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = metrics.long_form(metrics.regime_metrics(numbered(bars_from_events(events(spark, sf_dir), *BY_TYPE))))
+    told = metrics.long_form(metrics.regime_metrics(numbered_bars(spark, sf_dir, *BY_TYPE)))
     return rounded(told, ["series_key", "metric"], ["value"])
 
 
@@ -234,31 +273,44 @@ def feature_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap_interval(breakout.signals(scored(spark, sf_dir, anchor=True), PARAMS))
+    return metrics.bootstrap_interval(told_of(spark, sf_dir))
 
 
-def _timed(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    df = scored(spark, sf_dir, anchor=anchor)
-    return report.timed_zones(detector.zones(df, PARAMS), df.select("series_key", "rn", "ts"))
+def _timed(spark: SparkSession, sf_dir: str, params: Params, bar: tuple) -> DataFrame:
+    df = cut(scored(spark, sf_dir, params, bar))  # read for its zones and twice for their times
+    return report.timed_zones(detector.zones(df, params), df.select("series_key", "rn", "ts"))
 
 
-def heatmap(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    return rounded(report.heatmap(_timed(spark, sf_dir, anchor)), ["series_key", "day", "hour", "zones"], ["mean_score"])
+def heatmap(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    return rounded(report.heatmap(_timed(spark, sf_dir, params, bar)), ["series_key", "day", "hour", "zones"], ["mean_score"])
 
 
-def event_frame(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = report.event_frame(_timed(spark, sf_dir, anchor))
-    return rounded(told, ["series_key", "timestamp_end"], EVENT)
+def event_frame(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    return rounded(report.event_frame(_timed(spark, sf_dir, params, bar)), ["series_key", "timestamp_end"], EVENT)
 
 
 EVENT = [
-    "consolidation_score", "attention_context_score", "periodic_context_score", "sutte_score", "interaction_score",
+    "consolidation_score", "attention_context_score", "periodic_context_score", "scale_anchor_score", "sutte_score",
+    "interaction_score",
 ]
 
 
-def latest_signal(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = breakout.signals(scored(spark, sf_dir, anchor=anchor, width=BY_TYPE[0], key=BY_TYPE[1]), PARAMS)
-    return rounded(report.latest_signal(told), LATEST, ["probability", "latest_raw_probability"])
+def recent_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = report.recent_zones(_timed(spark, sf_dir, ACTIVE, BY_TYPE), F.lit(SINCE).cast("timestamp_ntz"), RECENT)
+    return rounded(told, ["series_key", "start_idx", "end_idx", "timestamp_start", "timestamp_end"], ["consolidation_score"])
+
+
+def follow_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
+    told = report.follow_through(
+        detector.zones(df, ACTIVE), df.select(*KEYS, "high", "low", "close"), breakout.signals(df, ACTIVE)
+    )
+    return rounded(told, [*KEYS, "part", "marker"], ["close", "resistance", "support", "midline", "marker_probability"])
+
+
+def latest_signal(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    told = report.latest_signal(told_of(spark, sf_dir, params, bar))
+    return rounded(told, LATEST, ["probability", "latest_raw_probability"])
 
 
 LATEST = [
@@ -267,61 +319,90 @@ LATEST = [
 ]
 
 
-def zone_snapshot(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    df = scored(spark, sf_dir, anchor=anchor, width=BY_TYPE[0], key=BY_TYPE[1])
-    told = report.zone_snapshot(detector.zones(df, PARAMS), df.select("series_key", "rn"))
+def zone_snapshot(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    df = cut(scored(spark, sf_dir, params, bar))
+    told = report.zone_snapshot(detector.zones(df, params), df.select("series_key", "rn"))
     return rounded(told, ["series_key", "available", "duration", "post_bars", "maturity"], ["score"])
 
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir, width=BY_TYPE[0], key=BY_TYPE[1]).persist()
-    snapshot = report.zone_snapshot(detector.zones(df, PARAMS), df.select("series_key", "rn"))
-    return report.brief(report.latest_signal(breakout.signals(df, PARAMS)), snapshot)
+    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
+    snapshot = report.zone_snapshot(detector.zones(df, ACTIVE), df.select("series_key", "rn"))
+    return report.brief(report.latest_signal(breakout.signals(df, ACTIVE)), snapshot)
 
 
-def component_table(spark: SparkSession, sf_dir: str, anchor: bool = False) -> DataFrame:
-    told = report.component_table(detector.zones(scored(spark, sf_dir, anchor=anchor), PARAMS), PARAMS)
+def component_table(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+    told = report.component_table(detector.zones(scored(spark, sf_dir, params, bar), params), params)
     return rounded(told, ["series_key", "component", "weight"], ["mean", "contribution"])
 
 
 def bar_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report.bar_spacing(numbered(bars_from_events(events(spark, sf_dir), *BY_TYPE))), ["series_key"], ["bar_width_ms"])
+    return rounded(report.bar_spacing(numbered_bars(spark, sf_dir, *BY_TYPE)), ["series_key"], ["bar_width_ms"])
 
 
 def plot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = numbered(bars_from_events(events(spark, sf_dir), *BY_TYPE))
-    return report.plot_window(plain, 7).select(*KEYS, "close")
+    return report.plot_window(numbered_bars(spark, sf_dir, *BY_TYPE), 7).select(*KEYS, "close")
 
 
 def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = context_of(spark, sf_dir, *BY_TYPE)
-    df = detector.score_windows(made, PARAMS)
-    plain = numbered(bars_from_events(events(spark, sf_dir), *BY_TYPE))
-    last = breakout.current_breakout(df, PARAMS).select("series_key", "zone_end", "probability", "direction")
+    made = context_of(spark, sf_dir, *BY_TYPE, ACTIVE)
+    last = breakout.current_breakout(detector.score_windows(made, ACTIVE), ACTIVE)
+    before, after = halo(ACTIVE)
+    plain = numbered_bars(spark, sf_dir, *BY_TYPE)
+    live = detector.live_window(feat.context_features(chunked(latest(plain, before + 1), before, after)), ACTIVE)
     regime_now = metrics.regime_metrics(plain).select("series_key", "regime_shift_flag")
-    return report.forecast_payload(detector.live_window(made, PARAMS), last, regime_now, PARAMS)
+    return report.forecast_payload(
+        live, last.select("series_key", "zone_end", "probability", "direction"), regime_now, ACTIVE
+    )
+
+
+def _benchmarked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold signals of the model, and of the logistic baseline, on the same features."""
+    made = owned(feat.volatility(context_of(spark, sf_dir, *BY_TYPE, ACTIVE), (20,)))
+    targets = validation.direction_targets(chunked(made, *halo(ACTIVE)), ACTIVE.max_hold)
+    dealt = cut(validation.folds(owned(targets)))
+    return cut(validation.fold_signals(made, ACTIVE)), base.baseline(dealt, ACTIVE.max_hold)
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = owned(feat.volatility(context_of(spark, sf_dir, FOLD_WIDTH), (20,)))
-    dealt = validation.folds(owned(validation.direction_targets(chunked(made), FOLDS.max_hold)))
-    told = validation.fold_signals(made, FOLDS)
-    return rounded(base.benchmark(told, base.baseline(dealt, FOLDS.max_hold)), ["metric"], ["value"])
+    return rounded(base.benchmark(*_benchmarked(spark, sf_dir)), ["metric"], ["value"])
+
+
+def model_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's side of the benchmark."""
+    told = fold_told(spark, sf_dir).withColumn("label", F.col("fold_target"))
+    names = [f"model_{x}" for x in ("sample_count", "coverage", "answered_accuracy", "brier")]
+    return rounded(base.aggregate_result(told, "model"), [], names)
+
+
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trial of a short search: its setting, its objective over the folds and whether it is the best."""
+    made = cut(owned(context_of(spark, sf_dir, FOLD_WIDTH, None, WIDEST)))
+    best, tried = validation.search(made, SHORT_SEARCH)
+    rows = [(i, p.digest(), *map(float, asdict(p).values()), float(v), p == best) for i, (p, v) in enumerate(tried)]
+    names = ", ".join(f"{c} double" for c in [*asdict(PARAMS), "objective"])
+    told = spark.createDataFrame(rows, f"trial int, digest string, {names}, best boolean")
+    return rounded(told, ["trial", "digest", "best"], [*asdict(PARAMS), "objective"])
 
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of all parameters over the trials of the search, each valued by its folds."""
-    made = owned(context_of(spark, sf_dir, FOLD_WIDTH)).persist()
+    made = cut(owned(context_of(spark, sf_dir, FOLD_WIDTH, None, WIDEST)))
     _, tried = validation.search(made, TRIALS)
-    made.unpersist()
     names = list(asdict(PARAMS))
     rows = [(*map(float, asdict(p).values()), float(value)) for p, value in tried]
     trials = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "objective"]))
     return rounded(validation.importance(trials, names), ["parameter"], ["importance"])
 
 
+#: The longest windows that the search draws.
+WIDEST = replace(PARAMS, lookback=SEARCH["lookback"][1], max_hold=SEARCH["max_hold"][1])
+
+
 QUERIES = {
     "ohlc_bars": ohlc_bars,
+    "csv_bars": csv_bars,
+    "all_features": all_features,
     "price_geometry": _feature_query(feat.price_geometry, GEOMETRY),
     "price_geometry_by_type": _feature_query(feat.price_geometry, GEOMETRY, *BY_TYPE),
     "temporal_phase": _feature_query(feat.temporal_phase, PHASE),
@@ -373,37 +454,159 @@ QUERIES = {
     "bar_spacing": bar_spacing,
     "plot_window": plot_window,
     "forecast_payload": forecast_payload,
+    "recent_zones": recent_zones,
+    "follow_through": follow_through,
+    "model_result": model_result,
+    "search": search,
     "importance": importance,
 }
-#: Queries whose SQL holds the anchor at the neutral 0.5, as SQL has no least-norm least squares.
-NEUTRAL = {
+#: Queries that are asked of one hourly series too: with the default setting, or the folds' one.
+PLAIN = {
     "score_components": score_components,
     "zones": zones,
     "threshold_diagnosis": threshold_diagnosis,
     "auto_threshold": auto_threshold,
     "zone_bars": zone_bars,
     "breakout_signals": breakout_signals,
-    "fold_signals": fold_signals,
-    "fold_metrics": fold_metrics,
-    "calibration_bins": calibration_bins,
     "heatmap": heatmap,
     "event_frame": event_frame,
     "latest_signal": latest_signal,
     "zone_snapshot": zone_snapshot,
     "component_table": component_table,
 }
-#: The same with all eight components; without SQL.
-QUERIES |= {f"{name}_anchored": partial(query, anchor=True) for name, query in NEUTRAL.items()}
+FOLDED = {"fold_signals": fold_signals, "fold_metrics": fold_metrics, "calibration_bins": calibration_bins}
+QUERIES |= {f"{name}_anchored": partial(query, params=PARAMS, bar=HOURLY) for name, query in PLAIN.items()}
+QUERIES |= {f"{name}_anchored": partial(query, bar=HOURLY) for name, query in FOLDED.items()}
+
+
+ZONE_COLUMNS = """series_key, rn - lookback AS start_idx, rn - 1 AS end_idx, lookback AS duration,
+  past_range AS range_width, past_range_pct AS range_width_pct, vol_contraction AS volatility_ratio,
+  c_position AS mean_reversion_strength, hurst_exponent, score AS consolidation_score,
+  attention_raw AS attention_context_score_raw, periodic_raw AS periodic_context_score_raw, scale_raw AS scale_anchor_score_raw,
+  c_attention AS attention_context_score, c_periodic AS periodic_context_score, c_scale AS scale_anchor_score,
+  sutte_raw AS sutte_score_raw, c_sutte AS sutte_score, divergence AS sutte_divergence,
+  divergence_confidence AS sutte_divergence_confidence, divergence_signal AS sutte_divergence_signal, interaction_score"""
+TIMED = """tim AS (SELECT z.*, a.ts AS timestamp_start, b.ts AS timestamp_end FROM zone z
+  JOIN feat a ON a.series_key = z.series_key AND a.rn = z.start_idx JOIN feat b ON b.series_key = z.series_key AND b.rn = z.end_idx)"""
+LATEST_SQL = """lat AS (SELECT series_key, count(*) FILTER (WHERE a AND direction = 1) AS active_up_count,
+  count(*) FILTER (WHERE a AND direction = -1) AS active_down_count, count(*) FILTER (WHERE direction = 1) AS raw_up_count,
+  count(*) FILTER (WHERE direction = -1) AS raw_down_count, arg_max(direction, rn) FILTER (WHERE a) AS d,
+  arg_max(probability, rn) FILTER (WHERE a) AS p, arg_max(ts, rn) FILTER (WHERE a) AS signal_ts,
+  coalesce(arg_max(direction, rn) FILTER (WHERE direction <> 0), 0) AS latest_raw_direction,
+  coalesce(arg_max(probability, rn) FILTER (WHERE direction <> 0), 0) AS latest_raw_probability,
+  arg_max(ts, rn) FILTER (WHERE direction <> 0) AS latest_raw_ts
+  FROM (SELECT *, direction <> 0 AND probability >= 0.55 AS a FROM sgn) GROUP BY series_key),
+lts AS (SELECT *, CASE WHEN d IS NOT NULL THEN 'active' WHEN latest_raw_direction <> 0 THEN 'subthreshold' ELSE 'none' END AS visibility,
+  coalesce(d, 0) AS direction, coalesce(p, 0) AS probability FROM lat)"""
+SNAPSHOT = """sna AS (SELECT series_key, CASE WHEN z IS NULL THEN 'no' ELSE 'yes' END AS available, coalesce(z.duration, 0) AS duration,
+  coalesce(n - z.end_idx - 1, 0) AS post_bars, coalesce(z.consolidation_score, 0) AS score,
+  CASE WHEN z IS NULL THEN 'None' WHEN n - z.end_idx - 1 >= 8 THEN 'Developed' WHEN n - z.end_idx - 1 >= 4 THEN 'Forming'
+    WHEN n - z.end_idx - 1 >= 1 THEN 'Early' ELSE 'Unconfirmed' END AS maturity
+  FROM (SELECT series_key, max(n) AS n FROM feat GROUP BY 1) LEFT JOIN
+    (SELECT series_key, arg_max(zone, end_idx) AS z FROM zone GROUP BY 1) USING (series_key))"""
+
+
+def _zone(p: Params) -> str:
+    return f"zone AS (SELECT {ZONE_COLUMNS} FROM com WHERE scored AND score > {p.threshold})"
+
+
+def _plain_oracles(p: Params, chain: list[str]) -> dict[str, str]:
+    """SQL of the queries of PLAIN for a setting; chain makes feat."""
+    own, zone = [*chain, *sql.scored(p)], _zone(p)
+    sig = [*own, *sql.breakouts(p)]
+    sample = "dia AS (SELECT series_key, rn, score FROM com WHERE scored AND rn % greatest(1, n // 500) = 0)"
+    levels = ", ".join(f"({x}::DOUBLE)" for x in sorted({p.threshold, 0.1, 0.2, 0.3, 0.4, 0.5}))
+    weights = ", ".join(f"('{c}', {p.weight(c)}::DOUBLE)" for c in ("contraction", "position", "attention", "periodic", "scale", "sutte"))
+    return {
+        "score_components": sql.select(own, "com", [*KEYS, "lookback", "divergence_signal"], SCORES, "scored"),
+        "zones": sql.select(
+            [*own, zone], "zone", ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES
+        ),
+        "threshold_diagnosis": sql.select(
+            [*own, sample, f"""out AS (SELECT series_key, level, count(*) FILTER (WHERE score > level) AS above, count(score) AS n,
+  avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min, quantile_cont(score, 0.25) AS p25,
+  quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, max(score) AS max
+  FROM dia CROSS JOIN (VALUES {levels}) AS l(level) GROUP BY ALL)"""],
+            "out", ["series_key", "level", "above", "n"], ["mean", "std", "min", "p25", "p50", "p75", "max"],
+        ),
+        "auto_threshold": sql.select(
+            [*own, sample, f"""out AS (SELECT series_key, greatest(0.10, least(0.50, {p.threshold}, quantile_cont(score, 0.7))) AS threshold
+  FROM dia GROUP BY ALL)"""],
+            "out", ["series_key"], ["threshold"],
+        ),
+        "zone_bars": sql.select(sig, "act", ["series_key", "rn", "zone_end", "direction"], ["probability"]),
+        "breakout_signals": sql.select(sig, "sgn", [*KEYS, "direction"], ["probability"]),
+        "heatmap": sql.select(
+            [*own, zone, TIMED, """out AS (SELECT series_key, timestamp_end::DATE AS day, hour(timestamp_end) AS hour, count(*) AS zones,
+  avg(consolidation_score) AS mean_score FROM tim GROUP BY ALL)"""],
+            "out", ["series_key", "day", "hour", "zones"], ["mean_score"],
+        ),
+        "event_frame": sql.select([*own, zone, TIMED], "tim", ["series_key", "timestamp_end"], EVENT),
+        "latest_signal": sql.select([*sig, LATEST_SQL], "lts", LATEST, ["probability", "latest_raw_probability"]),
+        "zone_snapshot": sql.select(
+            [*own, zone, SNAPSHOT], "sna", ["series_key", "available", "duration", "post_bars", "maturity"], ["score"]
+        ),
+        "component_table": sql.select(
+            [*own, zone, f"wei(component, weight) AS (VALUES {weights})",
+             """mea AS (UNPIVOT (SELECT series_key, avg(1 - least(volatility_ratio, 1)) AS contraction, avg(mean_reversion_strength) AS position,
+  avg(attention_context_score) AS attention, avg(periodic_context_score) AS periodic, avg(scale_anchor_score) AS scale,
+  avg(sutte_score) AS sutte FROM zone GROUP BY 1) ON contraction, position, attention, periodic, scale, sutte INTO NAME component VALUE mean)""",
+             "out AS (SELECT *, mean * weight * 100 AS contribution FROM mea JOIN wei USING (component))"],
+            "out", ["series_key", "component", "weight"], ["mean", "contribution"],
+        ),
+    }
+
+
+USABLE = "use AS (SELECT probability AS p, (direction = target)::INT AS hit FROM tol WHERE direction <> 0 AND probability > 0 AND target IN (-1, 1))"
+BINS = [
+    USABLE,
+    "edg AS (SELECT list_sort(list_distinct(quantile_cont(p, [0, 1/7, 2/7, 3/7, 4/7, 5/7, 6/7, 1]))) AS e FROM use)",
+    """bin0 AS (SELECT least(len(list_filter(e, lambda x: x <= p)), len(e) - 1) AS bin, count(*) AS n, any_value(e) AS e, avg(p) AS mean_p,
+  avg(hit) AS hit_rate, 0.35 * avg(p) + 0.65 * avg(hit) AS blended FROM use, edg GROUP BY 1)""",
+    "bins AS (SELECT *, e[bin] AS low, e[bin + 1] AS high FROM bin0 WHERE bin > 0)",
+]
+
+
+def _fold_oracles(p: Params, bar: tuple) -> dict[str, str]:
+    """SQL of the queries of FOLDED for a setting."""
+    told = sql.fold_signals(p, *bar)
+    return {
+        "fold_signals": sql.select(
+            told, "tol", ["origin", "fold::INT AS fold", "old_rn", "direction", "target", "fold_target"], ["probability", "up_probability"]
+        ),
+        "fold_metrics": sql.select(sql.fold_metrics(p, *bar), "fom", ["origin", "fold::INT AS fold", "labelled"], FOLD_METRICS),
+        "calibration_bins": sql.select([*told, *BINS], "bins", ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"]),
+    }
+
+
+def _calibrated_oracle(p: Params, bar: tuple) -> str:
+    """The whole series' signals mapped by the curve through the bins of the folds' signals.
+
+    A running maximum makes the curve rise; it begins at (0, 0) and stays level up to 1; points at one place are one.
+    """
+    chain = sql.features(*bar, everything=False)
+    steps = [
+        *sql.fold_signals(p, *bar),
+        *BINS,
+        """cur0 AS (SELECT max(least(greatest(mean_p, 0), 1)) OVER w AS x, max(least(greatest(blended, 0), 1)) OVER w AS y FROM bins
+  WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        """cur1 AS (SELECT x, max(y) AS y FROM (SELECT * FROM cur0 UNION ALL SELECT 0, 0 FROM cur0 HAVING min(x) > 0
+  UNION ALL SELECT 1, max(y) FROM cur0 HAVING max(x) < 1) GROUP BY x)""",
+        "cur AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM cur1)",
+    ]
+    fitted = "WITH " + ",\n".join(steps) + "\nSELECT * FROM cur"
+    whole = [*chain, *sql.scored(p), *sql.breakouts(p)]
+    mapped = f"""cal0 AS ({fitted}),
+cal AS (SELECT s.*, CASE WHEN s.probability > 0 THEN coalesce(c.y + (s.probability - c.x) * (c.y2 - c.y) / (c.x2 - c.x), s.probability)
+  ELSE s.probability END AS q FROM sgn s LEFT JOIN cal0 c ON s.probability > c.x AND s.probability <= c.x2),
+out AS (SELECT series_key, ts, rn, CASE WHEN q > 0.5 THEN direction ELSE 0 END AS direction, q AS probability FROM cal)"""
+    return sql.select([*whole, mapped], "out", [*KEYS, "direction"], ["probability"])
 
 
 def _oracles() -> dict[str, str]:
     p, full = PARAMS, sql.features()
     few = sql.features(everything=False)
     typed = sql.features(*BY_TYPE, everything=False)
-    own = [*few, *sql.scored(p)]
-    own_typed = [*typed, *sql.scored(p)]
-    sig = [*own, *sql.breakouts(p)]
-    sig_typed = [*own_typed, *sql.breakouts(p)]
 
     def geometry(*args) -> list[str]:
         return [*sql.bars(*args), *sql.GEOMETRY]
@@ -424,10 +627,7 @@ def _oracles() -> dict[str, str]:
             [*few, *sql.sutte_score(p), "out AS (SELECT feat.*, sutte_raw FROM feat JOIN sco USING (series_key, rn))"],
             "out", KEYS, ["sutte_raw"], "rn > 0",
         ),
-        "context_scores": sql.select(own, "com", ["series_key", "rn"], ["attention_raw", "periodic_raw"], "rn > 0"),
-        "score_components": sql.select(own, "com", [*KEYS, "lookback", "divergence_signal"], SCORES, "scored"),
-        "zone_bars": sql.select(sig, "act", ["series_key", "rn", "zone_end", "direction"], ["probability"]),
-        "breakout_signals": sql.select(sig, "sgn", [*KEYS, "direction"], ["probability"]),
+        "context_scores": sql.select([*few, *sql.scored(p)], "com", ["series_key", "rn"], ["attention_raw", "periodic_raw"], "rn > 0"),
     }
     for name, columns in (
         ("rolling_envelope", _each(["high", "low", "range_width", "range_width_pct"])),
@@ -453,30 +653,6 @@ def _oracles() -> dict[str, str]:
         [*geometry(*BY_TYPE), *sql.core(p, "geo")], "cor", [*KEYS, "lookback"],
         ["past_range_pct", "vol_contraction", "c_contraction", "c_range"], "scored",
     )
-    zone = f"""zone AS (SELECT series_key, rn - lookback AS start_idx, rn - 1 AS end_idx, lookback AS duration,
-  past_range AS range_width, past_range_pct AS range_width_pct, vol_contraction AS volatility_ratio,
-  c_position AS mean_reversion_strength, hurst_exponent, score AS consolidation_score,
-  attention_raw AS attention_context_score_raw, periodic_raw AS periodic_context_score_raw,
-  c_attention AS attention_context_score, c_periodic AS periodic_context_score, c_scale AS scale_anchor_score,
-  sutte_raw AS sutte_score_raw, c_sutte AS sutte_score, divergence AS sutte_divergence,
-  divergence_confidence AS sutte_divergence_confidence, divergence_signal AS sutte_divergence_signal, interaction_score
-  FROM com WHERE scored AND score > {p.threshold})"""
-    out["zones"] = sql.select(
-        [*own, zone], "zone", ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES
-    )
-    sample = "dia AS (SELECT series_key, rn, score FROM com WHERE scored AND rn % greatest(1, n // 500) = 0)"
-    out["threshold_diagnosis"] = sql.select(
-        [*own, sample, """out AS (SELECT series_key, level, count(*) FILTER (WHERE score > level) AS above, count(score) AS n,
-  avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min, quantile_cont(score, 0.25) AS p25,
-  quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, max(score) AS max
-  FROM dia CROSS JOIN (VALUES (0.1::DOUBLE), (0.2), (0.3), (0.4), (0.5)) AS l(level) GROUP BY ALL)"""],
-        "out", ["series_key", "level", "above", "n"], ["mean", "std", "min", "p25", "p50", "p75", "max"],
-    )
-    out["auto_threshold"] = sql.select(
-        [*own, sample, f"""out AS (SELECT series_key, greatest(0.10, least(0.50, {p.threshold}, quantile_cont(score, 0.7))) AS threshold
-  FROM dia GROUP BY ALL)"""],
-        "out", ["series_key"], ["threshold"],
-    )
     out["cv_splits"] = (
         "WITH " + ",\n".join([*sql.bars(*BY_TYPE), "whole AS (SELECT * FROM num)", *sql.folds(p)])
         + """ SELECT origin AS series_key, fold::INT AS fold, min(old_rn) AS train_start, min(old_rn) FILTER (WHERE validation) AS validation_start,
@@ -486,57 +662,63 @@ def _oracles() -> dict[str, str]:
         [*sql.bars(), f"out AS (SELECT *, lead(close, {p.max_hold}) {sql.ROW} / close - 1 AS future_return FROM num)"],
         "out", [*KEYS, "sign(future_return)::INT AS target"], ["future_return"],
     )
-    told = sql.fold_signals(FOLDS, FOLD_WIDTH)
-    out["fold_signals"] = sql.select(
-        told, "tol", ["origin", "fold::INT AS fold", "old_rn", "direction", "target", "fold_target"], ["probability", "up_probability"]
+    quarter = sql.features("15 minutes", "event_type", everything=False)
+    windows = [*KEYS, "lookback", "divergence_signal"]
+    out["scored_windows"] = sql.select([*few, *sql.scored(p)], "com", windows, SCORES, "scored")
+    out["scored_windows_by_type"] = sql.select([*quarter, *sql.scored(p)], "com", windows, SCORES, "scored")
+    out["live_window"] = sql.select(
+        [*typed, *sql.scored(p, gate=False)], "com", [*KEYS, "divergence_signal"], ["scale_raw", "score"], "scored AND rn = n - 1"
     )
-    out["fold_metrics"] = sql.select(
-        sql.fold_metrics(FOLDS, FOLD_WIDTH), "fom", ["origin", "fold::INT AS fold", "labelled"], FOLD_METRICS
+    out |= _plain_oracles(ACTIVE, typed) | _fold_oracles(ACTIVE, BY_TYPE)
+    out |= {f"{name}_anchored": text for name, text in _plain_oracles(PARAMS, few).items()}
+    out |= {f"{name}_anchored": text for name, text in _fold_oracles(ACTIVE, HOURLY).items()}
+    out["calibrated_signals"] = _calibrated_oracle(ACTIVE, BY_TYPE)
+    out["csv_bars"] = "WITH " + sql.bars()[0] + " SELECT series_key, ts, open, high, low, close FROM bars"
+    out["all_features"] = sql.select(
+        [*sql.features(*BY_TYPE), *sql.ADAPTIVE, f"out AS (SELECT *, {z} FROM ada)"], "out", KEYS, FEATURES, "hl_range_pct IS NOT NULL"
     )
-    out["calibration_bins"] = sql.select(
-        [*told, "use AS (SELECT probability AS p, (direction = target)::INT AS hit FROM tol WHERE direction <> 0 AND probability > 0 AND target IN (-1, 1))",
-         "edg AS (SELECT list_sort(list_distinct(quantile_cont(p, [0, 1/7, 2/7, 3/7, 4/7, 5/7, 6/7, 1]))) AS e FROM use)",
-         """out AS (SELECT least(len(list_filter(e, lambda x: x <= p)), len(e) - 1) AS bin, count(*) AS n, any_value(e) AS e, avg(p) AS mean_p,
-  avg(hit) AS hit_rate, 0.35 * avg(p) + 0.65 * avg(hit) AS blended FROM use, edg GROUP BY 1)""",
-         "ou2 AS (SELECT *, e[bin] AS low, e[bin + 1] AS high FROM out)"],
-        "ou2", ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"], "bin > 0",
+    own = [*typed, *sql.scored(ACTIVE), _zone(ACTIVE)]
+    sig = [*own, *sql.breakouts(ACTIVE)]
+    out["recent_zones"] = sql.select(
+        [*own, TIMED, f"""out AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY end_idx DESC) AS k FROM tim
+  WHERE timestamp_end >= TIMESTAMP '{SINCE}')"""],
+        "out", ["series_key", "start_idx", "end_idx", "timestamp_start", "timestamp_end"], ["consolidation_score"], f"k <= {RECENT}",
     )
-    timed = """tim AS (SELECT z.*, b.ts AS timestamp_end FROM zone z JOIN feat b ON b.series_key = z.series_key AND b.rn = z.end_idx)"""
-    out["heatmap"] = sql.select(
-        [*own, zone, timed, """out AS (SELECT series_key, timestamp_end::DATE AS day, hour(timestamp_end) AS hour, count(*) AS zones,
-  avg(consolidation_score) AS mean_score FROM tim GROUP BY ALL)"""],
-        "out", ["series_key", "day", "hour", "zones"], ["mean_score"],
+    out["follow_through"] = sql.select(
+        [*sig, "las AS (SELECT series_key, arg_max(zone, end_idx) AS z FROM zone GROUP BY 1)",
+         """nea AS (SELECT s.*, z, f.high, f.low FROM sgn s JOIN feat f USING (series_key, rn) JOIN las USING (series_key)
+  WHERE s.close > 0 AND s.rn BETWEEN z.start_idx - z.duration AND z.end_idx + 60)""",
+         """out AS (SELECT *, CASE WHEN rn > z.end_idx THEN 'after' ELSE 'history' END AS part,
+  max(high) FILTER (WHERE rn BETWEEN z.start_idx AND z.end_idx) OVER (PARTITION BY series_key) AS resistance,
+  min(low) FILTER (WHERE rn BETWEEN z.start_idx AND z.end_idx) OVER (PARTITION BY series_key) AS support,
+  rn > z.end_idx AND probability >= 0.55 AND direction <> 0 AS shown FROM nea)""",
+         """ou2 AS (SELECT *, (resistance + support) / 2 AS midline, CASE WHEN shown THEN direction END AS marker,
+  CASE WHEN shown THEN probability END AS marker_probability FROM out)"""],
+        "ou2", [*KEYS, "part", "marker"], ["close", "resistance", "support", "midline", "marker_probability"],
     )
-    out["event_frame"] = sql.select([*own, zone, timed], "tim", ["series_key", "timestamp_end"], EVENT)
-    latest = """lat AS (SELECT series_key, count(*) FILTER (WHERE a AND direction = 1) AS active_up_count,
-  count(*) FILTER (WHERE a AND direction = -1) AS active_down_count, count(*) FILTER (WHERE direction = 1) AS raw_up_count,
-  count(*) FILTER (WHERE direction = -1) AS raw_down_count, arg_max(direction, rn) FILTER (WHERE a) AS d,
-  arg_max(probability, rn) FILTER (WHERE a) AS p, arg_max(ts, rn) FILTER (WHERE a) AS signal_ts,
-  coalesce(arg_max(direction, rn) FILTER (WHERE direction <> 0), 0) AS latest_raw_direction,
-  coalesce(arg_max(probability, rn) FILTER (WHERE direction <> 0), 0) AS latest_raw_probability,
-  arg_max(ts, rn) FILTER (WHERE direction <> 0) AS latest_raw_ts
-  FROM (SELECT *, direction <> 0 AND probability >= 0.55 AS a FROM sgn) GROUP BY series_key),
-lts AS (SELECT *, CASE WHEN d IS NOT NULL THEN 'active' WHEN latest_raw_direction <> 0 THEN 'subthreshold' ELSE 'none' END AS visibility,
-  coalesce(d, 0) AS direction, coalesce(p, 0) AS probability FROM lat)"""
-    out["latest_signal"] = sql.select([*sig_typed, latest], "lts", LATEST, ["probability", "latest_raw_probability"])
-    snapshot = """sna AS (SELECT series_key, CASE WHEN z IS NULL THEN 'no' ELSE 'yes' END AS available, coalesce(z.duration, 0) AS duration,
-  coalesce(n - z.end_idx - 1, 0) AS post_bars, coalesce(z.consolidation_score, 0) AS score,
-  CASE WHEN z IS NULL THEN 'None' WHEN n - z.end_idx - 1 >= 8 THEN 'Developed' WHEN n - z.end_idx - 1 >= 4 THEN 'Forming'
-    WHEN n - z.end_idx - 1 >= 1 THEN 'Early' ELSE 'Unconfirmed' END AS maturity
-  FROM (SELECT series_key, max(n) AS n FROM feat GROUP BY 1) LEFT JOIN
-    (SELECT series_key, arg_max(zone, end_idx) AS z FROM zone GROUP BY 1) USING (series_key))"""
-    out["zone_snapshot"] = sql.select(
-        [*own_typed, zone, snapshot], "sna", ["series_key", "available", "duration", "post_bars", "maturity"], ["score"]
+    out["brief"] = (
+        "WITH " + ",\n".join([*sig, LATEST_SQL, SNAPSHOT])
+        + """ SELECT series_key,
+  CASE WHEN available = 'no' THEN 'No active setup' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Breaking up' ELSE 'Breaking down' END
+    WHEN post_bars = 0 THEN 'Still consolidating' WHEN visibility = 'subthreshold' THEN 'Waiting for confirmation' ELSE 'Recent zone, no trigger' END AS setup_state,
+  CASE WHEN available = 'no' THEN 'neutral' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'support' ELSE 'risk' END
+    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN 'watch' ELSE 'neutral' END AS stance_tone,
+  CASE WHEN available = 'no' THEN 'No zone' WHEN visibility = 'active' THEN 'Confirmed' WHEN post_bars = 0 THEN 'Inside zone'
+    WHEN visibility = 'subthreshold' THEN 'Below trigger' ELSE 'No trigger' END AS trust_label,
+  CASE WHEN available = 'no' THEN 'No' WHEN visibility = 'active' OR post_bars = 0 THEN 'Yes' ELSE 'Recent' END AS consolidation_answer,
+  CASE WHEN available = 'no' THEN 'None' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Up' ELSE 'Down' END
+    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN CASE WHEN latest_raw_direction > 0 THEN 'Up lean' WHEN latest_raw_direction < 0 THEN 'Down lean'
+      ELSE 'Undecided' END ELSE 'None' END AS breakout_side, maturity, post_bars
+  FROM lts JOIN sna USING (series_key)"""
     )
-    weights = ", ".join(f"('{c}', {p.weight(c)}::DOUBLE)" for c in ("contraction", "position", "attention", "periodic", "scale", "sutte"))
-    out["component_table"] = sql.select(
-        [*own, zone, f"wei(component, weight) AS (VALUES {weights})",
-         """mea AS (UNPIVOT (SELECT series_key, avg(1 - least(volatility_ratio, 1)) AS contraction, avg(mean_reversion_strength) AS position,
-  avg(attention_context_score) AS attention, avg(periodic_context_score) AS periodic, avg(scale_anchor_score) AS scale,
-  avg(sutte_score) AS sutte FROM zone GROUP BY 1) ON contraction, position, attention, periodic, scale, sutte INTO NAME component VALUE mean)""",
-         "out AS (SELECT *, mean * weight * 100 AS contribution FROM mea JOIN wei USING (component))"],
-        "out", ["series_key", "component", "weight"], ["mean", "contribution"],
+    out["model_result"] = sql.select(
+        [*sql.fold_signals(ACTIVE, *BY_TYPE),
+         """out AS (SELECT count(*) AS model_sample_count, avg((direction <> 0)::INT) AS model_coverage,
+  avg((direction = fold_target)::INT) FILTER (WHERE direction <> 0) AS model_answered_accuracy,
+  avg((up_probability - (fold_target = 1)::INT) ** 2) AS model_brier FROM tol WHERE fold_target IN (-1, 1))"""],
+        "out", [], [f"model_{x}" for x in ("sample_count", "coverage", "answered_accuracy", "brier")],
     )
+    out["latest_breakout"] = sql.select([*own, sql.latest_breakout(ACTIVE)], "out", ["series_key", "rn", "zone_end", "direction"], ["probability"])
     out["bar_spacing"] = sql.select(
         [*sql.bars(*BY_TYPE), f"gap AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) {sql.ROW})) / 1000 AS gap FROM num)",
          "out AS (SELECT series_key, quantile_cont(gap, 0.5) * 0.8 AS bar_width_ms FROM gap GROUP BY 1)"],
@@ -569,6 +751,34 @@ ins AS (SELECT series_key, col || '_instability' AS metric, avg(d) AS value FROM
     out["feature_instability"] = sql.select(
         [*sql.features(*BY_TYPE), unsteady("feat")], "ins", ["series_key", "metric"], ["value"]
     )
+    # The features of the metrics are more than those that scores need: both chains make bars, so one is renamed.
+    long = sql.features(*BY_TYPE)
+    long[-1] = long[-1].replace("feat AS", "wide AS", 1)
+    steady = "WITH " + ",\n".join([*long, unsteady("wide")]) + "\nSELECT * FROM ins"
+    zoned = ", ".join(
+        f"coalesce(avg({c}), 0) AS {n}" for n, c in (
+            ("mean_consolidation_score", "consolidation_score"), ("mean_attention_context_score", "attention_context_score"),
+            ("mean_periodic_context_score", "periodic_context_score"), ("mean_scale_anchor_score", "scale_anchor_score"),
+            ("mean_sutte_score", "sutte_score"), ("mean_interaction_score", "interaction_score"),
+            ("mean_sutte_divergence_confidence", "sutte_divergence_confidence"),
+        )
+    )
+    run = f"""met0 AS (SELECT series_key, count(consolidation_score)::DOUBLE AS total_consolidations, {zoned}
+  FROM (SELECT DISTINCT series_key FROM feat) LEFT JOIN zone USING (series_key) GROUP BY 1),
+met1 AS (SELECT *, direction * (lead(close, 10) {sql.ROW} / nullif(close, 0) - 1) AS gain, CASE WHEN probability > 0 THEN probability END AS pos FROM sgn),
+met2 AS (SELECT series_key, count(*) FILTER (WHERE direction <> 0)::DOUBLE AS breakout_signals,
+  count(*) FILTER (WHERE probability > 0.7)::DOUBLE AS high_prob_signals, count(*) FILTER (WHERE direction = 1)::DOUBLE AS up_breakout_signals,
+  count(*) FILTER (WHERE direction = -1)::DOUBLE AS down_breakout_signals, count(*) FILTER (WHERE direction = 0)::DOUBLE AS neutral_signal_bars,
+  coalesce(sum(direction) / nullif(count(*) FILTER (WHERE direction <> 0), 0), 0)::DOUBLE AS signal_bias, coalesce(avg(pos), 0) AS mean_probability,
+  coalesce(stddev_samp(pos), 0) AS prob_std, coalesce(max(pos), 0) AS max_probability, coalesce(min(pos), 0) AS min_probability,
+  avg(gain) AS simulated_mean_return, stddev_samp(gain) AS simulated_std_return,
+  coalesce(avg(gain) / (stddev_samp(gain) + 1e-10) * sqrt(252), 0) AS simulated_sharpe, coalesce(avg((gain > 0)::INT), 0) AS simulated_win_rate,
+  product(1 + gain) - 1 AS simulated_total_return FROM met1 GROUP BY 1),
+met AS (SELECT series_key, metric, value FROM met0 UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (series_key))))),
+mes AS (SELECT series_key, metric, value FROM met2 UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (series_key))))),
+mei AS ({steady}),
+mea AS (SELECT * FROM met UNION ALL SELECT * FROM mes UNION ALL SELECT * FROM reg UNION ALL SELECT * FROM mei)"""
+    out["run_metrics"] = sql.select([*sig, ret, reg, run], "mea", ["series_key", "metric"], ["value"])
     return out
 
 

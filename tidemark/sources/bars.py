@@ -3,7 +3,8 @@
 A long series is not one task: rows are numbered through counts of time
 buckets, then dealt into chunks of CHUNK rows that also carry the rows before
 and after them which a frame can reach.  Windows partition by (series_key,
-chunk); every chunk keeps only the rows it owns.
+chunk); every chunk keeps only the rows it owns.  The chunk column says how many
+rows its chunks carry; an operator that reaches further raises ValueError.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.plans.params import LONG, Params
+
 CSV_TIME = "yyyy:MM:dd-HH:mm:ss"
 OHLC = ("open", "high", "low", "close")
-#: Rows of a chunk, and rows before and after it that frames reach.
-CHUNK, BEFORE, AFTER = 16_384, 1_024, 64
+#: Rows of a chunk.
+CHUNK = 16_384
+#: Rows before a chunk that features read: three times the longest period is the longest frame.
+FEATURE_ROWS = 3 * max(LONG) + 20
 
 
 def read_bars(
@@ -80,7 +85,7 @@ def numbered(bars: DataFrame, bucket: str = "month") -> DataFrame:
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
         F.sum("_rows").over(W.partitionBy("series_key")).alias("n"),
     )
-    inside = W.partitionBy("series_key", "_bucket").orderBy("ts")
+    inside = W.partitionBy("series_key", "_bucket").orderBy("ts", *[c for c in OHLC if c in bars.columns])
     return (
         dated.withColumn("_at", F.row_number().over(inside) - 1)
         .join(starts, ["series_key", "_bucket"])
@@ -89,17 +94,37 @@ def numbered(bars: DataFrame, bucket: str = "month") -> DataFrame:
     )
 
 
-def chunked(rows: DataFrame, size: int = CHUNK, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+def halo(params: Params) -> tuple[int, int]:
+    """Rows before and after a chunk that features, scores, signals and targets of a setting read."""
+    return FEATURE_ROWS + params.reach, params.max_hold
+
+
+def chunked(rows: DataFrame, before: int = FEATURE_ROWS, after: int = 0, size: int = CHUNK) -> DataFrame:
     """Adds chunk and owned: each row goes to its own chunk and to those whose frames reach it."""
     own = F.floor(F.col("rn") / size)
     first = F.greatest(F.floor((F.col("rn") - after) / size), F.lit(0))
     last = F.floor((F.col("rn") + before) / size)
     top = F.floor((F.col("n") - 1) / size)
-    return rows.withColumn("chunk", F.explode(F.sequence(first, F.least(last, top)))).withColumn(
-        "owned", F.col("chunk") == own
+    return (
+        rows.withColumn("chunk", F.explode(F.sequence(first, F.least(last, top))))
+        .withMetadata("chunk", {"before": before, "after": after})
+        .withColumn("owned", F.col("chunk") == own)
     )
 
 
+def reaching(rows: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """The same rows; ValueError if their chunks carry fewer rows than frames would read."""
+    held = rows.schema["chunk"].metadata
+    if held.get("before", 0) < before or held.get("after", 0) < after:
+        raise ValueError(f"chunks must carry {before} rows before and {after} after them: see halo()")
+    return rows
+
+
+def latest(rows: DataFrame, last: int) -> DataFrame:
+    """The last rows of each numbered series."""
+    return rows.where(F.col("rn") >= F.col("n") - last)
+
+
 def owned(rows: DataFrame) -> DataFrame:
     """Only the rows that their chunk owns, without the marks of chunks."""
     return rows.where("owned").drop("chunk", "owned")
