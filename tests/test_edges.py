@@ -248,7 +248,11 @@ def test_the_search_is_seeded_and_keeps_the_best():
 def test_steady_folds_have_no_penalty():
     assert validation.stability_penalty([0.4] * 5) == pytest.approx(0)
     assert validation.stability_penalty([0.5, 0.4, 0.3, 0.2, 0.1]) > validation.stability_penalty([0.1, 0.2, 0.3, 0.4, 0.5])
-    assert validation.objective([{"brier": 0.2}]) == -1.0
+    assert validation.objective([{"brier": 0.2, "coverage": 1.0}]) == -1.0
+    assert validation.objective([{"brier": 0.2, "coverage": 0.5}, {"brier": 0.3, "coverage": 0.0}]) == pytest.approx(-0.25)
+    assert validation.objective([{"brier": 0.2, "coverage": 0.0}] * 2) == -1.0
+    fold = {"f1": 0.5, "sharpe": 1.0, "precision": 0.6, "recall": 0.4}
+    assert validation.objective([{**fold, "fold": i} for i in range(3)], "blended") == pytest.approx(0.65)
 
 
 def test_a_setting_is_named_by_its_digest():

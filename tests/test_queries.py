@@ -33,7 +33,9 @@ def test_the_tables_ask_something_of_every_step(spark):
     usable = calibration.usable(told).persist()
     assert usable.count() >= 4 * CALIBRATION_MIN_SAMPLES
     assert {r["hit"] for r in usable.select("hit").distinct().collect()} == {0.0, 1.0}
-    assert calibration.bins(usable).where("n > 0").count() == CALIBRATION_BINS
+    # Many probabilities are exactly 1, so the last edges are one.
+    edges = {round(x, 9) for x in usable.agg(F.percentile("p", F.array(*[F.lit(i / CALIBRATION_BINS) for i in range(CALIBRATION_BINS + 1)]))).first()[0]}
+    assert calibration.bins(usable).where("n > 0").count() == len(edges) - 1 >= 5
     told.unpersist()
     usable.unpersist()
     plain = QUERIES["breakout_signals"](spark, SF_DIR)

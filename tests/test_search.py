@@ -28,14 +28,15 @@ def tried(made):
 
 def test_a_trial_is_valued_by_its_folds(made, tried):
     for params, value in tried[:2]:
-        errors = defaultdict(lambda: defaultdict(list))
+        errors, answered = defaultdict(lambda: defaultdict(list)), set()
         for r in validation.fold_signals(made, params).collect():
             if r["fold_target"] in (-1, 1):
+                answered |= {r["origin"]} if r["direction"] else set()
                 error = (r["up_probability"] - (r["fold_target"] == 1)) ** 2
                 errors[r["origin"]][r["fold"]].append(error)
         values = [
-            -np.mean([np.mean(e) for e in by_fold.values()]) if len(by_fold) >= 2 else -1.0
-            for by_fold in errors.values()
+            -np.mean([np.mean(e) for e in by_fold.values()]) if len(by_fold) >= 2 and origin in answered else -1.0
+            for origin, by_fold in errors.items()
         ]
         assert value == pytest.approx(np.mean(values) if values else -1.0, abs=1e-9)
 

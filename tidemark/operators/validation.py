@@ -157,18 +157,52 @@ def fold_metrics(told: DataFrame) -> DataFrame:
     )
 
 
+def fold_scores(told: DataFrame) -> DataFrame:
+    """What the blended objective reads: F1, precision, recall and Sharpe-like ratio over all labelled rows of a fold.
+
+    A row without a direction is a miss of its class and a return of 0; folds without any direction are left out.
+    """
+    rows = told.withColumn("label", F.col("fold_target")).where("label IN (-1, 1)")
+    d, y = F.col("direction"), F.col("label")
+    gain = d * F.col("future_return")
+    counts = {
+        f"_{kind}{name}": F.count_if(test)
+        for side, name in ((1, "u"), (-1, "d"))
+        for kind, test in (("hit", (d == side) & (y == side)), ("said", d == side), ("is", y == side))
+    }
+    out = rows.groupBy("origin", "fold").agg(
+        *[c.alias(k) for k, c in counts.items()], F.avg(gain).alias("_mean"), F.stddev_samp(gain).alias("_std")
+    )
+
+    def weighted(of) -> Column:
+        """The mean over both classes, by their rows."""
+        parts = [F.col(f"_is{x}") * F.coalesce(of(x), F.lit(0.0)) for x in "ud"]
+        return F.try_divide(parts[0] + parts[1], F.col("_isu") + F.col("_isd"))
+
+    return out.where("_saidu + _saidd > 0").select(
+        "origin",
+        "fold",
+        weighted(lambda x: F.try_divide(2 * F.col(f"_hit{x}"), F.col(f"_said{x}") + F.col(f"_is{x}"))).alias("f1"),
+        weighted(lambda x: F.try_divide(f"_hit{x}", f"_said{x}")).alias("precision"),
+        weighted(lambda x: F.try_divide(f"_hit{x}", f"_is{x}")).alias("recall"),
+        F.coalesce(F.col("_mean") / (F.col("_std") + EPSILON) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"),
+    )
+
+
 def objective(metrics: list[dict], kind: str = "brier") -> float:
-    """What the search maximises, from fold metrics of one series (as dictionaries).
+    """What the search maximises, from the folds of one series (as dictionaries).
 
-    brier: minus the mean Brier score; blended: F1, Sharpe and the mean of
-    precision and recall (which is accuracy) less a penalty for unsteady folds. -1 with fewer than two folds that have labels.
+    brier (of fold_metrics): minus the mean Brier score; -1 if no row is answered.  blended (of
+    fold_scores): F1, Sharpe and the mean of precision and recall, less a penalty for unsteady
+    folds.  -1 with fewer than two folds.
     """
     if len(metrics) < 2:
         return -1.0
     if kind == "brier":
-        return -sum(m["brier"] for m in metrics) / len(metrics)
+        answered = sum(m["coverage"] for m in metrics) / len(metrics)
+        return -sum(m["brier"] for m in metrics) / len(metrics) if answered > EPSILON else -1.0
     scores = [
-        0.3 * m["active_f1"] + 0.3 * m["active_sharpe"] + 0.2 * (m["active_precision"] + m["answered_accuracy"])
+        0.3 * m["f1"] + 0.3 * m["sharpe"] + 0.2 * (m["precision"] + m["recall"])
         for m in sorted(metrics, key=lambda m: m["fold"])
     ]
     return sum(scores) / len(scores) - 0.15 * stability_penalty(scores)
@@ -225,7 +259,7 @@ def search(
     rng = random.Random(seed)
 
     def value(params: Params) -> float:
-        told = fold_metrics(fold_signals(features, params, splits))
+        told = (fold_metrics if kind == "brier" else fold_scores)(fold_signals(features, params, splits))
         by_series: dict[str, list[dict]] = {}
         for r in told.collect():  # splits rows for each series
             by_series.setdefault(r["origin"], []).append(r.asDict())

@@ -17,8 +17,9 @@ from tidemark.functions.lineage import cut, scratch
 from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars
 
 PARAMS = Params()
-#: Short windows and a threshold that rejects a third of them: bars of events break out both ways.
-ACTIVE = replace(PARAMS, lookback=6, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.55)
+#: Short windows and a threshold that rejects a third of them: bars of events break out both ways, with
+#: probabilities that are not all near 1.
+ACTIVE = replace(PARAMS, lookback=6, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.55, steepness=1.0)
 ALL = SHORT + MEDIUM + LONG
 MAIN = SHORT + MEDIUM
 KEYS = ["series_key", "ts", "rn"]
@@ -242,6 +243,10 @@ def fold_metrics(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> Data
 FOLD_METRICS = ["brier", "coverage", "answered_accuracy", "active_f1", "active_precision", "active_sharpe"]
 
 
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validation.fold_scores(fold_told(spark, sf_dir)), ["origin", "fold"], ["f1", "precision", "recall", "sharpe"])
+
+
 def calibration_bins(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
     told = calibration.bins(calibration.usable(fold_told(spark, sf_dir, bar)))
     return rounded(told, ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"])
@@ -457,6 +462,7 @@ QUERIES = {
     "recent_zones": recent_zones,
     "follow_through": follow_through,
     "model_result": model_result,
+    "fold_scores": fold_scores,
     "search": search,
     "importance": importance,
 }
@@ -711,6 +717,18 @@ def _oracles() -> dict[str, str]:
       ELSE 'Undecided' END ELSE 'None' END AS breakout_side, maturity, post_bars
   FROM lts JOIN sna USING (series_key)"""
     )
+    by_class = """fsc0 AS (SELECT origin, fold, c, count(*) FILTER (WHERE fold_target = c) AS n,
+  count(*) FILTER (WHERE direction = c) AS said, count(*) FILTER (WHERE direction = c AND fold_target = c) AS hit
+  FROM tol CROSS JOIN (VALUES (1), (-1)) AS k(c) WHERE fold_target IN (-1, 1) GROUP BY ALL),
+fsc1 AS (SELECT origin, fold, sum(n * coalesce(2 * hit / nullif(said + n, 0), 0)) / sum(n) AS f1,
+  sum(n * coalesce(hit / nullif(said, 0), 0)) / sum(n) AS precision, sum(hit) / sum(n) AS recall FROM fsc0 GROUP BY ALL HAVING sum(said) > 0),
+fsc2 AS (SELECT origin, fold, coalesce(avg(direction * future_return) / (stddev_samp(direction * future_return) + 1e-10) * sqrt(252), 0) AS sharpe
+  FROM tol WHERE fold_target IN (-1, 1) GROUP BY ALL),
+scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
+    out["fold_scores"] = sql.select(
+        [*sql.fold_signals(ACTIVE, *BY_TYPE), by_class],
+        "scf", ["origin", "fold::INT AS fold"], ["f1", "precision", "recall", "sharpe"],
+    )
     out["model_result"] = sql.select(
         [*sql.fold_signals(ACTIVE, *BY_TYPE),
          """out AS (SELECT count(*) AS model_sample_count, avg((direction <> 0)::INT) AS model_coverage,
