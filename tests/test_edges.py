@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -206,6 +207,30 @@ def test_signals_are_consistent(spark):
     assert all(r["probability"] > 0.5 for r in rows if r["direction"])
 
 
+def test_the_latest_breakout_is_found_from_the_end(spark, monkeypatch):
+    """Also where the last zone lies far back, and where there is none."""
+    monkeypatch.setattr(breakout, "WIDER", 2)
+    for params in (ACTIVE, replace(ACTIVE, threshold=0.74), replace(ACTIVE, threshold=0.99)):
+        whole = breakout.current_breakout(scored(spark, SMOKE_DIR, params, queries.BY_TYPE), params)
+        near = breakout.latest_breakouts(queries.numbered_bars(spark, SMOKE_DIR, *queries.BY_TYPE), params, tail=20)
+        assert multiset(near.collect()) == multiset(whole.collect())
+
+
+def test_the_payload_says_what_its_parts_say(spark):
+    payloads = {r["series_key"]: json.loads(r["payload"]) for r in QUERIES["forecast_payload"](spark, SMOKE_DIR).collect()}
+    last = {r["series_key"]: r for r in QUERIES["latest_breakout"](spark, SMOKE_DIR).collect()}
+    flags = {r["series_key"]: r["value"] for r in QUERIES["regime"](spark, SMOKE_DIR).where("metric = 'regime_shift_flag'").collect()}
+    assert len(payloads) == 5
+    for key, told in payloads.items():
+        on = told["consolidation"]["active"]
+        assert on == (told["consolidation"]["score"] > ACTIVE.threshold)
+        assert (told["forecast"] is not None) == on
+        assert told["context"]["regime_shift_detected"] == (flags[key] == 1)
+        if on:
+            assert told["forecast"]["probability"] == pytest.approx(last[key]["probability"], abs=1e-6)
+            assert told["forecast"]["direction"] == {1: "up", -1: "down", 0: "none"}[last[key]["direction"]]
+
+
 # Validation and calibration.
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import rows
+from tidemark.functions.lineage import cut
+from tidemark.operators.detector import score_windows
+from tidemark.operators.features import context_features
 from tidemark.plans.params import (
     CONTEXT_BONUS,
     EPSILON,
@@ -21,10 +24,12 @@ from tidemark.plans.params import (
     SUTTE_PENALTY,
     Params,
 )
-from tidemark.sources.bars import chunked
+from tidemark.sources.bars import chunked, halo, latest
 
 #: Rows whose mean range is a bar's recent volatility.
 RECENT_ROWS = 10
+#: Rows of a series that are searched for its last zone first, and by how much more if there is none.
+TAIL_ROWS, WIDER = 1_024, 8
 
 
 def hold_period(duration: Column, params: Params) -> Column:
@@ -168,3 +173,25 @@ def current_breakout(scored: DataFrame, params: Params) -> DataFrame:
         p.alias("probability"),
         F.when(p > 0.5, d).otherwise(0).alias("direction"),
     )
+
+
+def latest_breakouts(bars: DataFrame, params: Params, tail: int = TAIL_ROWS) -> DataFrame:
+    """current_breakout() of numbered bars, from the end of each series.
+
+    Only the last rows are made into features and scored; series without a zone there are read
+    further back, eight times as far each time, up to their start.
+    """
+    before, after = halo(params)
+    longest = bars.agg(F.max("n").alias("n")).first()["n"] or 0
+    told, left = None, bars
+    while True:
+        near = chunked(latest(left, tail + before), before, after)
+        scored = score_windows(context_features(near), params).where(F.col("rn") >= F.col("n") - tail)
+        found = cut(current_breakout(scored, params))
+        told = found if told is None else told.unionByName(found)
+        if tail >= longest:
+            return told
+        left = left.join(found.select("series_key"), "series_key", "left_anti")
+        if left.isEmpty():
+            return told
+        tail *= WIDER

@@ -206,7 +206,7 @@ def breakout_signals(spark: SparkSession, sf_dir: str, params: Params = ACTIVE,
 
 
 def latest_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.current_breakout(scored(spark, sf_dir, ACTIVE, BY_TYPE), ACTIVE)
+    told = breakout.latest_breakouts(numbered_bars(spark, sf_dir, *BY_TYPE), ACTIVE)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
@@ -350,10 +350,9 @@ def plot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = context_of(spark, sf_dir, *BY_TYPE, ACTIVE)
-    last = breakout.current_breakout(detector.score_windows(made, ACTIVE), ACTIVE)
     before, after = halo(ACTIVE)
     plain = numbered_bars(spark, sf_dir, *BY_TYPE)
+    last = breakout.latest_breakouts(plain, ACTIVE)
     live = detector.live_window(feat.context_features(chunked(latest(plain, before + 1), before, after)), ACTIVE)
     regime_now = metrics.regime_metrics(plain).select("series_key", "regime_shift_flag")
     return report.forecast_payload(
