@@ -17,6 +17,8 @@ ARROW_ROWS = 512
 
 #: Bytes that are words after A-Z became a-z: 0-9, a-z and every byte of a non-ASCII character.
 ALNUM_WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: DuckDB's text with A-Z lower-cased and every other character left alone; null is empty.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z of UTF-8 bytes and leaves every other byte alone.
 LOWER_AZ = bytes.maketrans(_UPPER, _UPPER.lower())

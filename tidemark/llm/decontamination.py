@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WORD_BYTES, cut, small_batches
+from tidemark.llm.common import ALNUM_WORD_RE, LOWER_SQL, WORD_BYTES, cut, small_batches
 
 WINDOW_WORDS = 13
 #: A document is contaminated if it has a hit and 1 word in so many is hit.
 HIT_SHARE = 20
 #: Words of benchmark text in a block, and words of a shard that are indexed together.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 SHARD_WORDS = 400_000
 #: Bytes of texts that wait for their shard, and of texts that are split into words together.
 SHARD_BYTES, SPLIT_BYTES = 1 << 25, 1 << 20
@@ -410,3 +410,38 @@ def keep_clean(
         return pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names)
 
     return _through_blocks(docs, benchmark, window, block_words, SHARD_WORDS, (clean, docs.schema))
+
+
+#: DuckDB SQL for op2_decontamination: every window as text, joined to every window of the documents.
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER_SQL}, '{ALNUM_WORD_RE}') AS ws FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({LOWER_SQL}, '{ALNUM_WORD_RE}') AS ws FROM benchmark
+), c AS (
+  SELECT item, ws, least({WINDOW_WORDS}, len(ws)) AS k FROM b WHERE len(ws) > 0
+), w AS (
+  SELECT DISTINCT item, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM c)
+), p AS (
+  SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT rid, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i
+        FROM d, (SELECT DISTINCT k FROM w) WHERE len(ws) >= k)
+), h AS (
+  SELECT rid, i, p.k, item FROM p JOIN w ON p.k = w.k AND p.phrase = w.phrase
+), j AS (
+  SELECT DISTINCT rid, unnest(generate_series(i, i + k - 1)) AS j FROM (SELECT DISTINCT rid, i, k FROM h)
+), g AS (
+  SELECT rid, j, j - row_number() OVER (PARTITION BY rid ORDER BY j) AS run FROM j
+), s AS (
+  SELECT rid, count(*) AS n, min(j) - 1 AS first, max(j) AS last FROM g GROUP BY rid, run
+), t AS (
+  SELECT rid, sum(n) AS n_hit, string_agg(first || ':' || last, ',' ORDER BY first) AS spans FROM s GROUP BY rid
+), n AS (
+  SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND {HIT_SHARE} * n_hit >= len(ws), false) AS contaminated,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (rid) LEFT JOIN n USING (rid)
+"""

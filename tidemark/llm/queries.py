@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, line_rules, url_filter
+from tidemark.llm import decontamination, licenses, line_rules, url_filter
 from tidemark.llm.common import table
 
 
@@ -34,7 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         "items_sha256",
         "contaminated",
-        "spans",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["first"], s["end"])), ",").alias("spans"),
     )
 
 
@@ -107,6 +107,7 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
     "op6_licenses": licenses.oracle(),
     "op7_url_filter": url_filter.oracle(),
     "op9_line_rules": line_rules.ORACLE,
