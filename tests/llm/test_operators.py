@@ -6,6 +6,7 @@ import bisect
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -276,7 +277,8 @@ def test_branches_of_any_depth_are_told_apart(spark):
     """Bad and good branches part at the fifth level; a long URL alone is settled at once; rules only judge."""
     urls = [(i, f"http://h.net/a/b/c/d/{'spam' if i % 2 else 'good'}/{i}") for i in range(80)]
     urls += [(1_000 + i, f"http://b.org/es/{i if i % 2 else i + 100}") for i in range(40)]
-    urls += [(2_000, "http://x.com/" + "/".join(f"part{i}" for i in range(5_000)))]
+    # Long paths of one host, labelled differently, and unlabelled ones: none takes a level each.
+    urls += [(2_000 + k, "http://x.com/" + "/".join(f"part{i * k}" for i in range(5_000)) + f"/{k}") for k in range(6)]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({"raw": F.lit(1), "_at": F.lit(2)})
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
     labels = labels.withColumn("bad", F.lit("clash")).withColumn("number", F.lit(3))
@@ -284,7 +286,30 @@ def test_branches_of_any_depth_are_told_apart(spark):
     assert all(rows[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(80))
     assert rows[1]["template"] == "/*/*/*/*/spam/*" and rows[0]["template"] == "/*/*/*/*/good/*"
     assert all(rows[1_000 + i]["rule"] == "org/es/" and rows[1_000 + i]["template"] is None for i in range(40))
-    assert rows[2_000]["template"] == "/*" * 5_000 and rows[2_000]["verdict"] == "allow"
+    assert all(rows[2_000 + k]["template"] == "/*" * 5_001 and rows[2_000 + k]["verdict"] == "allow" for k in range(6))
+
+
+def test_templates_of_random_trees_are_those_of_the_plain_loop(spark, tmp_path):
+    """Mixed, pure and sparsely labelled branches against the SQL, which settles level by level."""
+    rng = np.random.default_rng(12)
+    urls, labels = [], []
+    for i in range(600):
+        parts = [rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1]) for _ in range(rng.integers(0, 5))]
+        urls.append((i, f"http://h{i % 4}.com/" + "/".join([*parts, str(i)])))
+        bad = rng.random() < (0.8 if "b" in parts[1:3] else 0.05)
+        if i % 4 == 3 or rng.random() < 0.6:
+            labels.append((i, 1, int(bad and i % 4 != 2)))
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    cursor = con.execute(url_filter.oracle())
+    names = [d[0] for d in cursor.description]
+    expected = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+    got = [r.asDict() for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect()]
+    assert multiset(tuple(sorted(r.items())) for r in got) == multiset(tuple(sorted(r.items())) for r in expected)
+    assert len({r["template"] for r in got}) > 10 and {r["verdict"] for r in got} == {"allow", "block"}
 
 
 def test_pages_that_a_rule_fits_count_for_the_others(spark):

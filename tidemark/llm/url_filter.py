@@ -87,7 +87,9 @@ def _counted(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def _level(tree: DataFrame, total: int) -> DataFrame:
     """Settles the next segment of every branch: kept, or '*'.  A path without one stays as it is.
 
-    A path that has its branch to itself has no siblings to differ from: the rest of it is settled at once.
+    Where no segment of a branch could be told from its siblings, now or further down, the rest of its
+    paths is settled at once: a path has it to itself, its labelled pages are all good or all bad, or
+    they are so few that even a perfect split would be no more than chance.
     """
     branch = ["host", "t"]
     told = tree.withColumn("seg", F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
@@ -118,16 +120,19 @@ def _level(tree: DataFrame, total: int) -> DataFrame:
         .otherwise("*")
     )
     known = joined_evenly(child, parent.withColumn("kids", F.col("children")), branch, "kids", F.col("seg"), total)
-    said = known.select(*branch, "seg", settled.alias("new"), (F.col("all_paths") == 1).alias("alone"), "paths")
+    at_once = (
+        (F.col("all_paths") == 1) | (F.col("p_l") <= APART**2) | (F.col("p_b") == 0) | (F.col("p_b") == F.col("p_l"))
+    )
+    said = known.select(*branch, "seg", settled.alias("new"), at_once.alias("at_once"), "paths")
     rest = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
     whole = F.concat("t", F.array_join(F.transform("parts", lambda _: F.lit("/*")), ""))
     return joined_evenly(told, said, [*branch, "seg"], "paths", F.col("raw"), total).select(
         "host",
         "raw",
-        F.when(F.col("alone"), whole)
+        F.when(F.col("at_once"), whole)
         .otherwise(F.concat("t", F.when(F.col("new") == "", "").otherwise(F.concat(F.lit("/"), "new"))))
         .alias("t"),
-        F.when(F.col("alone"), F.lit(None)).when(F.col("seg") != "", rest).alias("parts"),
+        F.when(F.col("at_once"), F.lit(None)).when(F.col("seg") != "", rest).alias("parts"),
         "n",
         "n_labelled",
         "n_bad",
@@ -138,7 +143,7 @@ def templates(counts: DataFrame) -> DataFrame:
     """(host, raw, template, n, n_labelled, n_bad, purity, reject) of every raw path.
 
     counts has host, raw (the path with '*' for numbers and hashes), n, n_labelled and n_bad.
-    The loop ends after the longest stretch of segments that several paths go along together.
+    The loop goes as deep as good and bad labelled pages stand together under one branch.
     """
     columns = ["host", "raw", "t", "n", "n_labelled", "n_bad"]
     level = cut(
