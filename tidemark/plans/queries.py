@@ -8,13 +8,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut, scratch
 from tidemark.operators import baseline as base
 from tidemark.operators import breakout, calibration, context, detector, metrics, report, validation
 from tidemark.operators import features as feat
 from tidemark.plans import oracles as sql
 from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SEARCH, SHORT, Params
-from tidemark.functions.lineage import cut, scratch
 from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars
+from tidemark.streaming.bars import DELAY, stream_bars, write_bars
 
 PARAMS = Params()
 #: Short windows and a threshold that rejects a third of them: bars of events break out both ways, with
@@ -102,6 +103,16 @@ def ohlc_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_events(events(spark, sf_dir), *BY_TYPE)
 
 
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the events read as a stream: those that the watermark has closed by its end."""
+    # A stream reads a folder or a pattern, not one file.
+    source = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    out, checkpoint = scratch(spark, "bars"), scratch(spark, "stream")
+    write_bars(stream_bars(source, *BY_TYPE), out, checkpoint, once=True).awaitTermination()
+    closed = spark.read.parquet(out)
+    return closed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def csv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as CSV files, with rows that cannot be read among them, and read again."""
     path = scratch(spark, "csv")
@@ -405,6 +416,7 @@ WIDEST = replace(PARAMS, lookback=SEARCH["lookback"][1], max_hold=SEARCH["max_ho
 
 QUERIES = {
     "ohlc_bars": ohlc_bars,
+    "streamed_bars": streamed_bars,
     "csv_bars": csv_bars,
     "all_features": all_features,
     "price_geometry": _feature_query(feat.price_geometry, GEOMETRY),
@@ -678,6 +690,10 @@ def _oracles() -> dict[str, str]:
     out |= {f"{name}_anchored": text for name, text in _plain_oracles(PARAMS, few).items()}
     out |= {f"{name}_anchored": text for name, text in _fold_oracles(ACTIVE, HOURLY).items()}
     out["calibrated_signals"] = _calibrated_oracle(ACTIVE, BY_TYPE)
+    out["streamed_bars"] = (
+        "WITH " + sql.bars(*BY_TYPE)[0] + f""" SELECT * FROM bars
+  WHERE ts + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}'"""
+    )
     out["csv_bars"] = "WITH " + sql.bars()[0] + " SELECT series_key, ts, open, high, low, close FROM bars"
     out["all_features"] = sql.select(
         [*sql.features(*BY_TYPE), *sql.ADAPTIVE, f"out AS (SELECT *, {z} FROM ada)"], "out", KEYS, FEATURES, "hl_range_pct IS NOT NULL"
