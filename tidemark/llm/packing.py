@@ -7,7 +7,8 @@ which has no more entries than a sequence has tokens, whatever the input:
 1. large lengths are rounded up within groups of equal cardinality;
 2. a cutting-stock linear programme over those few sizes (column generation)
    gives configurations and how often each is used;
-3. actual pieces take the places of the rounded sizes, so space comes free;
+3. actual pieces take the places of the rounded sizes, the last of a sequence
+   the longest that still fits;
 4. the rest, largest first, then the small pieces go where they fit best.
 
 The programme is solved for a few bounds of large lengths and numbers of groups and the plan with the
@@ -203,33 +204,16 @@ def configurations(
     ]
 
 
-class _Runs:
-    """Lengths, largest first, as (length, count) runs."""
-
-    def __init__(self, runs: list[tuple[int, int]]):
-        self.runs = [list(r) for r in runs][::-1]
-        self.left = sum(n for _, n in runs)
-
-    def take(self, n: int) -> list[tuple[int, int]]:
-        out = []
-        while n and self.runs:
-            length, have = self.runs[-1]
-            k = min(n, have)
-            out.append((length, k))
-            n, self.left = n - k, self.left - k
-            if k == have:
-                self.runs.pop()
-            else:
-                self.runs[-1][1] -= k
-        return out
-
-
-def _grouped(large: list[tuple[int, int]], groups: int) -> list[_Runs]:
-    """Runs of large lengths, largest first, in groups of equal cardinality."""
-    total, runs = sum(n for _, n in large), _Runs(large)
-    edges = [total * i // groups for i in range(groups + 1)]
-    parts = [runs.take(b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-    return [_Runs(p) for p in parts]
+def rounded_sizes(large: list[tuple[int, int]], groups: int) -> dict[int, int]:
+    """Pieces of large lengths (length and count, largest first) in groups of equal cardinality, by the size they round up to."""
+    ends = np.cumsum([n for _, n in large])
+    edges = [int(ends[-1]) * i // groups for i in range(groups + 1)]
+    out: dict[int, int] = {}
+    for first, end in zip(edges, edges[1:], strict=False):
+        if end > first:
+            size = large[int(np.searchsorted(ends, first, side="right"))][0]
+            out[size] = out.get(size, 0) + end - first
+    return out
 
 
 Bin = tuple[int, int, tuple[tuple[int, int], ...]]  # times, free tokens, (length, pieces) pairs
@@ -265,6 +249,35 @@ def _best_fit(bins: list[Bin], rest: dict[int, int], capacity: int) -> list[Bin]
     return [b for same in by_free.values() for b in same if b[2]]
 
 
+def substituted(
+    left: np.ndarray, sizes: list[int], times: int, least: int, capacity: int
+) -> list[Bin]:
+    """Sequences of one configuration with actual pieces, taken from left (how many there are of each length).
+
+    A place takes the longest piece that its rounded size holds; the last one the longest that the space
+    left holds, be it of another group.  Where a length runs out another kind of sequence begins.
+    """
+    out: list[Bin] = []
+    while times:
+        free, held = capacity, {}
+        for i, size in enumerate(sizes):
+            top = free if i == len(sizes) - 1 else min(free, size)
+            fit = np.flatnonzero(left[least : top + 1]) + least
+            length = next((n for n in fit[::-1].tolist() if left[n] > held.get(n, 0)), None)
+            if length is None:
+                break
+            held[length] = held.get(length, 0) + 1
+            free -= length
+        if not held:
+            break
+        used = min(times, *(int(left[n]) // c for n, c in held.items()))
+        out.append((used, free, tuple(held.items())))
+        for n, c in held.items():
+            left[n] -= used * c
+        times -= used
+    return out
+
+
 def plan(
     histogram: dict[int, int],
     capacity: int = SEQUENCE_TOKENS,
@@ -274,36 +287,18 @@ def plan(
     """Kinds of sequences that together hold each length as often as the histogram says."""
     rest = {n: c for n, c in histogram.items() if c > 0}
     bins: list[Bin] = [(rest.pop(capacity), 0, ((capacity, 1),))] if capacity in rest else []
-    large = [(n, rest[n]) for n in sorted(rest, reverse=True) if n > large_share * capacity]
-    parts = _grouped(large, groups) if large else []
-    if parts:
-        merged: dict[int, list[_Runs]] = {}
-        for p in parts:
-            merged.setdefault(p.runs[-1][0], []).append(p)
-        sizes = np.array(sorted(merged, reverse=True))
-        demand = np.array([sum(p.left for p in merged[s]) for s in sizes], float)
-        pools = [_Runs([tuple(r) for p in merged[s] for r in p.runs[::-1]]) for s in sizes]
-        for times, counts in configurations(sizes, demand, capacity):
-            slots = [(pools[k], int(c)) for k, c in enumerate(counts) if c]
-            times = min([times, *(p.left // c for p, c in slots)])
-            if not times:
-                continue
-            # Each slot takes its pieces in order of length; where a slot's length
-            # changes, another kind of sequence begins.
-            taken = [p.take(times) for p, c in slots for _ in range(c)]
-            ends = sorted({int(e) for t in taken for e in np.cumsum([n for _, n in t])})
-            at = 0
-            for end in ends:
-                lengths: dict[int, int] = {}
-                for t in taken:
-                    k = int(np.searchsorted(np.cumsum([n for _, n in t]), at, side="right"))
-                    lengths[t[k][0]] = lengths.get(t[k][0], 0) + 1
-                free = capacity - sum(n * c for n, c in lengths.items())
-                bins.append((end - at, free, tuple(lengths.items())))
-                for n, c in lengths.items():
-                    rest[n] -= c * (end - at)
-                at = end
-    return _best_fit(bins, {n: c for n, c in rest.items() if c > 0}, capacity)
+    least = int(large_share * capacity) + 1
+    large = [(n, rest.pop(n)) for n in sorted(rest, reverse=True) if n >= least]
+    if large:
+        demand = rounded_sizes(large, groups)
+        sizes = np.array(sorted(demand, reverse=True))
+        left = np.zeros(capacity + 1, np.int64)
+        for n, c in large:
+            left[n] = c
+        for times, counts in configurations(sizes, np.array([demand[s] for s in sizes.tolist()], float), capacity):
+            bins += substituted(left, np.repeat(sizes, counts).tolist(), times, least, capacity)
+        rest |= {n: int(left[n]) for n in np.flatnonzero(left).tolist()}
+    return _best_fit(bins, rest, capacity)
 
 
 def best_plan(histogram: dict[int, int], capacity: int = SEQUENCE_TOKENS) -> list[Bin]:
