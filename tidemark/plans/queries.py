@@ -122,7 +122,7 @@ def csv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     broken = made.limit(3).withColumn("close", F.lit("none")).unionByName(made.limit(2).withColumn("snapshotTime", F.lit(None)))
     made.unionByName(broken).write.csv(path, header=True)
-    return read_bars(spark, path)
+    return read_bars(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
