@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, line_rules, url_filter
+from tidemark.llm import centroids, decontamination, licenses, line_rules, negatives, url_filter
 from tidemark.llm.common import table
 
 
@@ -94,6 +94,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), with_ids=True)).select(*NARROW, "sequence_id", "offset")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.expr(negatives.CHANGED_SQL).alias("label")
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", changed))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -105,10 +120,15 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_line_rules": op9_line_rules,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
+    "op12_mixing": op12_mixing,
+    "op13_negatives": op13_negatives,
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE,
     "op6_licenses": licenses.oracle(),
     "op7_url_filter": url_filter.oracle(),
     "op9_line_rules": line_rules.ORACLE,
+    "op11_centroids": centroids.oracle(),
+    "op13_negatives": negatives.ORACLE,
 }
