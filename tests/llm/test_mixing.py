@@ -94,7 +94,7 @@ def test_whole_table(spark, sf_dir):
     assert mixed.where("taken > 3 * size OR taken < 0 OR taken % size <> 0").count() == 0
     near = mixed.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"))
     far = near.select(F.max(F.abs(F.col("taken") - F.col("target")) / F.col("target"))).first()[0]
-    assert far < 0.02 if sf_dir == SMOKE_DIR else far < 0.001
+    assert far < (0.04 if sf_dir == SMOKE_DIR else 0.002)  # ten texts a source, and fifty
     # The same rows dealt out otherwise give the same result.
     compare(mixing.mixed(docs.repartition(7)), [tuple(r)[:5] for r in mixed.collect()])
     mixed.unpersist()
