@@ -14,6 +14,27 @@ def rows(first: int, last: int = 0) -> WindowSpec:
     return W.partitionBy("series_key", "chunk").orderBy("rn").rowsBetween(first, last)
 
 
+#: A frame whose length is a column is measured in so many parts of that length, give or take.
+UNIT, SLACK = 1_000_000, 1_000
+
+
+def _measured(size: Column) -> WindowSpec:
+    """Rows in steps of UNIT / size, so that a frame of UNIT reaches `size` rows (below 900) whatever a series' size is."""
+    at = F.floor(F.col("rn") * UNIT / size)
+    return W.partitionBy("series_key", "chunk").orderBy(at)
+
+
+def before(size: int | Column) -> WindowSpec:
+    """The `size` rows before each row; a column holds one size for each series."""
+    if isinstance(size, Column):
+        return _measured(size).rangeBetween(-UNIT - SLACK, -SLACK)
+    return rows(-size, -1)
+
+
+def shortest(most: int, size: int | Column) -> int | Column:
+    return F.least(F.lit(most), size) if isinstance(size, Column) else min(most, size)
+
+
 def ordered() -> WindowSpec:
     return W.partitionBy("series_key", "chunk").orderBy("rn")
 
@@ -22,7 +43,9 @@ def lag(column: str, k: int = 1) -> Column:
     return F.lag(column, k).over(ordered())
 
 
-def lead(column: str, k: int) -> Column:
+def lead(column: str, k: int | Column) -> Column:
+    if isinstance(k, Column):
+        return F.first(column).over(_measured(k).rangeBetween(UNIT - SLACK, UNIT + SLACK))
     return F.lead(column, k).over(ordered())
 
 

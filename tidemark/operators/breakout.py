@@ -88,7 +88,7 @@ def zone_column(params: Params) -> Column:
 
 def zone_bars(scored: DataFrame, params: Params) -> DataFrame:
     """(series_key, rn, zone_end, probability, direction) of each zone and row that it acts on."""
-    bars = _bars(scored, params)
+    bars = recent_volatility(scored, params)
     acting = bars.withColumn("_z", _acting(params)).withColumn("z", F.explode("_z"))
     p, d = probability(_bar(), F.col("z"), params)
     return acting.select(
@@ -96,14 +96,15 @@ def zone_bars(scored: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _bars(scored: DataFrame, params: Params) -> DataFrame:
+def recent_volatility(scored: DataFrame, params: Params) -> DataFrame:
+    """Scored rows in chunks again, with the mean range of the bars before each."""
     # Later frames reach a few rows back, so rows without their halo are dealt anew.
-    dealt = chunked(scored, before=max(params.max_hold, MIN_HOLD, RECENT_ROWS))
+    dealt = chunked(scored, before=max(params.hold_rows, RECENT_ROWS))
     return dealt.withColumn("recent_vol", F.avg("hl_range_pct").over(rows(-RECENT_ROWS, -1)))
 
 
 def _acting(params: Params) -> Column:
-    z = F.collect_list(zone_column(params)).over(rows(-(max(params.max_hold, MIN_HOLD) - 1), 0))
+    z = F.collect_list(zone_column(params)).over(rows(1 - params.hold_rows, 0))
     return F.filter(z, lambda x: (x["end"] + x["hold"] >= F.col("rn")) & F.col("owned"))
 
 
@@ -128,7 +129,7 @@ def signals(scored: DataFrame, params: Params) -> DataFrame:
         p, d = probability(_bar(), z, params)
         return F.struct(p.alias("p"), d.alias("d"))
 
-    df = _bars(scored, params).withColumn("_z", _acting(params)).where("owned")
+    df = recent_volatility(scored, params).withColumn("_z", _acting(params)).where("owned")
     df = df.withColumn("_z", F.transform("_z", fold))
     start = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("d"))
     told = F.aggregate(
@@ -159,22 +160,26 @@ def current_breakout(scored: DataFrame, params: Params) -> DataFrame:
     last_zone = accepted.groupBy("series_key").agg(
         F.max_by(zone_column(params), "rn").alias("z")
     )
-    bars = _bars(scored, params).where("owned AND rn = n - 1")
+    bars = recent_volatility(scored, params).where("owned AND rn = n - 1")
     df = bars.join(last_zone, "series_key")
-    vol = F.when(F.col("z.vol") > 0, F.col("z.vol")).otherwise(EPSILON)
-    bar = _bar() | {"recent_vol": F.when(F.col("recent_vol") > 0, F.col("recent_vol")).otherwise(vol)}
-    p, d = probability(bar, F.col("z"), params)
-    p = F.coalesce(F.when(F.col("rn") > F.col("z.end"), p), F.lit(0.0))
+    p, d = against(F.col("z"), params)
     return df.select(
-        "series_key",
-        "ts",
-        "rn",
-        F.col("z.end").alias("zone_end"),
-        p.alias("probability"),
-        F.when(p > 0.5, d).otherwise(0).alias("direction"),
+        "series_key", "ts", "rn", F.col("z.end").alias("zone_end"), p.alias("probability"), d.alias("direction")
     )
 
 
+def against(zone: Column, params: Params) -> tuple[Column, Column]:
+    """(probability, direction) of a bar against one zone before it; both 0 where it gives none.
+
+    Without recent volatility the zone's own is taken.
+    """
+    vol = F.when(zone["vol"] > 0, zone["vol"]).otherwise(EPSILON)
+    bar = _bar() | {"recent_vol": F.when(F.col("recent_vol") > 0, F.col("recent_vol")).otherwise(vol)}
+    p, d = probability(bar, zone, params)
+    p = F.coalesce(F.when(F.col("rn") > zone["end"], p), F.lit(0.0))
+    return p, F.when(p > 0.5, d).otherwise(0)
+
+
 def latest_breakouts(bars: DataFrame, params: Params, tail: int = TAIL_ROWS) -> DataFrame:
     """current_breakout() of numbered bars, from the end of each series.
 

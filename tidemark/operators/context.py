@@ -132,13 +132,19 @@ def context_scores(df: DataFrame, params: Params, anchor: bool = True) -> DataFr
     periodic = [columns.index(c) for c in PERIODIC_WEIGHTS]
     w_attention = np.array(list(ATTENTION_WEIGHTS.values()))
     w_periodic = np.array(list(PERIODIC_WEIGHTS.values()))
-    lookback, span, least = params.lookback, params.history, params.min_bars
+    by_row = isinstance(params.lookback, Column)  # then a chunk's rows hold its setting
+    setting = None if by_row else (params.lookback, params.history, params.min_bars)
     kept = [f for f in df.schema if f.name not in ("chunk", "owned", "signature")]
     names = [f.name for f in kept]
     added = ["attention_raw", "periodic_raw", *(["scale_raw"] if anchor else [])]
 
     def score(group: pa.Table) -> pa.Table:
         group = group.sort_by("rn")
+        if by_row:
+            lookback, least = (group[f"p_{c}"][0].as_py() for c in ("lookback", "min_bars"))
+            span = Params(lookback=lookback).history
+        else:
+            lookback, span, least = setting
         owned = group["owned"].to_numpy()
         rn = group["rn"].to_numpy()
         numbers = [group[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]

@@ -6,10 +6,12 @@ and is shorter at the start of a series.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import clip, lag, ratio, rows
+from tidemark.functions.frames import before, clip, lag, ratio, shortest
 from tidemark.operators.context import compression_signature, context_scores, hurst_score
 from tidemark.plans.params import (
     AUTO_PERCENTILE,
@@ -35,7 +37,7 @@ def window_core(df: DataFrame, params: Params, gate: bool = True) -> DataFrame:
 
     With the gate, rows too near the end of their series are left out too.
     """
-    w, long = rows(-params.lookback, -1), rows(-4 * params.lookback, -1)
+    w, long = before(params.lookback), before(params.lookback * 4)
     df = df.withColumns(
         {
             "lookback": F.least(F.col("rn"), F.lit(params.lookback)),
@@ -73,7 +75,7 @@ def window_core(df: DataFrame, params: Params, gate: bool = True) -> DataFrame:
 
 def position_std(df: DataFrame, params: Params) -> DataFrame:
     """Deviation of the close's place in the window's growing range; 1 without a range."""
-    w = rows(-params.lookback, -1)
+    w = before(params.lookback)
     start = F.struct(
         F.lit(float("-inf")).alias("hi"), F.lit(float("inf")).alias("lo"), F.array().cast("array<double>").alias("at")
     )
@@ -98,7 +100,7 @@ def position_std(df: DataFrame, params: Params) -> DataFrame:
 
 def interaction(df: DataFrame, params: Params) -> DataFrame:
     """Candle compression: small bodies and balanced wicks over the window."""
-    w = rows(-params.lookback, -1)
+    w = before(params.lookback)
     body = clip(F.avg("body_to_range_ratio").over(w), 0.0, 1.0)
     wick = clip(F.avg("wick_balance").over(w), 0.0, 1.0)
     return df.withColumn("interaction_score", (1 - body + wick) / 2)
@@ -111,7 +113,7 @@ def normalised(raw: Column) -> Column:
 
 def sutte_score(df: DataFrame, params: Params) -> DataFrame:
     """Strength, steadiness and recent growth of the candle signal over the window."""
-    w = rows(-params.lookback, -1)
+    w = before(params.lookback)
     df = df.withColumns(
         {
             "_c": F.collect_list("sutte_conviction").over(w),
@@ -134,7 +136,7 @@ def sutte_score(df: DataFrame, params: Params) -> DataFrame:
 
 def divergence_frames(df: DataFrame, params: Params) -> DataFrame:
     """What divergence() reads from frames: the mean signal and the price move of the window's end."""
-    w = rows(-min(DIVERGENCE_WINDOW, params.lookback), -1)
+    w = before(shortest(DIVERGENCE_WINDOW, params.lookback))
     df = df.withColumns(
         {"_first": F.first("close").over(w), "_last": lag("close"), "recent_signal": F.avg("sutte_signal").over(w)}
     )
@@ -227,6 +229,26 @@ def zones(scored: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def thresholds(scored: DataFrame, params: Params) -> DataFrame:
+    """(series_key, threshold, redetected): the setting's, or for series in which it accepts no window the automatic one if lower."""
+    found = auto_threshold(diagnostic_scores(scored), params).withColumnRenamed("threshold", "_auto")
+    best = F.max(F.when(F.col("scored"), F.col("score")))
+    empty = ~F.coalesce(F.col("_best") > params.threshold, F.lit(False))
+    again = empty & F.coalesce(F.col("_auto") + EPSILON < params.threshold, F.lit(False))
+    return (
+        scored.groupBy("series_key")
+        .agg(best.alias("_best"))
+        .join(found, "series_key", "left")
+        .select("series_key", F.when(again, F.col("_auto")).otherwise(params.threshold).alias("threshold"), again.alias("redetected"))
+    )
+
+
+def redetected(scored: DataFrame, params: Params) -> tuple[DataFrame, Params]:
+    """Scored windows with each series' own threshold, and the setting that reads it: nothing is scored again."""
+    told = scored.join(thresholds(scored, params), "series_key")
+    return told, replace(params, threshold=F.col("threshold"))
+
+
 def live_window(features: DataFrame, params: Params) -> DataFrame:
     """The score of each series' last bar, without the gate on bars ahead.
 

@@ -1,9 +1,7 @@
-"""Rolling-origin validation: folds, targets, fold metrics, objective, search and importance."""
+"""Rolling-origin validation: folds, targets, fold metrics, objective and importance."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +15,6 @@ from tidemark.plans.params import (
     CV_SPLITS,
     CV_TRAIN_MULTIPLIER,
     EPSILON,
-    SEARCH,
-    SEED,
     Params,
 )
 from tidemark.sources.bars import chunked, halo, owned, reaching
@@ -67,7 +63,7 @@ def folds(bars: DataFrame, splits: int = CV_SPLITS, multiplier: int = CV_TRAIN_M
     )
 
 
-def future_return(k: int) -> Column:
+def future_return(k: int | Column) -> Column:
     """Relative change of close over the next k rows; null at the end of a series."""
     return ratio(lead("close", k), F.col("close")) - 1
 
@@ -91,9 +87,14 @@ def fold_signals(features: DataFrame, params: Params, splits: int = CV_SPLITS) -
     fold_target that of the fold alone (null near its end).
     """
     whole = owned(direction_targets(chunked(features, 0, params.max_hold), params.max_hold))
-    dealt = folds(whole, splits)
+    return out_of_fold(folds(whole, splits), params, halo(params))
+
+
+def out_of_fold(dealt: DataFrame, params: Params, reach: tuple[int, int], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The signals of rows dealt into folds, with fold_target, up_probability and the kept columns."""
     extra = ["series_key", "rn", "origin", "fold", "old_rn", "validation", "future_return", "target"]
-    told = signals(score_windows(chunked(dealt.drop(*extra[2:]), *halo(params)), params), params)
+    told = signals(score_windows(chunked(dealt.drop(*extra[2:]), *reach), params), params)
+    extra += kept
     return (
         told.join(dealt.select(*extra), ["series_key", "rn"])
         .where("validation")
@@ -226,58 +227,14 @@ def stability_penalty(scores: list[float]) -> float:
     return (fall + 0.20 * max(0.0, -slope)) / size
 
 
-def draw(rng: random.Random) -> Params:
-    """A random setting within the search ranges, with weights that sum to one."""
-    whole = {k: rng.randint(*SEARCH[k]) for k in ("lookback", "lookforward", "min_bars", "max_hold")}
-    real = {
-        k: rng.uniform(*SEARCH[k])
-        for k in (
-            "threshold",
-            "steepness",
-            "logistic_threshold",
-            "range_threshold",
-            "position_sensitivity",
-            "min_expansion",
-        )
-    }
-    weights = {f"weight_{c}": rng.uniform(*SEARCH["weight"]) for c in COMPONENTS}
-    return Params(**whole, **real, **weights).normalised()
-
-
-def search(
-    features: DataFrame,
-    trials: int,
-    splits: int = CV_SPLITS,
-    kind: str = "brier",
-    seed: int = SEED,
-    evaluate: Callable[[Params], float] | None = None,
-) -> tuple[Params, list[tuple[Params, float]]]:
-    """The best of seeded random settings, and every trial; a trial is one job over all folds.
-
-    Cache features before: every trial reads them.
-    """
-    rng = random.Random(seed)
-
-    def value(params: Params) -> float:
-        told = (fold_metrics if kind == "brier" else fold_scores)(fold_signals(features, params, splits))
-        by_series: dict[str, list[dict]] = {}
-        for r in told.collect():  # splits rows for each series
-            by_series.setdefault(r["origin"], []).append(r.asDict())
-        values = [objective(m, kind) for m in by_series.values()]
-        return sum(values) / len(values) if values else -1.0
-
-    tried = [(p, (evaluate or value)(p)) for p in (draw(rng) for _ in range(trials))]
-    return max(tried, key=lambda t: t[1])[0], tried
-
-
 def importance(trials: DataFrame, parameters: list[str]) -> DataFrame:
     """(parameter, importance): absolute correlation with the objective; 0 where one is constant."""
-    found = trials.agg(
-        *[
-            F.coalesce(F.nanvl(F.abs(F.corr(p, "objective")), F.lit(0.0)), F.lit(0.0)).alias(p)
-            for p in parameters
-        ]
-    )
+
+    def strength(p: str) -> Column:
+        spread = F.stddev_pop(p) * F.stddev_pop("objective")
+        return F.coalesce(F.abs(F.try_divide(F.covar_pop(p, "objective"), spread)), F.lit(0.0))
+
+    found = trials.agg(*[strength(p).alias(p) for p in parameters])
     return found.unpivot([], parameters, "parameter", "importance").orderBy(
         F.desc("importance"), "parameter"
     )

@@ -41,11 +41,19 @@ def roll(agg: str, x: str, p: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {w} >= {least or p} THEN {agg}({x}) {w} END"
 
 
+#: Instead of a key of bars: prices of each event type that move with its events.
+WALK = "walk"
+WALKED = """WITH walk AS (SELECT * EXCLUDE (value), 10 * exp(0.5 * sum((floor(value % 1 * 128) - 63.5) / 128)
+  OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS value FROM events)"""
+
+
 def bars(width: str = "1 hour", key: str | None = None) -> list[str]:
+    source, steps = ("walk", WALKED) if key == WALK else ("events", "")
+    key = "event_type" if key == WALK else key
     return [
-        f"""bars AS (SELECT {key or "'ALL'"} AS series_key, time_bucket(INTERVAL '{width}', ts) AS ts,
+        f"""bars AS ({steps} SELECT {key or "'ALL'"} AS series_key, time_bucket(INTERVAL '{width}', ts) AS ts,
   first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
-  last(value ORDER BY ts, event_id) AS close, count(*) AS n_events FROM events GROUP BY 1, 2)""",
+  last(value ORDER BY ts, event_id) AS close, count(*) AS n_events FROM {source} GROUP BY 1, 2)""",
         """num AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 AS rn,
   count(*) OVER (PARTITION BY series_key) AS n FROM bars)""",
     ]
@@ -338,15 +346,10 @@ def breakouts(p: Params) -> list[str]:
     ]
 
 
-def latest_breakout(p: Params) -> str:
-    """out: the last bar of each series against the last zone before it; needs com and feat."""
+def _against(p: Params) -> str:
+    """out: bars of lbr1 (series_key, rn, the bar, its zone) against that zone."""
     z = f"{p.steepness} * (strength - {p.min_expansion} - {p.logistic_threshold})"
-    return f"""lbr0 AS (SELECT series_key, max(rn) AS zone_row FROM com WHERE scored AND score > {p.threshold} GROUP BY 1),
-lbr1 AS (SELECT b.series_key, b.rn, b.close, b.sutte_direction, b.sutte_conviction, z.rn - 1 AS zone_end, z.zone_high AS hi, z.zone_low AS lo,
-  z.past_vol AS vol, z.divergence_signal, z.divergence, z.divergence_confidence, z.score, z.c_attention, z.c_periodic, z.c_scale, b.recent
-  FROM (SELECT *, avg(hl_range_pct) {over(-10, -1)} AS recent FROM feat) b JOIN lbr0 USING (series_key)
-  JOIN com z ON z.series_key = b.series_key AND z.rn = zone_row WHERE b.rn = b.n - 1),
-lbr2 AS (SELECT *, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 END AS side,
+    return f"""lbr2 AS (SELECT *, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 END AS side,
   (1 + CASE WHEN close > hi THEN close - hi ELSE lo - close END / nullif(hi - lo, 0))
     * greatest(CASE WHEN recent > 0 THEN recent WHEN vol > 0 THEN vol ELSE {E} END / (vol + {E}), 0)
     * (1 + 0.35 * (score + c_attention + c_periodic + c_scale) / 4) AS strength FROM lbr1),
@@ -360,6 +363,29 @@ lbr3 AS (SELECT series_key, rn, zone_end, side, CASE WHEN coalesce(hi > lo AND s
 out AS (SELECT series_key, rn, zone_end, probability, CASE WHEN probability > 0.5 THEN side ELSE 0 END AS direction FROM lbr3)"""
 
 
+ZONE_OF_BAR = """z.rn - 1 AS zone_end, z.zone_high AS hi, z.zone_low AS lo, z.past_vol AS vol, z.divergence_signal, z.divergence,
+  z.divergence_confidence, z.score, z.c_attention, z.c_periodic, z.c_scale"""
+
+
+def latest_breakout(p: Params) -> str:
+    """out: the last bar of each series against the last zone before it; needs com and feat."""
+    return f"""lbr0 AS (SELECT series_key, max(rn) AS zone_row FROM com WHERE scored AND score > {p.threshold} GROUP BY 1),
+lbr1 AS (SELECT b.series_key, b.rn, b.close, b.sutte_direction, b.sutte_conviction, b.recent, {ZONE_OF_BAR}
+  FROM (SELECT *, avg(hl_range_pct) {over(-10, -1)} AS recent FROM feat) b JOIN lbr0 USING (series_key)
+  JOIN com z ON z.series_key = b.series_key AND z.rn = zone_row WHERE b.rn = b.n - 1),
+{_against(p)}"""
+
+
+def live_breakouts(p: Params) -> str:
+    """out: every bar against the last zone that had enough bars ahead by then; needs com (without the gate) and feat."""
+    return f"""lbr0 AS (SELECT series_key, rn, avg(hl_range_pct) {over(-10, -1)} AS recent,
+  last_value(CASE WHEN scored AND score > {p.threshold} AND {p.lookforward} >= {p.min_bars} THEN rn END IGNORE NULLS)
+    OVER (PARTITION BY series_key ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND {max(p.min_bars, 1) - 1} PRECEDING) AS zone_row FROM com),
+lbr1 AS (SELECT b.series_key, b.rn, b.close, b.sutte_direction, b.sutte_conviction, l.recent, {ZONE_OF_BAR}
+  FROM feat b JOIN lbr0 l USING (series_key, rn) LEFT JOIN com z ON z.series_key = b.series_key AND z.rn = l.zone_row),
+{_against(p)}"""
+
+
 def folds(p: Params) -> list[str]:
     """Renames feat to whole, deals it into folds as feat; signals follow as for whole series."""
     k, m = CV_SPLITS, CV_TRAIN_MULTIPLIER

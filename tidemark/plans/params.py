@@ -108,6 +108,11 @@ class Params:
         """Rows before a row that its score and the zones that act on it read."""
         return max(self.lookback + self.history + 1, self.max_hold + self.lookback, MIN_HOLD, 10)
 
+    @property
+    def hold_rows(self) -> int:
+        """Rows that a zone acts on, at most."""
+        return max(self.max_hold, MIN_HOLD)
+
     def weight(self, component: str) -> float:
         return getattr(self, f"weight_{component}")
 

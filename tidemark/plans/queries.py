@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import asdict, replace
 from functools import partial
 
@@ -11,25 +12,32 @@ from pyspark.sql import functions as F
 from tidemark.functions.lineage import cut, scratch
 from tidemark.operators import baseline as base
 from tidemark.operators import breakout, calibration, context, detector, metrics, report, validation
+from tidemark.operators import search as tuning
 from tidemark.operators import features as feat
 from tidemark.plans import oracles as sql
-from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SEARCH, SHORT, Params
-from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars
+from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SEARCH, SEED, SHORT, Params
+from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars, walk
 from tidemark.streaming.bars import DELAY, stream_bars, write_bars
+from tidemark.streaming.signals import read_signals, write_signals
 
 PARAMS = Params()
-#: Short windows and a threshold that rejects a third of them: bars of events break out both ways, with
-#: probabilities that are not all near 1.
-ACTIVE = replace(PARAMS, lookback=6, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.55, steepness=1.0)
+#: Windows that every component can answer, and a threshold that rejects most of them: bars of moving prices
+#: break out both ways, with probabilities that are not all near 1.
+ACTIVE = replace(
+    PARAMS, lookback=12, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.5, steepness=1.0, range_threshold=4.0
+)
 ALL = SHORT + MEDIUM + LONG
 MAIN = SHORT + MEDIUM
 KEYS = ["series_key", "ts", "rn"]
 #: Width and key of bars: one series of all events, and one for each type, whose bars are narrow and often flat.
 HOURLY = ("1 hour", None)
 BY_TYPE = ("1 hour", "event_type")
-FOLD_WIDTH = "3 hours"
-#: Trials of the search that importance is told from, and of the search that is a query of its own.
-TRIALS, SHORT_SEARCH = 12, 2
+#: Bars of the prices of each type, which move as those of a market do; ACTIVE is asked of them.
+MOVING = ("1 hour", sql.WALK)
+#: Bars that trials are valued on, settings that importance is told from, and trials of the search.
+TRIED, TRIALS, SEARCHED = ("2 hours", sql.WALK), 12, 30
+#: Parts of the events that the stream of signals is started with.
+PARTS = 3
 #: Zones that end from then on, and how many of each series, are recent.
 SINCE, RECENT = "2024-01-15 00:00:00", 40
 
@@ -39,7 +47,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour", key: str | None = None) -> DataFrame:
-    return numbered(bars_from_events(events(spark, sf_dir), width, key))
+    given = events(spark, sf_dir)
+    if key == sql.WALK:
+        given, key = walk(given, "event_type"), "event_type"
+    return numbered(bars_from_events(given, width, key))
 
 
 def bars(
@@ -168,7 +179,7 @@ def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.where("rn > 0"), ["series_key", "rn"], ["attention_raw", "periodic_raw"])
 
 
-def score_components(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def score_components(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     df = scored(spark, sf_dir, params, bar).where("scored")
     return rounded(df, [*KEYS, "lookback", "divergence_signal"], SCORES)
 
@@ -181,7 +192,7 @@ def scored_windows_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_components(spark, sf_dir, PARAMS, ("15 minutes", "event_type"))
 
 
-def zones(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def zones(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     found = detector.zones(scored(spark, sf_dir, params, bar), params)
     return rounded(found, ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES)
 
@@ -193,31 +204,31 @@ def live_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detector.live_window(feat.context_features(near), PARAMS), [*KEYS, "divergence_signal"], ["scale_raw", "score"])
 
 
-def threshold_diagnosis(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def threshold_diagnosis(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = detector.threshold_diagnosis(detector.diagnostic_scores(scored(spark, sf_dir, params, bar)), params)
     return rounded(told, ["series_key", "level", "above", "n"], ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
-def auto_threshold(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def auto_threshold(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = detector.auto_threshold(detector.diagnostic_scores(scored(spark, sf_dir, params, bar)), params)
     return rounded(told, ["series_key"], ["threshold"])
 
 
-def zone_bars(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def zone_bars(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = breakout.zone_bars(scored(spark, sf_dir, params, bar), params)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
-def told_of(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def told_of(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     return breakout.signals(scored(spark, sf_dir, params, bar), params)
 
 
-def breakout_signals(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def breakout_signals(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     return rounded(told_of(spark, sf_dir, params, bar), [*KEYS, "direction"], ["probability"])
 
 
 def latest_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = breakout.latest_breakouts(numbered_bars(spark, sf_dir, *BY_TYPE), ACTIVE)
+    told = breakout.latest_breakouts(numbered_bars(spark, sf_dir, *MOVING), ACTIVE)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
 
 
@@ -237,16 +248,16 @@ def direction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, [*KEYS, "target"], ["future_return"])
 
 
-def fold_told(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+def fold_told(spark: SparkSession, sf_dir: str, bar: tuple = MOVING) -> DataFrame:
     return validation.fold_signals(owned(context_of(spark, sf_dir, *bar, ACTIVE)), ACTIVE)
 
 
-def fold_signals(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+def fold_signals(spark: SparkSession, sf_dir: str, bar: tuple = MOVING) -> DataFrame:
     told = fold_told(spark, sf_dir, bar)
     return rounded(told, ["origin", "fold", "old_rn", "direction", "target", "fold_target"], ["probability", "up_probability"])
 
 
-def fold_metrics(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+def fold_metrics(spark: SparkSession, sf_dir: str, bar: tuple = MOVING) -> DataFrame:
     told = validation.fold_metrics(fold_told(spark, sf_dir, bar))
     return rounded(told, ["origin", "fold", "labelled"], FOLD_METRICS)
 
@@ -258,7 +269,7 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.fold_scores(fold_told(spark, sf_dir)), ["origin", "fold"], ["f1", "precision", "recall", "sharpe"])
 
 
-def calibration_bins(spark: SparkSession, sf_dir: str, bar: tuple = BY_TYPE) -> DataFrame:
+def calibration_bins(spark: SparkSession, sf_dir: str, bar: tuple = MOVING) -> DataFrame:
     told = calibration.bins(calibration.usable(fold_told(spark, sf_dir, bar)))
     return rounded(told, ["bin", "n"], ["low", "high", "mean_p", "hit_rate", "blended"])
 
@@ -270,10 +281,10 @@ def calibrated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
-    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir, *BY_TYPE), (20,)), (20,)), (20,)))
+    df = cut(scored(spark, sf_dir, ACTIVE, MOVING))
+    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir, *MOVING), (20,)), (20,)), (20,)))
     told = metrics.run_metrics(
-        detector.zones(df, ACTIVE), breakout.signals(df, ACTIVE), numbered_bars(spark, sf_dir, *BY_TYPE), made
+        detector.zones(df, ACTIVE), breakout.signals(df, ACTIVE), numbered_bars(spark, sf_dir, *MOVING), made
     )
     return rounded(told, ["series_key", "metric"], ["value"])
 
@@ -297,11 +308,11 @@ def _timed(spark: SparkSession, sf_dir: str, params: Params, bar: tuple) -> Data
     return report.timed_zones(detector.zones(df, params), df.select("series_key", "rn", "ts"))
 
 
-def heatmap(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def heatmap(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     return rounded(report.heatmap(_timed(spark, sf_dir, params, bar)), ["series_key", "day", "hour", "zones"], ["mean_score"])
 
 
-def event_frame(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def event_frame(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     return rounded(report.event_frame(_timed(spark, sf_dir, params, bar)), ["series_key", "timestamp_end"], EVENT)
 
 
@@ -312,19 +323,19 @@ EVENT = [
 
 
 def recent_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = report.recent_zones(_timed(spark, sf_dir, ACTIVE, BY_TYPE), F.lit(SINCE).cast("timestamp_ntz"), RECENT)
+    told = report.recent_zones(_timed(spark, sf_dir, ACTIVE, MOVING), F.lit(SINCE).cast("timestamp_ntz"), RECENT)
     return rounded(told, ["series_key", "start_idx", "end_idx", "timestamp_start", "timestamp_end"], ["consolidation_score"])
 
 
 def follow_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
+    df = cut(scored(spark, sf_dir, ACTIVE, MOVING))
     told = report.follow_through(
         detector.zones(df, ACTIVE), df.select(*KEYS, "high", "low", "close"), breakout.signals(df, ACTIVE)
     )
     return rounded(told, [*KEYS, "part", "marker"], ["close", "resistance", "support", "midline", "marker_probability"])
 
 
-def latest_signal(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def latest_signal(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = report.latest_signal(told_of(spark, sf_dir, params, bar))
     return rounded(told, LATEST, ["probability", "latest_raw_probability"])
 
@@ -335,19 +346,19 @@ LATEST = [
 ]
 
 
-def zone_snapshot(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def zone_snapshot(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     df = cut(scored(spark, sf_dir, params, bar))
     told = report.zone_snapshot(detector.zones(df, params), df.select("series_key", "rn"))
     return rounded(told, ["series_key", "available", "duration", "post_bars", "maturity"], ["score"])
 
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cut(scored(spark, sf_dir, ACTIVE, BY_TYPE))
+    df = cut(scored(spark, sf_dir, ACTIVE, MOVING))
     snapshot = report.zone_snapshot(detector.zones(df, ACTIVE), df.select("series_key", "rn"))
     return report.brief(report.latest_signal(breakout.signals(df, ACTIVE)), snapshot)
 
 
-def component_table(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = BY_TYPE) -> DataFrame:
+def component_table(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = report.component_table(detector.zones(scored(spark, sf_dir, params, bar), params), params)
     return rounded(told, ["series_key", "component", "weight"], ["mean", "contribution"])
 
@@ -362,7 +373,7 @@ def plot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = halo(ACTIVE)
-    plain = numbered_bars(spark, sf_dir, *BY_TYPE)
+    plain = numbered_bars(spark, sf_dir, *MOVING)
     last = breakout.latest_breakouts(plain, ACTIVE)
     live = detector.live_window(feat.context_features(chunked(latest(plain, before + 1), before, after)), ACTIVE)
     regime_now = metrics.regime_metrics(plain).select("series_key", "regime_shift_flag")
@@ -373,7 +384,7 @@ def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _benchmarked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold signals of the model, and of the logistic baseline, on the same features."""
-    made = owned(feat.volatility(context_of(spark, sf_dir, *BY_TYPE, ACTIVE), (20,)))
+    made = owned(feat.volatility(context_of(spark, sf_dir, *MOVING, ACTIVE), (20,)))
     targets = validation.direction_targets(chunked(made, *halo(ACTIVE)), ACTIVE.max_hold)
     dealt = cut(validation.folds(owned(targets)))
     return cut(validation.fold_signals(made, ACTIVE)), base.baseline(dealt, ACTIVE.max_hold)
@@ -390,30 +401,69 @@ def model_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(base.aggregate_result(told, "model"), [], names)
 
 
+def trial_settings() -> list[Params]:
+    """The settings of the registered trials: seeded draws from the search ranges."""
+    rng = random.Random(SEED)
+    return [tuning.setting(tuning.draw(rng)) for _ in range(TRIALS)]
+
+
+def trial_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(owned(context_of(spark, sf_dir, *TRIED, WIDEST)))
+
+
+def trial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold of every trial, in one job."""
+    told = tuning.trial_metrics(trial_features(spark, sf_dir), trial_settings())
+    return rounded(told, ["trial", "origin", "fold", "labelled"], FOLD_METRICS)
+
+
+def trial_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = trial_settings()
+    told = tuning.objectives(tuning.trial_metrics(trial_features(spark, sf_dir), settings), len(settings))
+    return rounded(told, ["trial"], ["objective"])
+
+
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of all parameters over the trials, each valued by its folds."""
+    settings = trial_settings()
+    told = tuning.objectives(tuning.trial_metrics(trial_features(spark, sf_dir), settings), len(settings))
+    names = list(asdict(PARAMS))
+    given = spark.createDataFrame(
+        [(i, *map(float, asdict(p).values())) for i, p in enumerate(settings)],
+        ", ".join(["trial int", *[f"{c} double" for c in names]]),
+    )
+    return rounded(validation.importance(given.join(told, "trial"), names), ["parameter"], ["importance"])
+
+
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each trial of a short search: its setting, its objective over the folds and whether it is the best."""
-    made = cut(owned(context_of(spark, sf_dir, FOLD_WIDTH, None, WIDEST)))
-    best, tried = validation.search(made, SHORT_SEARCH)
+    """Each trial of the model-based search: its setting, its objective over the folds and whether it is the best."""
+    best, tried = tuning.search(trial_features(spark, sf_dir), SEARCHED)
     rows = [(i, p.digest(), *map(float, asdict(p).values()), float(v), p == best) for i, (p, v) in enumerate(tried)]
     names = ", ".join(f"{c} double" for c in [*asdict(PARAMS), "objective"])
     told = spark.createDataFrame(rows, f"trial int, digest string, {names}, best boolean")
     return rounded(told, ["trial", "digest", "best"], [*asdict(PARAMS), "objective"])
 
 
-def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance of all parameters over the trials of the search, each valued by its folds."""
-    made = cut(owned(context_of(spark, sf_dir, FOLD_WIDTH, None, WIDEST)))
-    _, tried = validation.search(made, TRIALS)
-    names = list(asdict(PARAMS))
-    rows = [(*map(float, asdict(p).values()), float(value)) for p, value in tried]
-    trials = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "objective"]))
-    return rounded(validation.importance(trials, names), ["parameter"], ["importance"])
-
-
 #: The longest windows that the search draws.
 WIDEST = replace(PARAMS, lookback=SEARCH["lookback"][1], max_hold=SEARCH["max_hold"][1])
 
 
+def streamed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live score and breakout of every closed bar of a stream that is stopped and started again with each part of the events."""
+    given = events(spark, sf_dir)
+    ends = given.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    source, out, checkpoint = (scratch(spark, x) for x in ("events", "signals", "stream"))
+    step = (ends["b"] - ends["a"]) / PARTS
+    edges = [F.lit(str(ends["a"] + k * step)).cast("timestamp_ntz") for k in range(1, PARTS)]
+    number = sum(((F.col("ts") >= x).cast("int") for x in edges), F.lit(0))
+    for k in range(PARTS):
+        given.where(number == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(given.schema).parquet(source)
+        write_signals(stream_bars(stream, *BY_TYPE), ACTIVE, out, checkpoint, once=True).awaitTermination()
+    told = read_signals(spark, out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(told, [*KEYS, "divergence_signal", "zone_end", "direction"], ["score", "probability"])
+
+
 QUERIES = {
     "ohlc_bars": ohlc_bars,
     "streamed_bars": streamed_bars,
@@ -474,8 +524,11 @@ QUERIES = {
     "follow_through": follow_through,
     "model_result": model_result,
     "fold_scores": fold_scores,
+    "trial_metrics": trial_metrics,
+    "trial_objectives": trial_objectives,
     "search": search,
     "importance": importance,
+    "streamed_signals": streamed_signals,
 }
 #: Queries that are asked of one hourly series too: with the default setting, or the folds' one.
 PLAIN = {
@@ -620,10 +673,36 @@ out AS (SELECT series_key, ts, rn, CASE WHEN q > 0.5 THEN direction ELSE 0 END A
     return sql.select([*whole, mapped], "out", [*KEYS, "direction"], ["probability"])
 
 
+def _trial_steps() -> list[str]:
+    """tri: (trial, origin, fold, ...) of every trial, each by the SQL of one setting."""
+    each = []
+    for i, p in enumerate(trial_settings()):
+        steps = ",\n".join(sql.fold_metrics(p, *TRIED))
+        each.append(f"tri{i} AS MATERIALIZED (WITH {steps} SELECT {i} AS trial, * FROM fom)")
+    return [*each, "tri AS (" + " UNION ALL ".join(f"SELECT * FROM tri{i}" for i in range(len(each))) + ")"]
+
+
+def _trial_oracles() -> dict[str, str]:
+    steps = _trial_steps()
+    valued = f"""val AS (SELECT trial, coalesce(avg(v), -1)::DOUBLE AS objective FROM range({TRIALS}) AS r(trial) LEFT JOIN (SELECT trial, origin,
+  CASE WHEN count(*) >= 2 AND avg(coverage) > 1e-10 THEN -avg(brier) ELSE -1 END AS v FROM tri GROUP BY ALL) USING (trial) GROUP BY trial)"""
+    names = list(asdict(PARAMS))
+    rows = ", ".join(f"({i}, {', '.join(f'{float(v)!r}::DOUBLE' for v in asdict(p).values())})" for i, p in enumerate(trial_settings()))
+    told = f"""par(trial, {", ".join(names)}) AS (VALUES {rows}),
+imp AS (UNPIVOT (SELECT {", ".join(f"coalesce(CASE WHEN isfinite(corr({c}, objective)) THEN abs(corr({c}, objective)) END, 0) AS {c}" for c in names)}
+  FROM par JOIN val USING (trial)) ON {", ".join(names)} INTO NAME parameter VALUE importance)"""
+    return {
+        "trial_metrics": sql.select(steps, "tri", ["trial", "origin", "fold::INT AS fold", "labelled"], FOLD_METRICS),
+        "trial_objectives": sql.select([*steps, valued], "val", ["trial::INT AS trial"], ["objective"]),
+        "importance": sql.select([*steps, valued, told], "imp", ["parameter"], ["importance"]),
+    }
+
+
 def _oracles() -> dict[str, str]:
     p, full = PARAMS, sql.features()
     few = sql.features(everything=False)
     typed = sql.features(*BY_TYPE, everything=False)
+    moving = sql.features(*MOVING, everything=False)
 
     def geometry(*args) -> list[str]:
         return [*sql.bars(*args), *sql.GEOMETRY]
@@ -686,10 +765,10 @@ def _oracles() -> dict[str, str]:
     out["live_window"] = sql.select(
         [*typed, *sql.scored(p, gate=False)], "com", [*KEYS, "divergence_signal"], ["scale_raw", "score"], "scored AND rn = n - 1"
     )
-    out |= _plain_oracles(ACTIVE, typed) | _fold_oracles(ACTIVE, BY_TYPE)
+    out |= _plain_oracles(ACTIVE, moving) | _fold_oracles(ACTIVE, MOVING)
     out |= {f"{name}_anchored": text for name, text in _plain_oracles(PARAMS, few).items()}
     out |= {f"{name}_anchored": text for name, text in _fold_oracles(ACTIVE, HOURLY).items()}
-    out["calibrated_signals"] = _calibrated_oracle(ACTIVE, BY_TYPE)
+    out["calibrated_signals"] = _calibrated_oracle(ACTIVE, MOVING)
     out["streamed_bars"] = (
         "WITH " + sql.bars(*BY_TYPE)[0] + f""" SELECT * FROM bars
   WHERE ts + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}'"""
@@ -698,7 +777,7 @@ def _oracles() -> dict[str, str]:
     out["all_features"] = sql.select(
         [*sql.features(*BY_TYPE), *sql.ADAPTIVE, f"out AS (SELECT *, {z} FROM ada)"], "out", KEYS, FEATURES, "hl_range_pct IS NOT NULL"
     )
-    own = [*typed, *sql.scored(ACTIVE), _zone(ACTIVE)]
+    own = [*moving, *sql.scored(ACTIVE), _zone(ACTIVE)]
     sig = [*own, *sql.breakouts(ACTIVE)]
     out["recent_zones"] = sql.select(
         [*own, TIMED, f"""out AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY end_idx DESC) AS k FROM tim
@@ -741,11 +820,11 @@ fsc2 AS (SELECT origin, fold, coalesce(avg(direction * future_return) / (stddev_
   FROM tol WHERE fold_target IN (-1, 1) GROUP BY ALL),
 scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
     out["fold_scores"] = sql.select(
-        [*sql.fold_signals(ACTIVE, *BY_TYPE), by_class],
+        [*sql.fold_signals(ACTIVE, *MOVING), by_class],
         "scf", ["origin", "fold::INT AS fold"], ["f1", "precision", "recall", "sharpe"],
     )
     out["model_result"] = sql.select(
-        [*sql.fold_signals(ACTIVE, *BY_TYPE),
+        [*sql.fold_signals(ACTIVE, *MOVING),
          """out AS (SELECT count(*) AS model_sample_count, avg((direction <> 0)::INT) AS model_coverage,
   avg((direction = fold_target)::INT) FILTER (WHERE direction <> 0) AS model_answered_accuracy,
   avg((up_probability - (fold_target = 1)::INT) ** 2) AS model_brier FROM tol WHERE fold_target IN (-1, 1))"""],
@@ -761,6 +840,14 @@ scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
         "WITH " + ",\n".join(sql.bars(*BY_TYPE))
         + " SELECT series_key, ts, rn, close FROM (SELECT *, max(ts) OVER (PARTITION BY series_key) AS last FROM num) WHERE ts >= last - INTERVAL 7 DAYS"
     )
+    out |= _trial_oracles()
+    closed = sql.features(*BY_TYPE, everything=False)
+    closed[0] = closed[0].removesuffix(")") + f""" HAVING time_bucket(INTERVAL '{BY_TYPE[0]}', ts) + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}')"""
+    out["streamed_signals"] = sql.select(
+        [*closed, *sql.scored(ACTIVE, gate=False), sql.live_breakouts(ACTIVE),
+         "liv AS (SELECT c.* EXCLUDE (score), CASE WHEN scored THEN score END AS score, zone_end, probability, o.direction FROM com c JOIN out o USING (series_key, rn))"],
+        "liv", [*KEYS, "divergence_signal", "zone_end", "direction"], ["score", "probability"],
+    )
     ret = f"ret AS (SELECT *, close / nullif(lag(close) {sql.ROW}, 0) - 1 AS r, n - 1 - rn AS age FROM num)"
     reg = """reg0 AS (SELECT series_key, stddev_pop(r) FILTER (WHERE age < 20) AS regime_recent_vol, stddev_pop(r) AS regime_baseline_vol,
   sqrt(sum(exp(-ln(2) * age / 20) * r * r) FILTER (WHERE age < 20) / sum(exp(-ln(2) * age / 20)) FILTER (WHERE age < 20)) AS regime_recent_ewm_vol,
@@ -785,7 +872,7 @@ ins AS (SELECT series_key, col || '_instability' AS metric, avg(d) AS value FROM
         [*sql.features(*BY_TYPE), unsteady("feat")], "ins", ["series_key", "metric"], ["value"]
     )
     # The features of the metrics are more than those that scores need: both chains make bars, so one is renamed.
-    long = sql.features(*BY_TYPE)
+    long = sql.features(*MOVING)
     long[-1] = long[-1].replace("feat AS", "wide AS", 1)
     steady = "WITH " + ",\n".join([*long, unsteady("wide")]) + "\nSELECT * FROM ins"
     zoned = ", ".join(

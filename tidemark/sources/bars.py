@@ -70,6 +70,27 @@ def bars_from_events(events: DataFrame, width: str = "1 hour", key: str | None =
     return made.select("series_key", F.col("_window.start").alias("ts"), "open", "high", "low", "close", "n_events")
 
 
+def walk(events: DataFrame, key: str, start: float = 10.0, step: float = 0.5) -> DataFrame:
+    """The events with a price for value: it moves by what each event's value has after the point, up or down, in the order of time.
+
+    Moves are whole 256ths, so sums do not depend on their order.  Those of days are added up first:
+    a long series is many groups.
+    """
+    move = (F.floor(F.col("value") % 1 * 128) - 63.5) / 128
+    moves = events.withColumns({"_move": move, "_day": F.date_trunc("day", "ts")})
+    days = moves.groupBy(key, "_day").agg(F.sum("_move").alias("_sum"))
+    before = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    starts = days.select(key, "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    inside = W.partitionBy(key, "_day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    so_far = F.col("_before") + F.col("_within")
+    return (
+        moves.withColumn("_within", F.sum("_move").over(inside))
+        .join(starts, [key, "_day"])
+        .withColumn("value", start * F.exp(step * so_far))
+        .drop("_move", "_day", "_within", "_before")
+    )
+
+
 def numbered(bars: DataFrame, bucket: str = "month") -> DataFrame:
     """Adds rn (from 0 in each series) and n (rows of the series).
 
