@@ -42,7 +42,7 @@ def order(doc_id):
     return hashed - 2**64 if hashed >= 2**63 else hashed
 
 
-def plain(rows, bucket=4_096):
+def plain(rows):
     """(doc_id, size, source_size, target, taken), one for each row (doc_id, text, source)."""
     docs = [(d, len(BLANK_WORD.findall(t or "")), s) for d, t, s in rows]
     sizes: dict = defaultdict(int)
@@ -70,7 +70,7 @@ def plain(rows, bucket=4_096):
                 told = [min(max(c, 0), 3 * len(same)) for c in (nearest, nearest - 1, nearest + 1)]
                 copies = min(told, key=lambda c: max(1e-3, words - c * n - more, c * n - words - less))
             rest = words - copies * n
-            buckets = max(1, -(-len(same) // bucket))
+            buckets = math.ceil(math.sqrt(len(same)))
             same.sort(key=lambda x: (order(x[0]) % buckets, order(x[0])))
             for i, (d, _, _) in enumerate(same):
                 out.append((d, n, total, target[s], n * (copies // len(same) + (i < copies % len(same)))))
@@ -100,8 +100,7 @@ def test_whole_table(spark, sf_dir):
     mixed.unpersist()
 
 
-def test_odd_rows_and_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET", 16)
+def test_odd_rows_and_hot_groups(spark):
     words = "one two\tthree\nfour\x0bfive\x0csix\rseven"
     rows = [(i, words, "a") for i in range(400)]  # one size of a source, ranked in buckets
     rows += [(5, words, "a")] * 50 + [(None, words, "a")] * 50 + [(i, "x " * (i % 40), "b") for i in range(200)]
@@ -110,7 +109,7 @@ def test_odd_rows_and_hot_groups(spark, monkeypatch):
     columns = [(d, t, "en", s, -1) for d, t, s in rows]
     clashing = {c: F.lit(-1) for c in ("size", "target", "taken", "rate", "copies", "_part", "n", "_hash")}
     docs = spark.createDataFrame(columns, DOCS).withColumns(clashing).repartition(6)
-    compare(mixing.mixed(docs), plain(rows, bucket=16))
+    compare(mixing.mixed(docs), plain(rows))
 
 
 def test_targets_share_what_is_over_the_cap_again(spark):

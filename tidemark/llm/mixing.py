@@ -17,8 +17,9 @@ documents that get one more are those whose doc_id comes first by its hash.
 
 What grows: a source of any share of the rows is only counts of its distinct
 sizes (no more than the square root of twice its words); ranks within a (source,
-size) are taken in buckets of about BUCKET rows through the buckets' counts; rows
-that agree in doc_id, source and size are counted for each writing task first.
+size) are taken in as many buckets as a bucket has rows, through the buckets'
+counts; rows that agree in doc_id, source and size are counted for each writing
+task first.
 
 Defined results: a null text has size 0 and is never taken; null is a source,
 after all others; a source without words has target 0; rows with a null doc_id or
@@ -43,8 +44,6 @@ MOST = 3
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Newton steps, at most; a source is done when its words are within TOLERANCE of its target.
 STEPS, TOLERANCE = 80, 1e-9
-#: Rows of a (source, size) that are ranked together.
-BUCKET = 4_096
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -206,7 +205,7 @@ def _dealt(rows: DataFrame, same: DataFrame, classes: DataFrame) -> DataFrame:
         "rate",
         F.floor(F.try_divide("copies", "n")).alias("_each"),
         (F.col("copies") % F.col("n")).alias("_more"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET)).alias("_buckets"),
+        F.ceil(F.sqrt("n")).alias("_buckets"),
     )
     in_class = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
     groups = cut(
