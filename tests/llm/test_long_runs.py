@@ -27,6 +27,17 @@ def test_a_long_random_run_is_one_span():
     assert secret_scan.spans(f"x {run} y") == [(2, 3, 100_002)]
 
 
+@pytest.mark.parametrize("size", [2_047, 2_049, 5_000, 70_000])
+def test_long_runs_are_tokenised_whole(size):
+    encode = secret_scan.encoder().encode_ordinary
+    rng = random.Random(size)
+    for _ in range(5):
+        words = ("licht", "schatten", "AbC", "x9", "qqzx", "tion")
+        run = "".join(rng.choices(words, k=size))[:size]
+        efficient = len(run) >= secret_scan.LEAST_CHARS_PER_TOKEN * len(encode(run))
+        assert secret_scan.is_random(run) == (not efficient)
+
+
 def test_base_spans_of_random_texts():
     rng = random.Random(6)
     parts = ["password", "Secret", "api_key", "apikey", "token", "AKIA", "ABCDEFGHIJ0123456789", "0123456789abcdef", "=", ": ", "'", '"', " ", "\n", "ſ", "é", "xyz", "K"]

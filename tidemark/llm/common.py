@@ -116,6 +116,18 @@ def joined_evenly(
     return dealt.drop("_parts", *[f"_{k}" for k in keys]).join(repeated, [*keys, "_part"]).drop("_part")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(modulus: int, remainder: int):
     """Whether a row's crc32(doc_id as text) leaves this remainder; a null doc_id counts as ''."""
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

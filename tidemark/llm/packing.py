@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, scratch, small_batches
+from tidemark.llm.common import cut, free_names, scratch, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 2048
 #: Tried one after the other: lengths above this share of a sequence are large, and so many groups.
 SCHEMES = ((1 / 4, 16), (0.4, 16), (0.4, 48), (0.5, 48))
+#: Exchanges of configurations without gain after which they are taken as they are.
+PATIENCE = 1_000
 #: Columns of pieces that places are found from.
 NARROW = ["doc_id", "piece", "start", "length", "ids_crc32"]
 #: Chunks, and words, in each of the two generations whose ids a process keeps.
@@ -182,12 +184,20 @@ def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.nda
 
 
 def configurations(
-    sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400
+    sizes: np.ndarray, demand: np.ndarray, capacity: int
 ) -> list[tuple[int, np.ndarray]]:
-    """(times, counts of sizes): whole uses of the configurations of the linear optimum."""
+    """(times, counts of sizes): whole uses of the configurations of the linear optimum.
+
+    Configurations are exchanged until none saves anything; as there are few sizes and finitely many
+    configurations that ends, but for ties, which PATIENCE exchanges without gain settle.
+    """
     basis = np.diag((capacity // sizes).astype(float))
     use = demand / (capacity // sizes)
-    for _ in range(rounds):
+    best, idle = np.inf, 0
+    while idle < PATIENCE:
+        if use.sum() < best - 1e-9 * max(1.0, use.sum()):
+            best, idle = use.sum(), 0
+        idle += 1
         worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
         new = _best_pattern(sizes, worth, capacity)
         if new @ worth <= 1 + 1e-6:
@@ -324,18 +334,19 @@ def places(bins: list[Bin]) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and any others).
+    """Adds sequence_id and offset (replaced where they are) to pieces (doc_id, piece, start, length, ids_crc32 and any others).
 
     Other columns, as ids, are not moved while places are found: they are joined back by a row key.
     """
     spark = cut_pieces.sparkSession
-    more = [c for c in cut_pieces.columns if c not in NARROW]
-    keyed = cut_pieces.withColumn("_row", F.monotonically_increasing_id())
+    more = [c for c in cut_pieces.columns if c.lower() not in (*NARROW, "sequence_id", "offset")]
+    (row,) = free_names(cut_pieces, "_row")
+    keyed = cut_pieces.select(*NARROW, *more, F.monotonically_increasing_id().alias(row))
     if more:
         path = scratch(spark, "pieces")
         keyed.write.parquet(path)
         whole = spark.read.parquet(path)
-        held = whole.select(*NARROW, "_row")
+        held = whole.select(*NARROW, F.col(row).alias("_row"))
     else:
         held = whole = cut(keyed)
     # A row for each length, so capacity rows at most.
@@ -371,5 +382,5 @@ def pack(cut_pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
     placed = ranked.select("_row", *NARROW, place("length", "rank").alias("place"))
     if not more:
         return placed.select(*NARROW, "place.sequence_id", "place.offset")
-    placed = placed.select("_row", "place.sequence_id", "place.offset")
-    return whole.join(placed, "_row").select(*NARROW, *more, "sequence_id", "offset")
+    placed = placed.select(F.col("_row").alias(row), "place.sequence_id", "place.offset")
+    return whole.join(placed, row).select(*NARROW, *more, "sequence_id", "offset")

@@ -41,6 +41,7 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LEAST = 24
 #: Every run of hex digits of HEX_LEAST lies within a run of these.
 KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A parameter of the test: so few characters a token tell nothing of a shorter string.
 KEY_LEAST = 16
 #: Where a run that is not random as a whole is split, one after the other.
 SEPARATORS = ("/=", "_-")
@@ -53,8 +54,6 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 IDENTIFIER = re.compile("[A-Za-z_/=-]*[0-9]{0,4}|[0-9_+/=-]+")
-#: Characters of a run that are encoded at once, so that time grows with its length alone.
-ENCODED = 2_048
 
 _encoders: dict[str, object] = {}
 
@@ -74,9 +73,8 @@ def encoder(vocabulary: str = VOCABULARY):
 
 
 def _tokens(run: str, vocabulary: str) -> int:
-    """How many tokens a run takes; a longer one is encoded in parts."""
-    count = encoder(vocabulary).encode_ordinary
-    return sum(len(count(run[i : i + ENCODED])) for i in range(0, len(run), ENCODED))
+    """How many tokens a whole run takes, however long it is."""
+    return len(encoder(vocabulary).encode_ordinary(run))
 
 
 def _reads_as_words(run: str, vocabulary: str, least: float) -> bool:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, scratch
+from tidemark.llm.common import cut, free_names, scratch
 
 SHARDS = 8
 SEED = 2_024
@@ -88,18 +88,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "shard")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    names = ("_row", "_bytes", "_crc32", "_no_text", "_place")
+    row, size, crc, none, spot = free_names(docs, *names)
     docs.withColumns(
         {
-            "_row": F.monotonically_increasing_id(),
-            "_bytes": F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")),
-            "_crc32": F.crc32(data),
-            "_no_text": F.col("text").isNull(),
+            row: F.monotonically_increasing_id(),
+            size: F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")),
+            crc: F.crc32(data),
+            none: F.col("text").isNull(),
         }
     ).write.parquet(path)
     kept = spark.read.parquet(path)
     key = ["doc_id", "_bytes", "_crc32", "_no_text", "_part"]
     # The high bits of a row's key are the task that wrote it: no group is larger than a task's rows.
-    narrow = kept.select("_row", *key[:-1], F.shiftright("_row", 33).alias("_part"))
+    own_names = [F.col(c).alias(n) for c, n in zip((row, size, crc, none), names, strict=False)]
+    narrow = kept.select("doc_id", *own_names, F.shiftright(row, 33).alias("_part"))
     groups = cut(narrow.groupBy(*key).agg(F.count("*").alias("copies"), F.min("_row").alias("_row")))
     total = groups.agg(F.sum("copies").alias("n")).first()["n"] or 0
     buckets = math.isqrt(total) + 1
@@ -117,13 +120,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     numbers = first.where("copies = 1").select("_row", F.col("first").alias("number")).unionByName(
         narrow.join(several, same).select("_row", (F.col("first") + copy).alias("number"))
     )
-    places = numbers.select("_row", permuted(F.col("number"), total, seed).alias("_place"))
-    own = [c for c in docs.columns if c not in ("size", "text_crc32", "place", "shard", "slot")]
-    return kept.join(places, "_row").select(
+    places = numbers.select(F.col("_row").alias(row), permuted(F.col("number"), total, seed).alias(spot))
+    own = [c for c in docs.columns if c.lower() not in ("size", "text_crc32", "place", "shard", "slot")]
+    return kept.join(places, row).select(
         *own,
-        (F.col("_bytes") + 1).alias("size"),
-        F.col("_crc32").alias("text_crc32"),
-        F.col("_place").alias("place"),
-        (F.col("_place") % shards).cast("int").alias("shard"),
-        F.floor(F.col("_place") / shards).cast("long").alias("slot"),
+        (F.col(size) + 1).alias("size"),
+        F.col(crc).alias("text_crc32"),
+        F.col(spot).alias("place"),
+        (F.col(spot) % shards).cast("int").alias("shard"),
+        F.floor(F.col(spot) / shards).cast("long").alias("slot"),
     )

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_AZ, cut, joined_evenly, rows_of, scratch, small_batches
+from tidemark.llm.common import LOWER_AZ, cut, free_names, joined_evenly, rows_of, scratch, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -243,11 +243,12 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     spark = docs.sparkSession
     path = scratch(spark, "rows")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    (row,) = free_names(docs, "_row")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    prints = fingerprints(rows, ("_row", "doc_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
+    prints = fingerprints(rows, (row, "doc_id"))
     distinct = cut(prints.groupBy("fp").agg(F.min(place).alias("first")))
     kept = rooted_prints(distinct, radius).groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    kept = kept.select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
