@@ -320,6 +320,14 @@ def scored(p: Params, gate: bool = True) -> list[str]:
     ]
 
 
+def thresholds(p: Params) -> str:
+    """thr: (series_key, threshold), the automatic one where com has no window above the setting's; needs com."""
+    return f"""thr AS (SELECT series_key, CASE WHEN coalesce(max(score) FILTER (WHERE scored), 0) <= {p.threshold}
+    AND auto + {E} < {p.threshold} THEN auto ELSE {p.threshold} END AS threshold
+  FROM com LEFT JOIN (SELECT series_key, greatest(0.10, least(0.50, {p.threshold}, quantile_cont(score, 0.7))) AS auto FROM com
+    WHERE scored AND rn % greatest(1, n // 500) = 0 GROUP BY 1) USING (series_key) GROUP BY series_key, auto)"""
+
+
 def breakouts(p: Params) -> list[str]:
     z = f"{p.steepness} * (strength - {p.min_expansion} - {p.logistic_threshold})"
     return [

@@ -26,6 +26,8 @@ PARAMS = Params()
 ACTIVE = replace(
     PARAMS, lookback=12, min_bars=3, max_hold=10, min_expansion=1.1, threshold=0.5, steepness=1.0, range_threshold=4.0
 )
+#: A threshold that accepts windows of some series and none of others.
+STRICT = replace(ACTIVE, threshold=0.63)
 ALL = SHORT + MEDIUM + LONG
 MAIN = SHORT + MEDIUM
 KEYS = ["series_key", "ts", "rn"]
@@ -214,6 +216,27 @@ def auto_threshold(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, ba
     return rounded(told, ["series_key"], ["threshold"])
 
 
+def detection_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Params]:
+    """Scored windows with the threshold of each series, after series without a zone got another."""
+    return detector.redetected(cut(scored(spark, sf_dir, STRICT, MOVING)), STRICT)
+
+
+def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, _ = detection_run(spark, sf_dir)
+    accepted = F.count_if(F.col("scored") & (F.col("score") > F.col("threshold"))).alias("zones")
+    counted = told.groupBy("series_key", "threshold").agg(accepted, F.count_if("scored").alias("windows"))
+    return rounded(counted, ["series_key", "zones", "windows"], ["threshold"])
+
+
+def redetected_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detector.zones(*detection_run(spark, sf_dir))
+    return rounded(found, ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES)
+
+
+def redetected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(breakout.signals(*detection_run(spark, sf_dir)), [*KEYS, "direction"], ["probability"])
+
+
 def zone_bars(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = breakout.zone_bars(scored(spark, sf_dir, params, bar), params)
     return rounded(told, ["series_key", "rn", "zone_end", "direction"], ["probability"])
@@ -497,6 +520,9 @@ QUERIES = {
     "live_window": live_window,
     "threshold_diagnosis": threshold_diagnosis,
     "auto_threshold": auto_threshold,
+    "thresholds": thresholds,
+    "redetected_zones": redetected_zones,
+    "redetected_signals": redetected_signals,
     "zone_bars": zone_bars,
     "breakout_signals": breakout_signals,
     "latest_breakout": latest_breakout,
@@ -841,6 +867,18 @@ scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
         + " SELECT series_key, ts, rn, close FROM (SELECT *, max(ts) OVER (PARTITION BY series_key) AS last FROM num) WHERE ts >= last - INTERVAL 7 DAYS"
     )
     out |= _trial_oracles()
+    strict = [*moving, *sql.scored(STRICT), sql.thresholds(STRICT), f"zone AS (SELECT {ZONE_COLUMNS} FROM com JOIN thr USING (series_key) WHERE scored AND score > threshold)"]
+    out["thresholds"] = sql.select(
+        [*strict, """out AS (SELECT series_key, threshold, count(*) FILTER (WHERE scored AND score > threshold) AS zones,
+  count(*) FILTER (WHERE scored) AS windows FROM com JOIN thr USING (series_key) GROUP BY ALL)"""],
+        "out", ["series_key", "zones", "windows"], ["threshold"],
+    )
+    out["redetected_zones"] = sql.select(
+        strict, "zone", ["series_key", "start_idx", "end_idx", "duration", "sutte_divergence_signal"], ZONES
+    )
+    zoned = sql.breakouts(STRICT)
+    zoned[0] = "zon AS (SELECT com.* FROM com JOIN thr USING (series_key) WHERE scored AND score > threshold)"
+    out["redetected_signals"] = sql.select([*strict, *zoned], "sgn", [*KEYS, "direction"], ["probability"])
     closed = sql.features(*BY_TYPE, everything=False)
     closed[0] = closed[0].removesuffix(")") + f""" HAVING time_bucket(INTERVAL '{BY_TYPE[0]}', ts) + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}')"""
     out["streamed_signals"] = sql.select(
