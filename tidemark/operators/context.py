@@ -36,7 +36,7 @@ from tidemark.plans.params import (
 )
 from tidemark.sources.bars import reaching
 
-_BLOCK = 256  # reference rows whose histories are in memory together
+_BLOCK = 64  # reference rows whose histories are in memory together: few, so that they stay in a core's cache
 
 
 def hurst_score(value: Column) -> Column:
@@ -65,63 +65,98 @@ def compression_signature(df: DataFrame) -> DataFrame:
 
 
 def robust_scale(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and scale of (rows, history, columns): NaN is left out, all NaN gives 0 and 1."""
+    """Centre and scale along the last axis: NaN is left out, all NaN gives 0 and 1.
+
+    Each history is sorted once; its quartiles and its median deviation are read from that order.
+    """
+    ordered = np.sort(history, axis=-1)  # NaN last
+    n = ordered.shape[-1] - np.isnan(ordered).sum(axis=-1)
     with np.errstate(all="ignore"):
-        some = ~np.isnan(history).all(axis=1)
-        q1, centre, q3 = _quantiles(history, (0.25, 0.5, 0.75))
-        (spread,) = _quantiles(np.abs(history - centre[:, None, :]), (0.5,))
-        scale = np.fmax((q3 - q1) / IQR_TO_STD, MAD_TO_STD * spread)
-        flat = ~(scale > EPSILON)
-        if flat.any():
-            n = (~np.isnan(history)).sum(axis=1)
-            mean = np.nansum(history, axis=1) / np.maximum(n, 1)
-            std = np.sqrt(np.nansum((history - mean[:, None, :]) ** 2, axis=1) / np.maximum(n, 1))
-            scale = np.where(flat, np.where(std > EPSILON, std, 1.0), scale)
-    return np.where(some, centre, 0.0), np.where(some, scale, 1.0)
-
-
-def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[np.ndarray]:
-    """Linear quantiles along axis 1 of what is not NaN."""
-    ordered = np.sort(values, axis=1)  # NaN last
-    n = (~np.isnan(values)).sum(axis=1)
+        q1, centre, q3 = (_quantile(ordered, n, q) for q in (0.25, 0.5, 0.75))
+        scale = np.fmax((q3 - q1) / IQR_TO_STD, MAD_TO_STD * _median_deviation(ordered, n, centre))
+    flat = ~(scale > EPSILON)
+    if flat.any():
+        some = np.where(np.isnan(history[flat]), 0.0, history[flat])
+        k = np.maximum(n[flat], 1)
+        mean = some.sum(axis=-1) / k
+        gap = np.where(np.isnan(history[flat]), 0.0, history[flat] - mean[:, None])
+        std = np.sqrt((gap * gap).sum(axis=-1) / k)
+        scale[flat] = np.where(std > EPSILON, std, 1.0)
+    return np.where(n > 0, centre, 0.0), np.where(n > 0, scale, 1.0)
+
+
+def _at(ordered: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(ordered, place[..., None], axis=-1)[..., 0]
+
+
+def _quantile(ordered: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
+    """Linear quantile of the first n of each last axis."""
+    last = np.maximum(n - 1, 0)
+    place = q * last
+    low = np.floor(place).astype(int)
+    a = _at(ordered, low)
+    return a + (_at(ordered, np.minimum(low + 1, last)) - a) * (place - low)
+
+
+def _median_deviation(ordered: np.ndarray, n: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Median of the distances to the centre."""
+    last = np.maximum(n - 1, 0)
+    low, high = last // 2, (last + 1) // 2
+    a = _kth_distance(ordered, last, centre, low)
+    return a + (_kth_distance(ordered, last, centre, high) - a) * 0.5
+
+
+def _kth_distance(ordered: np.ndarray, last: np.ndarray, centre: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest distance: the k + 1 nearest values stand together, so their first is found by bisection."""
+    low, high = np.zeros_like(last), last - k
+    while (low < high).any():
+        middle = (low + high) // 2
+        right = _at(ordered, middle + k) - centre >= centre - _at(ordered, middle)
+        high = np.where(right, middle, high)
+        low = np.where(right, low, np.minimum(middle + 1, high))
+
+    def farthest(first: np.ndarray) -> np.ndarray:
+        return np.maximum(centre - _at(ordered, first), _at(ordered, first + k) - centre)
+
+    return np.minimum(farthest(low), farthest(np.maximum(low - 1, 0)))
+
+
+def match_scores(
+    history: np.ndarray, signature: np.ndarray, reference: np.ndarray, asked: list[tuple[np.ndarray, int, float]]
+) -> list[np.ndarray]:
+    """For each (weights of the columns, k, temperature): the mean signature of the k history rows most
+    like the reference, weighted by likeness.
+
+    history: (columns, references, rows); signature: (references, rows); reference: (columns, references).
+    Rows beyond a short history have a NaN signature.  Of rows that are equally alike the oldest come first.
+    """
+    beyond = np.isnan(signature)
+    centre, scale = robust_scale(np.where(beyond, np.nan, history) if beyond.any() else history)
+
+    def scaled(x: np.ndarray, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        x = np.where(np.isnan(x), 0.0, x)
+        x -= c
+        x /= s
+        return np.clip(x, -CONTEXT_CLIP, CONTEXT_CLIP, out=x)
+
+    gap = scaled(history, centre[..., None], scale[..., None])
+    gap -= scaled(reference, centre, scale)[..., None]
+    np.abs(gap, out=gap)
+    known = np.nan_to_num(signature)
     out = []
-    for q in at:
-        place = q * np.maximum(n - 1, 0)
-        low = np.floor(place).astype(int)
-        high = np.minimum(low + 1, np.maximum(n - 1, 0))
-        a = np.take_along_axis(ordered, low[:, None, :], axis=1)[:, 0]
-        b = np.take_along_axis(ordered, high[:, None, :], axis=1)[:, 0]
-        out.append(a + (b - a) * (place - low))
+    for weights, k, tau in asked:
+        used = np.flatnonzero(weights)
+        # Distances that agree to 12 digits are ties, whatever the order of the sum.
+        distance = np.round(np.tensordot(weights[used], gap[used], axes=1) / weights.sum(), 12)
+        like = np.where(beyond, -1.0, np.exp(-distance / tau))
+        top = np.argsort(-like, axis=1, kind="stable")[:, :k]
+        w = np.maximum(np.take_along_axis(like, top, axis=1), 0.0)
+        total = w.sum(axis=1)
+        mean = (w * np.take_along_axis(known, top, axis=1)).sum(axis=1) / np.where(total > EPSILON, total, 1)
+        out.append(np.where(total > EPSILON, mean, 0.5))
     return out
 
 
-def match_score(
-    history: np.ndarray, signature: np.ndarray, reference: np.ndarray, weights: np.ndarray, k: int, tau: float
-) -> np.ndarray:
-    """Mean signature of the k history rows most like the reference, weighted by likeness.
-
-    Rows beyond a short history have a NaN signature.  Of rows that are equally
-    alike the oldest come first.
-    """
-    centre, scale = robust_scale(np.where(np.isnan(signature)[:, :, None], np.nan, history))
-
-    def scaled(x: np.ndarray, shape) -> np.ndarray:
-        c, s = (v.reshape(shape) for v in (centre, scale))
-        return np.clip((np.nan_to_num(x, nan=0.0) - c) / s, -CONTEXT_CLIP, CONTEXT_CLIP)
-
-    rows, columns = reference.shape
-    gap = np.abs(scaled(history, (rows, 1, columns)) - scaled(reference, (rows, columns))[:, None, :])
-    # Distances that agree to 12 digits are ties, whatever the order of the sum.
-    distance = np.round((gap * weights).sum(axis=2) / weights.sum(), 12)
-    like = np.exp(-distance / tau)
-    like = np.where(np.isnan(signature), -1.0, like)
-    top = np.argsort(-like, axis=1, kind="stable")[:, :k]
-    w = np.maximum(np.take_along_axis(like, top, axis=1), 0.0)
-    s = np.nan_to_num(np.take_along_axis(signature, top, axis=1))
-    total = w.sum(axis=1)
-    return np.where(total > EPSILON, (w * s).sum(axis=1) / np.where(total > EPSILON, total, 1), 0.5)
-
-
 def context_scores(df: DataFrame, params: Params, anchor: bool = True) -> DataFrame:
     """The owned rows of each chunk with attention_raw, periodic_raw and, unless it is left out, scale_raw.
 
@@ -129,9 +164,13 @@ def context_scores(df: DataFrame, params: Params, anchor: bool = True) -> DataFr
     the rows before the window, params.history at most.
     """
     columns = list(ATTENTION_WEIGHTS)
-    periodic = [columns.index(c) for c in PERIODIC_WEIGHTS]
-    w_attention = np.array(list(ATTENTION_WEIGHTS.values()))
-    w_periodic = np.array(list(PERIODIC_WEIGHTS.values()))
+    asked = [
+        (np.array([weights.get(c, 0.0) for c in columns]), k, tau)
+        for weights, k, tau in (
+            (ATTENTION_WEIGHTS, ATTENTION_TOP_K, ATTENTION_TEMPERATURE),
+            (PERIODIC_WEIGHTS, PERIODIC_TOP_K, PERIODIC_TEMPERATURE),
+        )
+    ]
     by_row = isinstance(params.lookback, Column)  # then a chunk's rows hold its setting
     setting = None if by_row else (params.lookback, params.history, params.min_bars)
     kept = [f for f in df.schema if f.name not in ("chunk", "owned", "signature")]
@@ -148,34 +187,21 @@ def context_scores(df: DataFrame, params: Params, anchor: bool = True) -> DataFr
         owned = group["owned"].to_numpy()
         rn = group["rn"].to_numpy()
         numbers = [group[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
-        values = np.column_stack([np.where(np.isnan(x), np.nan, x) for x in numbers])
-        signature = group["signature"].to_numpy(zero_copy_only=False).astype(float)
         pad = lookback + span
-        values = np.vstack([np.full((pad, values.shape[1]), np.nan), values])
+        values = np.full((len(columns), pad + len(rn)), np.nan)
+        values[:, pad:] = numbers
+        signature = group["signature"].to_numpy(zero_copy_only=False).astype(float)
         signature = np.concatenate([np.full(pad, np.nan), signature])
         wanted = np.flatnonzero(owned)
-        out = np.full((len(wanted), 2), 0.5)
+        out = np.full((2, len(wanted)), 0.5)
         for lo in range(0, len(wanted), _BLOCK):
             at = wanted[lo : lo + _BLOCK]
             known = np.clip(rn[at] - lookback, 0, span)  # rows of history
             at, slot = at[known >= max(least, 1)], lo + np.flatnonzero(known >= max(least, 1))
-            if not len(at):
-                continue
-            places = at[:, None] + np.arange(span)[None, :]  # padded places of the history
-            history, sig = values[places], signature[places]
-            reference = values[at + pad - 1]
-            out[slot, 0] = match_score(
-                history, sig, reference, w_attention, ATTENTION_TOP_K, ATTENTION_TEMPERATURE
-            )
-            out[slot, 1] = match_score(
-                history[:, :, periodic],
-                sig,
-                reference[:, periodic],
-                w_periodic,
-                PERIODIC_TOP_K,
-                PERIODIC_TEMPERATURE,
-            )
-        scores = [out[:, 0], out[:, 1]]
+            if len(at):
+                places = at[:, None] + np.arange(span)[None, :]  # padded places of the history
+                out[:, slot] = match_scores(values[:, places], signature[places], values[:, at + pad - 1], asked)
+        scores = [*out]
         if anchor:
             closes = group["close"].to_numpy(zero_copy_only=False).astype(float)
             scores.append(anchor_scores(closes, wanted, np.minimum(rn[wanted], lookback)))
@@ -209,8 +235,8 @@ def anchor_scores(closes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.n
     out = np.full(len(at), 0.5)
     for size in np.unique(sizes[sizes >= 2]).tolist():
         slots = np.flatnonzero(sizes == size)
-        for lo in range(0, len(slots), 4 * _BLOCK):
-            part = slots[lo : lo + 4 * _BLOCK]
+        for lo in range(0, len(slots), 16 * _BLOCK):
+            part = slots[lo : lo + 16 * _BLOCK]
             prices = closes[at[part][:, None] + np.arange(-size, 0)[None, :]]
             error = np.abs(prices[:, -1] - autoregressive_forecasts(prices[:, :-1]))
             span = np.maximum(prices.max(axis=1) - prices.min(axis=1), EPSILON)

@@ -326,17 +326,17 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.bootstrap_interval(told_of(spark, sf_dir))
 
 
-def _timed(spark: SparkSession, sf_dir: str, params: Params, bar: tuple) -> DataFrame:
+def timed(spark: SparkSession, sf_dir: str, params: Params, bar: tuple) -> DataFrame:
     df = cut(scored(spark, sf_dir, params, bar))  # read for its zones and twice for their times
     return report.timed_zones(detector.zones(df, params), df.select("series_key", "rn", "ts"))
 
 
 def heatmap(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
-    return rounded(report.heatmap(_timed(spark, sf_dir, params, bar)), ["series_key", "day", "hour", "zones"], ["mean_score"])
+    return rounded(report.heatmap(timed(spark, sf_dir, params, bar)), ["series_key", "day", "hour", "zones"], ["mean_score"])
 
 
 def event_frame(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
-    return rounded(report.event_frame(_timed(spark, sf_dir, params, bar)), ["series_key", "timestamp_end"], EVENT)
+    return rounded(report.event_frame(timed(spark, sf_dir, params, bar)), ["series_key", "timestamp_end"], EVENT)
 
 
 EVENT = [
@@ -346,7 +346,7 @@ EVENT = [
 
 
 def recent_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = report.recent_zones(_timed(spark, sf_dir, ACTIVE, MOVING), F.lit(SINCE).cast("timestamp_ntz"), RECENT)
+    told = report.recent_zones(timed(spark, sf_dir, ACTIVE, MOVING), F.lit(SINCE).cast("timestamp_ntz"), RECENT)
     return rounded(told, ["series_key", "start_idx", "end_idx", "timestamp_start", "timestamp_end"], ["consolidation_score"])
 
 
