@@ -2,10 +2,9 @@
 
 Every line that has a word is a node with two labels, good and bad.  Its
 features are its own and those of the lines before and after it.  The chain is
-fitted by conditional likelihood on a bounded sample of labelled documents,
-whose lines carry their document's label.  All their lines are cut into runs of
-CHAIN_LINES; where there are more runs than TRAIN_CHAINS a seeded hash of their
-content picks which are used, wherever in a text they stand.  A document's
+fitted by conditional likelihood on a bounded number of labelled documents, whose
+lines carry their document's label: all lines of their whole texts, in runs of
+CHAIN_LINES, from which the executors add up one gradient a step.  A document's
 quality is the mean of its lines' forward-backward marginals weighted by their
 length, put on the scale of probabilities by a logistic step, which is fitted
 on the means of the sample's whole texts.
@@ -17,22 +16,21 @@ both kinds every other text scores 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, small_batches
+from tidemark.llm.common import cut, held_out, small_batches
 from tidemark.llm.training import logistic, sigmoid, training_sample
 
-#: Labelled documents that the model is fitted on, at most; lines of a training chain; chains, at most.
+#: Labelled documents that the model is fitted on, at most; lines of a training chain; gradient steps.
 TRAIN_DOCUMENTS = 2000
 CHAIN_LINES = 48
-TRAIN_CHAINS = 6000
-SEED = 7
 ROUNDS = 80
 THRESHOLD = 0.5
 
@@ -191,25 +189,64 @@ def forward_backward(
     return both[:, 1] / both.sum(axis=1), counts
 
 
-def fit(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS) -> Chain:
-    """A chain that makes the labels of the lines likely, by gradient steps (Adam)."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    chain = Chain(mean, spread, np.zeros(x.shape[1] + 1), np.zeros((2, 2)))
-    z = np.column_stack([np.clip((x - mean) / spread, -6, 6), np.ones(len(x))])
-    starts = np.cumsum(lengths) - lengths
-    inner = np.ones(len(x), bool)
-    inner[starts] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
-    m = v = np.zeros(z.shape[1] + 4)
+def added_up(runs: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of make(label of each line, features, lengths of the runs) over all runs: a row from each task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            parts = [np.frombuffer(x, np.float32).reshape(-1, 3 * OWN_FEATURES) for x in batch.column(1).to_pylist()]
+            if parts:
+                lengths = np.array([len(x) for x in parts])
+                label = np.repeat(batch.column(0).to_numpy(), lengths)
+                total = total + make(label, np.vstack(parts).astype(float), lengths)
+        if not np.isscalar(total):
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], ["part", "total"])
+
+    told = runs.mapInArrow(add, "part int, total binary").collect()
+    return sum((np.frombuffer(r["total"]) for r in sorted(told, key=lambda r: r["part"])), np.zeros(1))
+
+
+def fit(runs: DataFrame, rounds: int = ROUNDS) -> Chain | None:
+    """A chain that makes the labels of the lines likely, by gradient steps (Adam); None without both labels.
+
+    runs: (label, x), one run of lines each.
+    """
+    d = 3 * OWN_FEATURES
+
+    def moments(y: np.ndarray, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        inner = np.ones(len(x), bool)
+        inner[np.cumsum(lengths) - lengths] = False
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
+        return np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0), seen.ravel()])
+
+    told = added_up(runs, moments)
+    if len(told) == 1 or not 0 < told[1] < told[0]:
+        return None
+    n, mean = told[0], told[2 : 2 + d] / told[0]
+    spread = np.sqrt(np.maximum(told[2 + d : 2 + 2 * d] / n - mean**2, 0)) + 1e-3
+    seen = told[-4:]
+    chain = Chain(mean, spread, np.zeros(d + 1), np.zeros((2, 2)))
+    m = v = np.zeros(d + 5)
     for k in range(1, rounds + 1):
-        good, counts = forward_backward(chain.emission(x), lengths, chain.moves)
-        slope = np.concatenate([z.T @ (y - good), (seen - counts).ravel()]) / len(x)
+        shared = runs.sparkSession.sparkContext.broadcast(chain)
+
+        def slopes(y: np.ndarray, x: np.ndarray, lengths: np.ndarray, shared=shared) -> np.ndarray:
+            now = shared.value
+            good, counts = forward_backward(now.emission(x), lengths, now.moves)
+            z = np.clip((x - now.mean) / now.spread, -6, 6)
+            return np.concatenate([z.T @ (y - good), [(y - good).sum()], -counts.ravel()])
+
+        slope = added_up(runs, slopes)
+        shared.destroy()
+        slope[-4:] += seen
         now = np.concatenate([chain.weights, chain.moves.ravel()])
-        slope -= 1e-4 * now
+        slope = slope / n - 1e-4 * now
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         now = now + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        chain.weights, chain.moves = now[:-4], np.clip(now[-4:].reshape(2, 2), -4, 4)
+        chain = Chain(mean, spread, now[:-4], np.clip(now[-4:].reshape(2, 2), -4, 4))
     return chain
 
 
@@ -238,17 +275,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> C
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "x"]
             )
 
-    picked = (
-        sample.select("label", "text")
-        .mapInArrow(chains, "label int, x binary")
-        .orderBy(F.xxhash64("x", "label", F.lit(SEED)), "label", "x")
-        .limit(TRAIN_CHAINS)
-    )
-    rows = [(int(r["label"] > 0), np.frombuffer(r["x"], np.float32).reshape(-1, 3 * OWN_FEATURES)) for r in picked.collect()]
-    if len({y for y, _ in rows}) < 2:
+    small_batches(docs.sparkSession)
+    chain = fit(cut(sample.select((F.col("label") > 0).cast("int"), "text").mapInArrow(chains, "label int, x binary")))
+    if chain is None:
         return empty
-    lengths = np.array([len(x) for _, x in rows])
-    chain = fit(np.vstack([x for _, x in rows]).astype(float), np.repeat([y for y, _ in rows], lengths), lengths)
     shared = sample.sparkSession.sparkContext.broadcast(chain)
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
