@@ -6,7 +6,7 @@ import html
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,12 +113,20 @@ def latest_signal(told: DataFrame, threshold: float = DISPLAY_THRESHOLD) -> Data
     )
 
 
+#: Columns of zones that a snapshot reads; the times may be missing.
+SNAPSHOT = ("start_idx", "end_idx", "duration", "consolidation_score", "timestamp_start", "timestamp_end")
+
+
 def zone_snapshot(zones: DataFrame, bars: DataFrame) -> DataFrame:
-    """The last zone of each series, how many bars follow it and how mature that makes it."""
+    """The last zone of each series, its window in words, how many bars follow it and how mature that makes it."""
     sizes = bars.groupBy("series_key").agg(F.count("*").alias("n"))
     last = zones.groupBy("series_key").agg(
-        F.max_by(F.struct("start_idx", "end_idx", "duration", "consolidation_score"), "end_idx").alias("z")
+        F.max_by(F.struct(*[c for c in SNAPSHOT if c in zones.columns]), "end_idx").alias("z")
     )
+    window = F.lit("No completed accepted window")
+    if "timestamp_end" in zones.columns:
+        start, end = (F.date_format(f"z.timestamp_{x}", "yyyy-MM-dd HH:mm") for x in ("start", "end"))
+        window = F.coalesce(F.concat(start, F.lit(" to "), end), window)
     after = F.greatest(F.col("n") - F.col("z.end_idx") - 1, F.lit(0))
     return sizes.join(last, "series_key", "left").select(
         "series_key",
@@ -132,6 +140,7 @@ def zone_snapshot(zones: DataFrame, bars: DataFrame) -> DataFrame:
         .when(after >= 1, "Early")
         .otherwise("Unconfirmed")
         .alias("maturity"),
+        window.alias("window"),
     )
 
 
@@ -172,6 +181,96 @@ def brief(signal: DataFrame, zone: DataFrame) -> DataFrame:
     )
 
 
+#: What the brief says in each state of a series.
+HEADLINES = {
+    "none": "No accepted consolidation is active right now.",
+    "active": "Yes. The latest accepted consolidation is breaking {side}.",
+    "inside": "Yes. Price is still inside the latest accepted consolidation.",
+    "below": "The latest consolidation has ended, but the breakout is not confirmed above {threshold}.",
+    "quiet": "A recent consolidation exists, but there is no current breakout signal.",
+}
+SUMMARIES = {
+    "none": "The detector does not currently have a live zone to trade from.",
+    "active": "Confirmed {label} at {p} on {time}. Price has moved beyond the latest accepted zone.",
+    "inside": "The current raw lean is {raw_label} at {raw_p}, but it is still below the {threshold} confirmation threshold.",
+    "inside_quiet": "No directional breakout signal is active yet.",
+    "below": "The latest raw signal is {raw_label} at {raw_p} on {raw_time}.",
+    "quiet": "The model has no active directional read from the latest accepted zone.",
+}
+LABELS = {1: "up breakout", -1: "down breakout"}
+VERDICTS = {1: "Better by {gain} Brier", -1: "Worse by {gain} Brier", 0: "Tied on Brier", None: "Unavailable"}
+
+
+def _filled(template: str, **parts: Column) -> Column:
+    """The text with columns in its braces."""
+    out, rest = [], template
+    while "{" in rest:
+        text, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [F.lit(text), parts[name]]
+    return F.concat(*out, F.lit(rest))
+
+
+def full_brief(signal: DataFrame, zone: DataFrame, metrics: DataFrame, improvement: float | None = None) -> DataFrame:
+    """brief() with its sentences and the rows of its summary, one column each.
+
+    metrics: (series_key, metric, value) of run_metrics(); improvement: how much lower the Brier score is than the
+    baseline's, if that was measured.
+    """
+    state = brief(signal, zone)
+    sharpe = metrics.where("metric = 'simulated_sharpe'").select("series_key", F.col("value").alias("_sharpe"))
+    told = (
+        state.join(signal, "series_key")
+        .join(zone.select("series_key", "available", "duration", "score", "window"), "series_key")
+        .join(sharpe, "series_key", "left")
+    )
+    raw = F.col("latest_raw_direction") != 0
+    none, active = F.col("available") == "no", F.col("visibility") == "active"
+    inside, below = F.col("post_bars") == 0, F.col("visibility") == "subthreshold"
+    threshold = F.format_string("%.0f%%", F.lit(DISPLAY_THRESHOLD * 100))
+
+    def label(direction: Column) -> Column:
+        return F.when(direction > 0, LABELS[1]).otherwise(LABELS[-1])
+
+    parts = {
+        "side": F.when(F.col("direction") > 0, "up").otherwise("down"),
+        "threshold": threshold,
+        "label": label(F.col("direction")),
+        "p": F.format_string("%.1f%%", F.col("probability") * 100),
+        "time": F.date_format("signal_ts", "yyyy-MM-dd HH:mm"),
+        "raw_label": label(F.col("latest_raw_direction")),
+        "raw_p": F.format_string("%.1f%%", F.col("latest_raw_probability") * 100),
+        "raw_time": F.date_format("latest_raw_ts", "yyyy-MM-dd HH:mm"),
+    }
+
+    def by_state(of: dict, quiet_inside: str) -> Column:
+        lines = {k: _filled(v, **parts) for k, v in of.items()}
+        still = F.when(raw, lines["inside"]).otherwise(lines[quiet_inside])
+        return F.when(none, lines["none"]).when(active, lines["active"]).when(inside, still).when(below, lines["below"]).otherwise(lines["quiet"])
+
+    lean = F.when(raw & (inside | below), F.concat(parts["raw_p"], F.lit(" raw")))
+    seen = F.when(raw & (inside | below), parts["raw_time"])
+    missing = F.lit("n/a")
+    sign = None if improvement is None else (improvement > 0) - (improvement < 0)
+    verdict = VERDICTS[sign].format(gain=f"{abs(improvement or 0):.4f}")
+    return told.select(
+        *state.columns,
+        by_state(HEADLINES, "inside").alias("headline"),
+        by_state(SUMMARIES, "inside_quiet").alias("summary"),
+        F.when(none, missing).when(active, parts["p"]).otherwise(F.coalesce(lean, missing)).alias("confidence_label"),
+        F.when(none, missing).when(active, parts["time"]).otherwise(F.coalesce(seen, missing)).alias("latest_signal_time"),
+        F.when(none, missing).otherwise(F.format_string("%.3f", "score")).alias("zone_score"),
+        F.when(none, missing).otherwise(F.format_string("%d bars", "duration")).alias("zone_duration"),
+        F.when(none, missing).otherwise(F.col("post_bars").cast("string")).alias("post_zone_bars"),
+        F.concat_ws(" / ", "active_up_count", "active_down_count").alias("active_breakout_mix"),
+        F.concat_ws(" / ", "raw_up_count", "raw_down_count").alias("raw_breakout_mix"),
+        threshold.alias("display_threshold"),
+        F.format_string("%.2f", F.coalesce("_sharpe", F.lit(0.0))).alias("simulated_sharpe"),
+        F.lit(verdict).alias("benchmark_verdict"),
+        F.col("window").alias("latest_zone_window"),
+    )
+
+
 def component_table(zones: DataFrame, params: Params) -> DataFrame:
     """Mean of each component over the zones, its weight and its part in the score."""
     columns = {

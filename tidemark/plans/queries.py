@@ -381,6 +381,17 @@ def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.brief(report.latest_signal(breakout.signals(df, ACTIVE)), snapshot)
 
 
+def full_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brief in full, of a run that detects series without zones again."""
+    df, params = detection_run(spark, sf_dir)
+    df = cut(df)
+    found, told = detector.zones(df, params), breakout.signals(df, params)
+    bars_of = df.select("series_key", "rn", "ts")
+    snapshot = report.zone_snapshot(report.timed_zones(found, bars_of), bars_of)
+    gains = metrics.long_form(metrics.signal_metrics(told))
+    return report.full_brief(report.latest_signal(told), snapshot, gains)
+
+
 def component_table(spark: SparkSession, sf_dir: str, params: Params = ACTIVE, bar: tuple = MOVING) -> DataFrame:
     told = report.component_table(detector.zones(scored(spark, sf_dir, params, bar), params), params)
     return rounded(told, ["series_key", "component", "weight"], ["mean", "contribution"])
@@ -542,6 +553,7 @@ QUERIES = {
     "latest_signal": latest_signal,
     "zone_snapshot": zone_snapshot,
     "brief": brief,
+    "full_brief": full_brief,
     "component_table": component_table,
     "bar_spacing": bar_spacing,
     "plot_window": plot_window,
@@ -675,6 +687,57 @@ def _fold_oracles(p: Params, bar: tuple) -> dict[str, str]:
     }
 
 
+BRIEF_STATE = """CASE WHEN available = 'no' THEN 'No active setup' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Breaking up' ELSE 'Breaking down' END
+    WHEN post_bars = 0 THEN 'Still consolidating' WHEN visibility = 'subthreshold' THEN 'Waiting for confirmation' ELSE 'Recent zone, no trigger' END AS setup_state,
+  CASE WHEN available = 'no' THEN 'neutral' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'support' ELSE 'risk' END
+    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN 'watch' ELSE 'neutral' END AS stance_tone,
+  CASE WHEN available = 'no' THEN 'No zone' WHEN visibility = 'active' THEN 'Confirmed' WHEN post_bars = 0 THEN 'Inside zone'
+    WHEN visibility = 'subthreshold' THEN 'Below trigger' ELSE 'No trigger' END AS trust_label,
+  CASE WHEN available = 'no' THEN 'No' WHEN visibility = 'active' OR post_bars = 0 THEN 'Yes' ELSE 'Recent' END AS consolidation_answer,
+  CASE WHEN available = 'no' THEN 'None' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Up' ELSE 'Down' END
+    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN CASE WHEN latest_raw_direction > 0 THEN 'Up lean' WHEN latest_raw_direction < 0 THEN 'Down lean'
+      ELSE 'Undecided' END ELSE 'None' END AS breakout_side, maturity, post_bars"""
+
+
+def _full_brief_oracle(signals: list[str]) -> str:
+    """signals: steps that make com, thr, zone and sgn."""
+    label = "CASE WHEN {} > 0 THEN 'up breakout' ELSE 'down breakout' END"
+    parts = {
+        "side": "CASE WHEN direction > 0 THEN 'up' ELSE 'down' END", "threshold": "'55%'", "label": label.format("direction"),
+        "p": "printf('%.1f%%', probability * 100)", "time": "strftime(signal_ts, '%Y-%m-%d %H:%M')", "raw_label": label.format("latest_raw_direction"),
+        "raw_p": "printf('%.1f%%', latest_raw_probability * 100)", "raw_time": "strftime(latest_raw_ts, '%Y-%m-%d %H:%M')",
+    }
+
+    def text(template: str) -> str:
+        return "'" + template.format(**{k: f"' || {v} || '" for k, v in parts.items()}) + "'"
+
+    def by_state(of: dict, quiet: str) -> str:
+        return f"""CASE WHEN available = 'no' THEN {text(of["none"])} WHEN visibility = 'active' THEN {text(of["active"])}
+    WHEN post_bars = 0 AND latest_raw_direction <> 0 THEN {text(of["inside"])} WHEN post_bars = 0 THEN {text(of[quiet])}
+    WHEN visibility = 'subthreshold' THEN {text(of["below"])} ELSE {text(of["quiet"])} END"""
+
+    lean = "latest_raw_direction <> 0 AND (post_bars = 0 OR visibility = 'subthreshold')"
+    steps = [
+        *signals, LATEST_SQL, SNAPSHOT,
+        f"""gai AS (SELECT series_key, coalesce(avg(gain) / (stddev_samp(gain) + 1e-10) * sqrt(252), 0) AS sharpe FROM (SELECT *,
+  direction * (lead(close, 10) {sql.ROW} / nullif(close, 0) - 1) AS gain FROM sgn) GROUP BY 1)""",
+        """win AS (SELECT z.series_key, strftime(a.ts, '%Y-%m-%d %H:%M') || ' to ' || strftime(b.ts, '%Y-%m-%d %H:%M') AS window
+  FROM (SELECT series_key, max(end_idx) AS end_idx, arg_max(start_idx, end_idx) AS start_idx FROM zone GROUP BY 1) z
+  JOIN feat a ON a.series_key = z.series_key AND a.rn = start_idx JOIN feat b ON b.series_key = z.series_key AND b.rn = end_idx)""",
+    ]
+    none = "CASE WHEN available = 'no' THEN 'n/a'"
+    return "WITH " + ",\n".join(steps) + f""" SELECT series_key, {BRIEF_STATE},
+  {by_state(report.HEADLINES, "inside")} AS headline, {by_state(report.SUMMARIES, "inside_quiet")} AS summary,
+  {none} WHEN visibility = 'active' THEN {parts["p"]} WHEN {lean} THEN {parts["raw_p"]} || ' raw' ELSE 'n/a' END AS confidence_label,
+  {none} WHEN visibility = 'active' THEN {parts["time"]} WHEN {lean} THEN {parts["raw_time"]} ELSE 'n/a' END AS latest_signal_time,
+  {none} ELSE printf('%.3f', score) END AS zone_score, {none} ELSE duration || ' bars' END AS zone_duration,
+  {none} ELSE post_bars::VARCHAR END AS post_zone_bars, active_up_count || ' / ' || active_down_count AS active_breakout_mix,
+  raw_up_count || ' / ' || raw_down_count AS raw_breakout_mix, '55%' AS display_threshold,
+  printf('%.2f', coalesce(sharpe, 0)) AS simulated_sharpe, 'Unavailable' AS benchmark_verdict,
+  coalesce(window, 'No completed accepted window') AS latest_zone_window
+  FROM lts JOIN sna USING (series_key) LEFT JOIN gai USING (series_key) LEFT JOIN win USING (series_key)"""
+
+
 def _calibrated_oracle(p: Params, bar: tuple) -> str:
     """The whole series' signals mapped by the curve through the bins of the folds' signals.
 
@@ -824,17 +887,7 @@ def _oracles() -> dict[str, str]:
     )
     out["brief"] = (
         "WITH " + ",\n".join([*sig, LATEST_SQL, SNAPSHOT])
-        + """ SELECT series_key,
-  CASE WHEN available = 'no' THEN 'No active setup' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Breaking up' ELSE 'Breaking down' END
-    WHEN post_bars = 0 THEN 'Still consolidating' WHEN visibility = 'subthreshold' THEN 'Waiting for confirmation' ELSE 'Recent zone, no trigger' END AS setup_state,
-  CASE WHEN available = 'no' THEN 'neutral' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'support' ELSE 'risk' END
-    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN 'watch' ELSE 'neutral' END AS stance_tone,
-  CASE WHEN available = 'no' THEN 'No zone' WHEN visibility = 'active' THEN 'Confirmed' WHEN post_bars = 0 THEN 'Inside zone'
-    WHEN visibility = 'subthreshold' THEN 'Below trigger' ELSE 'No trigger' END AS trust_label,
-  CASE WHEN available = 'no' THEN 'No' WHEN visibility = 'active' OR post_bars = 0 THEN 'Yes' ELSE 'Recent' END AS consolidation_answer,
-  CASE WHEN available = 'no' THEN 'None' WHEN visibility = 'active' THEN CASE WHEN direction > 0 THEN 'Up' ELSE 'Down' END
-    WHEN post_bars = 0 OR visibility = 'subthreshold' THEN CASE WHEN latest_raw_direction > 0 THEN 'Up lean' WHEN latest_raw_direction < 0 THEN 'Down lean'
-      ELSE 'Undecided' END ELSE 'None' END AS breakout_side, maturity, post_bars
+        + f""" SELECT series_key, {BRIEF_STATE}
   FROM lts JOIN sna USING (series_key)"""
     )
     by_class = """fsc0 AS (SELECT origin, fold, c, count(*) FILTER (WHERE fold_target = c) AS n,
@@ -879,6 +932,7 @@ scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
     zoned = sql.breakouts(STRICT)
     zoned[0] = "zon AS (SELECT com.* FROM com JOIN thr USING (series_key) WHERE scored AND score > threshold)"
     out["redetected_signals"] = sql.select([*strict, *zoned], "sgn", [*KEYS, "direction"], ["probability"])
+    out["full_brief"] = _full_brief_oracle([*strict, *zoned])
     closed = sql.features(*BY_TYPE, everything=False)
     closed[0] = closed[0].removesuffix(")") + f""" HAVING time_bucket(INTERVAL '{BY_TYPE[0]}', ts) + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}')"""
     out["streamed_signals"] = sql.select(
