@@ -391,10 +391,12 @@ def log_metrics(told: DataFrame, level: int = logging.INFO) -> int:
 
 
 def write_page(path: str | Path, title: str, tables: dict[str, DataFrame], rows: int = 200) -> Path:
-    """A static page of small tables, `rows` rows of each at most."""
+    """A static page of small tables, `rows` rows of each at most; the page says where a table has more."""
     parts = [f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
-        parts.append(f"<h2>{html.escape(name)}</h2>" + df.limit(rows).toPandas().to_html(index=False))
+        shown = df.limit(rows + 1).toPandas()
+        more = f"<p>The first {rows} rows.</p>" if len(shown) > rows else ""
+        parts.append(f"<h2>{html.escape(name)}</h2>" + shown.head(rows).to_html(index=False) + more)
     out = Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
     out.write_text("\n".join(parts), encoding="utf-8")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut, scratch
 from tidemark.operators import baseline as base
-from tidemark.operators import breakout, calibration, context, detector, metrics, report, validation
+from tidemark.operators import breakout, calibration, charts, context, detector, metrics, report, validation
 from tidemark.operators import search as tuning
 from tidemark.operators import features as feat
 from tidemark.plans import oracles as sql
@@ -38,6 +38,8 @@ BY_TYPE = ("1 hour", "event_type")
 MOVING = ("1 hour", sql.WALK)
 #: Bars that trials are valued on, settings that importance is told from, and trials of the search.
 TRIED, TRIALS, SEARCHED = ("2 hours", sql.WALK), 12, 30
+#: Pixel columns that lines are drawn in.
+PIXELS = 100
 #: Parts of the events that the stream of signals is started with.
 PARTS = 3
 #: Zones that end from then on, and how many of each series, are recent.
@@ -405,6 +407,16 @@ def plot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.plot_window(numbered_bars(spark, sf_dir, *BY_TYPE), 7).select(*KEYS, "close")
 
 
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lines of price and score are drawn from: at most four rows of each of a hundred pixel columns."""
+    df = cut(scored(spark, sf_dir, ACTIVE, MOVING))
+    lines = [
+        charts.downsampled(rows, column, PIXELS).withColumn("line", F.lit(column))
+        for column, rows in (("close", df), ("score", df.where("scored")))
+    ]
+    return rounded(lines[0].unionByName(lines[1]), [*KEYS, "line", "pixel"], ["value"])
+
+
 def forecast_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = halo(ACTIVE)
     plain = numbered_bars(spark, sf_dir, *MOVING)
@@ -557,6 +569,7 @@ QUERIES = {
     "component_table": component_table,
     "bar_spacing": bar_spacing,
     "plot_window": plot_window,
+    "plot_points": plot_points,
     "forecast_payload": forecast_payload,
     "recent_zones": recent_zones,
     "follow_through": follow_through,
@@ -932,6 +945,15 @@ scf AS (SELECT * FROM fsc1 JOIN fsc2 USING (origin, fold))"""
     zoned = sql.breakouts(STRICT)
     zoned[0] = "zon AS (SELECT com.* FROM com JOIN thr USING (series_key) WHERE scored AND score > threshold)"
     out["redetected_signals"] = sql.select([*strict, *zoned], "sgn", [*KEYS, "direction"], ["probability"])
+    out["plot_points"] = sql.select(
+        [*moving, *sql.scored(ACTIVE),
+         f"""lin AS (SELECT *, floor(rn * {PIXELS} / n)::INT AS pixel FROM (SELECT series_key, rn, n, ts, 'close' AS line, close AS value FROM com
+  UNION ALL SELECT series_key, rn, n, ts, 'score', score FROM com WHERE scored) WHERE value IS NOT NULL)""",
+         """pts AS (SELECT *, rn = min(rn) OVER p OR rn = max(rn) OVER p OR row_number() OVER (PARTITION BY series_key, line, pixel ORDER BY value, rn) = 1
+  OR row_number() OVER (PARTITION BY series_key, line, pixel ORDER BY value DESC, rn) = 1 AS kept FROM lin
+  WINDOW p AS (PARTITION BY series_key, line, pixel))"""],
+        "pts", [*KEYS, "line", "pixel"], ["value"], "kept",
+    )
     out["full_brief"] = _full_brief_oracle([*strict, *zoned])
     closed = sql.features(*BY_TYPE, everything=False)
     closed[0] = closed[0].removesuffix(")") + f""" HAVING time_bucket(INTERVAL '{BY_TYPE[0]}', ts) + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}')"""
