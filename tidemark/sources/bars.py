@@ -91,11 +91,12 @@ def walk(events: DataFrame, key: str, start: float = 10.0, step: float = 0.5) ->
     )
 
 
-def numbered(bars: DataFrame, bucket: str = "month") -> DataFrame:
+def numbered(bars: DataFrame, bucket: str = "day") -> DataFrame:
     """Adds rn (from 0 in each series) and n (rows of the series).
 
-    Rows are numbered within (series, month); a month's first number comes from
-    the counts of the months before it, so a long series is many groups.
+    Rows are numbered within (series, bucket of time); a bucket's first number comes
+    from the counts of those before it, so a long series is many groups.  Bars of
+    single ticks want a shorter bucket.
     """
     dated = bars.withColumn("_bucket", F.date_trunc(bucket, "ts"))
     counts = dated.groupBy("series_key", "_bucket").agg(F.count("*").alias("_rows"))
