@@ -734,7 +734,7 @@ def _full_brief_oracle(signals: list[str]) -> str:
         *signals, LATEST_SQL, SNAPSHOT,
         f"""gai AS (SELECT series_key, coalesce(avg(gain) / (stddev_samp(gain) + 1e-10) * sqrt(252), 0) AS sharpe FROM (SELECT *,
   direction * (lead(close, 10) {sql.ROW} / nullif(close, 0) - 1) AS gain FROM sgn) GROUP BY 1)""",
-        """win AS (SELECT z.series_key, strftime(a.ts, '%Y-%m-%d %H:%M') || ' to ' || strftime(b.ts, '%Y-%m-%d %H:%M') AS window
+        """win AS (SELECT z.series_key, strftime(a.ts, '%Y-%m-%d %H:%M') || ' to ' || strftime(b.ts, '%Y-%m-%d %H:%M') AS span
   FROM (SELECT series_key, max(end_idx) AS end_idx, arg_max(start_idx, end_idx) AS start_idx FROM zone GROUP BY 1) z
   JOIN feat a ON a.series_key = z.series_key AND a.rn = start_idx JOIN feat b ON b.series_key = z.series_key AND b.rn = end_idx)""",
     ]
@@ -747,7 +747,7 @@ def _full_brief_oracle(signals: list[str]) -> str:
   {none} ELSE post_bars::VARCHAR END AS post_zone_bars, active_up_count || ' / ' || active_down_count AS active_breakout_mix,
   raw_up_count || ' / ' || raw_down_count AS raw_breakout_mix, '55%' AS display_threshold,
   printf('%.2f', coalesce(sharpe, 0)) AS simulated_sharpe, 'Unavailable' AS benchmark_verdict,
-  coalesce(window, 'No completed accepted window') AS latest_zone_window
+  coalesce(span, 'No completed accepted window') AS latest_zone_window
   FROM lts JOIN sna USING (series_key) LEFT JOIN gai USING (series_key) LEFT JOIN win USING (series_key)"""
 
 
