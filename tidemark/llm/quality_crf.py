@@ -32,6 +32,8 @@ from tidemark.llm.training import logistic, sigmoid, training_sample
 TRAIN_DOCUMENTS = 2000
 CHAIN_LINES = 48
 ROUNDS = 80
+#: Tasks of a gradient step, at most: the documents are few, however many partitions they were found in.
+TRAIN_TASKS = 64
 THRESHOLD = 0.5
 
 _SPACE, _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _PIPE, _MARK = range(8)
@@ -276,7 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> C
             )
 
     small_batches(docs.sparkSession)
-    chain = fit(cut(sample.select((F.col("label") > 0).cast("int"), "text").mapInArrow(chains, "label int, x binary")))
+    runs = sample.select((F.col("label") > 0).cast("int"), "text").mapInArrow(chains, "label int, x binary")
+    tasks = min(TRAIN_TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    chain = fit(cut(runs.coalesce(max(1, tasks))))
     if chain is None:
         return empty
     shared = sample.sparkSession.sparkContext.broadcast(chain)
