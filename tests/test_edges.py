@@ -209,10 +209,10 @@ def test_signals_are_consistent(spark):
 
 def test_the_latest_breakout_is_found_from_the_end(spark, monkeypatch):
     """Also where the last zone lies far back, and where there is none."""
-    monkeypatch.setattr(breakout, "WIDER", 2)
+    monkeypatch.setattr(breakout, "WIDER", 4)
     for params in (replace(ACTIVE, threshold=0.74), replace(ACTIVE, threshold=0.99)):
         whole = breakout.current_breakout(scored(spark, SMOKE_DIR, params, queries.BY_TYPE), params)
-        near = breakout.latest_breakouts(queries.numbered_bars(spark, SMOKE_DIR, *queries.BY_TYPE), params, tail=20)
+        near = breakout.latest_breakouts(queries.numbered_bars(spark, SMOKE_DIR, *queries.BY_TYPE), params, tail=50)
         assert multiset(near.collect()) == multiset(whole.collect())
 
 
