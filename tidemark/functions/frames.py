@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +47,6 @@ def lead(column: str, k: int | Column) -> Column:
     return F.lead(column, k).over(ordered())
 
 
-def rolling(agg: Callable, column: str, size: int, least: int | None = None) -> Column:
-    """An aggregate over the last rows; null with fewer than `least` values (the size by default)."""
-    frame = rows(-(size - 1))
-    return F.when(F.count(column).over(frame) >= (least or size), agg(F.col(column)).over(frame))
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0 or the result is not finite."""
     q = F.try_divide(a, b)

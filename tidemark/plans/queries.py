@@ -307,7 +307,7 @@ def calibrated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cut(scored(spark, sf_dir, ACTIVE, MOVING))
-    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir, *MOVING), (20,)), (20,)), (20,)))
+    made = owned(feat.period_features(bars(spark, sf_dir, *MOVING), 20))
     told = metrics.run_metrics(
         detector.zones(df, ACTIVE), breakout.signals(df, ACTIVE), numbered_bars(spark, sf_dir, *MOVING), made
     )
@@ -320,7 +320,7 @@ def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = owned(feat.hurst(feat.momentum(_volatility(bars(spark, sf_dir, *BY_TYPE), (20,)), (20,)), (20,)))
+    made = owned(feat.period_features(bars(spark, sf_dir, *BY_TYPE), 20))
     return rounded(metrics.instability(made), ["series_key", "metric"], ["value"])
 
 
