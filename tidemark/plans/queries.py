@@ -18,6 +18,7 @@ from tidemark.plans import oracles as sql
 from tidemark.plans.params import COMPONENTS, LONG, MEDIUM, SEARCH, SEED, SHORT, Params
 from tidemark.sources.bars import CSV_TIME, bars_from_events, chunked, halo, latest, numbered, owned, read_bars, walk
 from tidemark.streaming.bars import DELAY, stream_bars, write_bars
+from tidemark.streaming.growing import read_growing, read_unusable, write_growing
 from tidemark.streaming.signals import read_signals, write_signals
 
 PARAMS = Params()
@@ -140,6 +141,43 @@ def csv_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bars(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def grown(spark: SparkSession, sf_dir: str) -> str:
+    """A table of bars that came as CSV files in parts, the stream started anew for each; some rows cannot be used.
+
+    Bars of midnight come again without a close, those of one o'clock without a time, and with the
+    last part those of two o'clock from before once more.
+    """
+    source, out, checkpoint = (scratch(spark, x) for x in ("csv", "bars", "stream"))
+    made = numbered_bars(spark, sf_dir, *BY_TYPE).withColumn("part", F.floor(F.col("rn") * PARTS / F.col("n")))
+    cells = made.select(
+        *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")],
+        F.date_format("ts", CSV_TIME).alias("snapshotTime"),
+        F.col("series_key").alias("event_type"),
+        F.hour("ts").alias("hour"),
+        "part",
+    )
+    cells = cut(
+        cells.unionByName(cells.where("hour = 0").withColumn("close", F.lit("none")))
+        .unionByName(cells.where("hour = 1").withColumn("snapshotTime", F.lit(None).cast("string")))
+        .unionByName(cells.where(f"hour = 2 AND part < {PARTS - 1}").withColumn("part", F.lit(PARTS - 1).cast("long")))
+    )
+    for k in range(PARTS):
+        cells.where(F.col("part") == k).drop("hour", "part").write.mode("append").csv(source, header=True)
+        write_growing(spark, source, out, checkpoint, "event_type", once=True).awaitTermination()
+    return out
+
+
+def growing_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read_growing(spark, grown(spark, sf_dir))
+    return told.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def growing_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be used of the same arrivals, with how often it came."""
+    told = read_unusable(spark, grown(spark, sf_dir))
+    return told.groupBy("series_key", "reason", "given_time").agg(F.count("*").alias("n"))
+
+
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of complete bars."""
     made = feat.complete(owned(feat.all_features(bars(spark, sf_dir, *BY_TYPE))))
@@ -514,6 +552,8 @@ QUERIES = {
     "ohlc_bars": ohlc_bars,
     "streamed_bars": streamed_bars,
     "csv_bars": csv_bars,
+    "growing_bars": growing_bars,
+    "growing_unusable": growing_unusable,
     "all_features": all_features,
     "price_geometry": _feature_query(feat.price_geometry, GEOMETRY),
     "price_geometry_by_type": _feature_query(feat.price_geometry, GEOMETRY, *BY_TYPE),
@@ -876,6 +916,12 @@ def _oracles() -> dict[str, str]:
   WHERE ts + INTERVAL '{BY_TYPE[0]}' <= (SELECT max(ts) FROM events) - INTERVAL '{DELAY}'"""
     )
     out["csv_bars"] = "WITH " + sql.bars()[0] + " SELECT series_key, ts, open, high, low, close FROM bars"
+    by_type = "WITH " + ", ".join(sql.bars(*BY_TYPE))
+    out["growing_bars"] = f"{by_type} SELECT series_key, ts, open, high, low, close, rn, n FROM num"
+    out["growing_unusable"] = f"""{by_type}, bad AS (SELECT series_key, strftime(ts, '%Y:%m:%d-%H:%M:%S') AS given,
+  CASE hour(ts) WHEN 0 THEN 'number' WHEN 1 THEN 'time' ELSE 'late' END AS reason FROM num
+  WHERE hour(ts) < 2 OR (hour(ts) = 2 AND rn * {PARTS} // n < {PARTS - 1}))
+SELECT series_key, reason, CASE WHEN reason <> 'time' THEN given END AS given_time, count(*) AS n FROM bad GROUP BY ALL"""
     out["all_features"] = sql.select(
         [*sql.features(*BY_TYPE), *sql.ADAPTIVE, f"out AS (SELECT *, {z} FROM ada)"], "out", KEYS, FEATURES, "hl_range_pct IS NOT NULL"
     )
