@@ -11,7 +11,7 @@ The insult arcs are whole words and stems (prefixes) learned from a bounded
 sample of labelled rows: those that toxic texts have far more often than clean
 ones, taken greedily until every toxic text of the sample is covered twice (so
 there are never more than two thirds as many as rows in the sample).
-The fixed lists below serve where there are no labels.
+The fixed insults below stand beside the learned arcs, and alone where there are no labels.
 
 Defined results: a null, empty or wordless text scores as a text without a
 match; rows that repeat are scored once each; only the text is scored.
@@ -44,7 +44,7 @@ STEMS = range(3, 8)
 COVER = 2
 THRESHOLD = 0.3
 
-# Fixed word lists of the grammar, for each language; insults serve where none are learned.
+# Fixed word lists of the grammar, for each language; insults stand beside those that are learned.
 INSULTS = "idiot moron stupid scum loser pathetic worthless trash idiota imbécil idiote imbécile dummkopf"
 LISTS = {
     "en": {
