@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
 from tests.compare import SMOKE_DIR
-from tidemark.operators.context import anchor_scores
+from tidemark.operators.context import anchor_scores, autoregressive_forecasts
 from tidemark.plans.queries import PARAMS, bars, scored
 from tidemark.sources.bars import owned
 
@@ -53,3 +55,36 @@ def test_every_window_has_its_anchor(spark):
         scale = min(max((r["scale_raw"] - 0.3) / 0.5, 0.0), 1.0)
         assert r["c_scale"] == pytest.approx(scale, abs=1e-9)
         assert PARAMS.weight_scale > 0
+
+
+def exact(prices):
+    """The forecast without rounding; the lags must not be collinear."""
+    p = [Fraction(x) for x in prices.tolist()]
+    rows = [[p[i - 1], p[i - 2], p[i - 3], Fraction(1), p[i]] for i in range(3, len(p))]
+    m = [[sum(r[i] * r[j] for r in rows) for j in range(5)] for i in range(4)]
+    for i in range(4):
+        for j in range(4):
+            if j != i:
+                share = m[j][i] / m[i][i]
+                m[j] = [x - share * y for x, y in zip(m[j], m[i], strict=True)]
+    return float(sum(m[i][4] / m[i][i] * x for i, x in enumerate([p[-1], p[-2], p[-3], 1])))
+
+
+@pytest.mark.parametrize("unit", [1e-20, 1e-12, 1e-6, 1.0, 1e6, 1e20])
+def test_forecasts_do_not_depend_on_how_small_or_large_prices_are(unit):
+    """Beside the constant prices of 1e-12 were taken for nothing."""
+    rng = np.random.default_rng(5)
+    windows = unit * np.exp(rng.normal(0, 1, (40, 11)).cumsum(axis=1))
+    expected = np.array([exact(w) for w in windows])
+    span = windows.max(axis=1) - windows.min(axis=1)
+    assert (np.abs(autoregressive_forecasts(windows) - expected) / span).max() < 1e-9
+
+
+def test_coefficients_that_the_lags_leave_open_have_the_least_norm():
+    """Also beside prices far from zero: the constant counts as one of the coefficients."""
+    rng = np.random.default_rng(6)
+    for level in (0.0, 1.0, 50.0):
+        rise = level + np.repeat([0.0, 1.0], [19, 1]) * rng.uniform(1, 2)
+        told = [rise, level + np.tile(rng.uniform(1, 2, 2), 10), level + np.append(np.tile([1.0, 2.0], 9), [5.0, 9.0])]
+        expected = [forecast(w.tolist()) for w in told]
+        assert autoregressive_forecasts(np.array(told)) == pytest.approx(expected, rel=1e-9)
