@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
-from tests.compare import duck_rows, spark_rows
-from tidemark.plans.queries import ORACLES, QUERIES
+from tests.compare import SMOKE_DIR, duck_rows, spark_rows
+from tidemark.plans.queries import ORACLES, QUERIES, events
+from tidemark.sources.bars import walk
 
 LARGE_DIR = "/root/testdata/sf0.1"
 NAMES = [
     "breakout_signals",
+    "event_frame",
 ]
 
 
@@ -20,3 +25,11 @@ def test_query_matches_its_oracle_to_every_digit(spark, name):
     assert names == columns and len(ours) == len(theirs)
     odd = [(a, b) for a, b in zip(ours, theirs, strict=True) if a != b]
     assert not odd, f"{len(odd)} of {len(ours)} rows differ, first {odd[:2]} of {names}"
+
+
+def test_walked_prices_are_right_to_the_last_digit(spark):
+    told = walk(events(spark, SMOKE_DIR), "event_type").select("event_id", F.col("value").alias("price"))
+    so_far: dict[str, float] = {}
+    for r in events(spark, SMOKE_DIR).join(told, "event_id").orderBy("ts", "event_id").collect():
+        so_far[r["event_type"]] = so_far.get(r["event_type"], 0.0) + (math.floor(r["value"] % 1 * 128) - 63.5) / 128
+        assert r["price"] == 10 * math.exp(0.5 * so_far[r["event_type"]])

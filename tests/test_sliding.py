@@ -92,3 +92,17 @@ def test_a_mean_that_reaches_further_than_its_chunk_is_refused(spark):
     rows = spark.createDataFrame([("A", 0, 1, 2.0, 1.0, 3.0)], "series_key string, rn long, n long, close double, low double, high double")
     with pytest.raises(ValueError, match="chunks must carry"):
         features.sutte_adaptive(chunked(rows), 0.01)
+
+
+def test_short_frames_are_added_up_in_the_order_of_rows():
+    """Differences of two means cancel all but their last digits, so these are those of the plain sum."""
+    x = np.random.default_rng(4).uniform(0, 1, 500)
+    x[7] = math.nan
+    for size in (2, 3, 5):
+        got = statistic(Frame("mean", "x", size, 1), x)
+        for i in range(500):
+            frame = [v for v in x[max(0, i - size + 1) : i + 1].tolist() if not math.isnan(v)]
+            total = 0.0
+            for v in frame:
+                total += v
+            assert got[i] == total / len(frame)
