@@ -15,6 +15,7 @@ LARGE_DIR = "/root/testdata/sf0.1"
 NAMES = [
     "breakout_signals",
     "event_frame",
+    "heatmap",
 ]
 
 
