@@ -16,6 +16,7 @@ NAMES = [
     "breakout_signals",
     "event_frame",
     "heatmap",
+    "calibrated_signals",
 ]
 
 
