@@ -17,6 +17,7 @@ NAMES = [
     "event_frame",
     "heatmap",
     "calibrated_signals",
+    "component_table",
 ]
 
 
