@@ -18,6 +18,7 @@ NAMES = [
     "heatmap",
     "calibrated_signals",
     "component_table",
+    "fold_signals",
 ]
 
 
