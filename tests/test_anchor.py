@@ -80,6 +80,19 @@ def test_forecasts_do_not_depend_on_how_small_or_large_prices_are(unit):
     assert (np.abs(autoregressive_forecasts(windows) - expected) / span).max() < 1e-9
 
 
+@pytest.mark.parametrize("unit", [1e-60, 1e-150, 1e-225])
+def test_anchors_of_prices_whose_determinants_underflow(unit):
+    """Products of six such prices are 0; the span is then the least one, and no forecast is far from the last price."""
+    rng = np.random.default_rng(7)
+    closes = unit * np.exp(rng.normal(0, 1, 60).cumsum())
+    at = np.arange(12, 60)
+    windows = closes[at[:, None] + np.arange(-12, 0)[None, :]]
+    expected = np.array([exact(w[:-1]) for w in windows])
+    span = windows.max(axis=1) - windows.min(axis=1)
+    assert (np.abs(autoregressive_forecasts(windows[:, :-1]) - expected) / span).max() < 1e-9
+    assert anchor_scores(closes, at, np.full(48, 12)).tolist() == [1.0] * 48
+
+
 def test_coefficients_that_the_lags_leave_open_have_the_least_norm():
     """Also beside prices far from zero: the constant counts as one of the coefficients."""
     rng = np.random.default_rng(6)
