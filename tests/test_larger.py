@@ -34,7 +34,7 @@ def test_query_matches_its_oracle_to_every_digit(spark, name):
 
 
 #: Queries on six times these events at the same times, where prices fall far below 1e-50.
-SIXFOLD = ["calibrated_signals", "component_table", "fold_signals"]
+SIXFOLD = ["calibrated_signals", "component_table", "fold_signals", "heatmap"]
 
 
 @pytest.fixture(scope="module")
